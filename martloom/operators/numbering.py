@@ -19,6 +19,7 @@ from martloom.workspace import Saved, Workspace
 
 SMALL_ROWS = 100_000
 ROWS_PER_RANGE = 1_000_000
+LEAST_ROWS_PER_RANGE = 10_000
 # One row per range is broadcast, so this bounds the broadcast.
 MAX_RANGES = 20_000
 
@@ -26,8 +27,10 @@ MAX_RANGES = 20_000
 _POSITION_BITS = 33
 
 
-def ranges_for(rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    return max(2, min(MAX_RANGES, -(-rows // rows_per_range)))
+def ranges_for(rows: int, cores: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """Ranges of `rows_per_range` rows, or smaller ones where cores would stand idle."""
+    wanted = max(-(-rows // rows_per_range), min(cores, rows // LEAST_ROWS_PER_RANGE))
+    return max(2, min(MAX_RANGES, wanted))
 
 
 def _rows_before(per_range: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def row_numbers(
         return saved.df.withColumn(out, number)
     placed = (
         saved.df.withColumn("_spread", F.rand())
-        .repartitionByRange(ranges_for(saved.rows, rows_per_range), *order, "_spread")
+        .repartitionByRange(ranges_for(saved.rows, ws.cores, rows_per_range), *order, "_spread")
         .sortWithinPartitions(*order)
         .drop("_spread")
         .withColumn("_at", F.monotonically_increasing_id())
@@ -87,9 +90,9 @@ def ranks(
     """
     falling = F.col(by).desc_nulls_last()
     if saved.rows <= small_rows:
-        return saved.df.withColumn(out, F.rank().over(Window.orderBy(falling)))
+        return saved.df.withColumn(out, F.rank().over(Window.orderBy(falling)).cast("long"))
     in_range = saved.df.repartitionByRange(
-        ranges_for(saved.rows, rows_per_range), falling, *keys
+        ranges_for(saved.rows, ws.cores, rows_per_range), falling, *keys
     ).withColumn("_range", F.spark_partition_id())
     local = F.rank().over(Window.partitionBy("_range").orderBy(falling)).cast("long")
     in_range = ws.save(in_range.withColumn("_local", local), f"{out}-ranges").df
@@ -165,9 +168,8 @@ def source_row_numbers(
     if dense and files.rows <= small_rows:
         before = files.df.select(F.col(SOURCE_FILE).alias("_range"), "_rows")
         before = _rows_before(before).select(F.col("_range").alias(SOURCE_FILE), "_before")
-        return rows.join(before, SOURCE_FILE).withColumn(
-            out, F.col("_before") + F.col(SOURCE_ID)
-        ).select(*rows.columns, out)
+        number = (F.col("_before") + F.col(SOURCE_ID)).alias(out)
+        return rows.join(F.broadcast(before), SOURCE_FILE).select(*rows.columns, number)
     return numbered_by_content(ws, rows, out, small_rows)
 
 

@@ -6,14 +6,14 @@ keys by rule, with blanks and NULLs in fixed places to exercise the null rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martloom.functions.clean import DATE_FORMAT
 from martloom.operators.numbering import row_numbers
 from martloom.schemas import SOURCE_FILE, SOURCE_ID, STAGING
 from martloom.sources.files import landed_columns
-from martloom.workspace import Workspace
+from martloom.workspace import Saved, Workspace
 
 LINE_KEY = [
     "l_orderkey",
@@ -31,14 +31,22 @@ def _every(key: str | Column, n: int) -> Column:
 
 def _numbered_lines(ws: Workspace, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with a file name and their number within that file."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE_KEY, "l_quantity")
     file_name = F.concat(F.lit("MOCK_DATA_"), (F.col("l_orderkey") % 10).cast("string"))
-    lines = ws.save(lines.withColumn(SOURCE_FILE, file_name), "lines")
-    order = [SOURCE_FILE, *LINE_KEY]
-    numbered = ws.save(row_numbers(ws, lines, order, "_number"), "numbered-lines").df
-    first = numbered.groupBy(SOURCE_FILE).agg(F.min("_number").alias("_first"))
-    return numbered.join(first, SOURCE_FILE).withColumn(
-        SOURCE_ID, F.col("_number") - F.col("_first") + 1
+    lines = (
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        .select(*LINE_KEY, "l_quantity")
+        .withColumn(SOURCE_FILE, file_name)
+    )
+    numbered = row_numbers(ws, Saved(lines, lines.count()), [SOURCE_FILE, *LINE_KEY], "_number")
+    # Ten files, so this window sees ten rows.
+    earlier = Window.orderBy(SOURCE_FILE).rowsBetween(Window.unboundedPreceding, -1)
+    files = (
+        lines.groupBy(SOURCE_FILE)
+        .count()
+        .select(SOURCE_FILE, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    )
+    return numbered.join(files, SOURCE_FILE).withColumn(
+        SOURCE_ID, F.col("_number") - F.col("_before")
     )
 
 

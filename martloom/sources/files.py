@@ -38,13 +38,15 @@ def read_staging_csv(
             multiLine=multiline,
             nullValue=_NEVER,
             emptyValue="",
-            # Unread columns are parsed all the same, so that a bad row is always seen.
+            # A row of another width is then noticed even if few columns are read.
             columnPruning=False,
         )
         .csv(path)
     )
     if SOURCE_FILE not in rows.columns:
-        rows = rows.withColumn(SOURCE_FILE, F.col("_metadata.file_name"))
+        # The name comes percent-encoded; only in a query string would + mean a blank.
+        encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+        rows = rows.withColumn(SOURCE_FILE, F.url_decode(encoded))
     return landed_columns(rows.withColumn(SOURCE_ID, F.col("id").cast("long")))
 
 

@@ -33,9 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Saved:
+    """A frame that reads the same rows every time, and how many they are."""
+
     df: DataFrame
     rows: int
-    path: str
+    path: str | None = None
 
 
 class Workspace:
@@ -43,6 +45,10 @@ class Workspace:
         self.spark = spark
         self.root = root or f"{shared_folder(spark)}/martloom-{uuid.uuid4().hex}"
 
+    @property
+    def cores(self) -> int:
+        return self.spark.sparkContext.defaultParallelism
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 

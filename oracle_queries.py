@@ -319,7 +319,9 @@ def all_queries(staging_columns: list[str], lookup_year: int) -> dict[str, str]:
                  row_number() OVER (ORDER BY src_file, src_id) AS row_id FROM st""",
             STAGING,
         ),
-        "global_rank": query("SELECT product_id, rating, rating_rank FROM mart_product_quality"),
+        "global_rank": query(
+            "SELECT product_id, rating, rating_rank::BIGINT AS rating_rank FROM mart_product_quality"
+        ),
         "star_views": query(_counts(STAR_NAMES), STAGING, STAR),
         "star_namespace": query(_counts(STAR_NAMES), STAGING, STAR),
         "write_counts": query(_counts(MART_NAMES)),
