@@ -149,16 +149,19 @@ def dim_store(wh: Warehouse) -> DataFrame:
     )
 
 
-def dim_date(wh: Warehouse) -> DataFrame:
-    # Different texts can name one day, so the dates are distinct, not the texts; the
-    # texts are made distinct first because far fewer of them have to be parsed then.
-    days = (
+def sale_days(wh: Warehouse) -> DataFrame:
+    """The readable date texts and their days: every text is parsed once, not once per sale."""
+    return (
         wh.staging.select("sale_date")
         .distinct()
-        .select(date_or_null("sale_date").alias("full_date"))
+        .withColumn("full_date", date_or_null("sale_date"))
         .where("full_date IS NOT NULL")
-        .distinct()
     )
+
+
+def dim_date(wh: Warehouse) -> DataFrame:
+    # Different texts can name one day, so it is the days that are distinct.
+    days = wh.sale_days().select("full_date").distinct()
     parts = days.select(
         "full_date",
         F.dayofmonth("full_date").alias("day"),
@@ -184,7 +187,7 @@ def fact_sales(wh: Warehouse) -> DataFrame:
     )
     sales = source_row_numbers(wh.workspace, source, "sale_id", wh.small_rows).select(
         "sale_id",
-        date_or_null("sale_date").alias("full_date"),
+        "sale_date",
         int_or_null("sale_customer_id").alias("customer_id"),
         int_or_null("sale_seller_id").alias("seller_id"),
         int_or_null("sale_product_id").alias("product_id"),
@@ -194,13 +197,13 @@ def fact_sales(wh: Warehouse) -> DataFrame:
         double_or_null("sale_total_price").alias("total_price"),
     )
     dates = wh.table("dim_date").select("date_id", "full_date")
+    # Only readable texts are in here, so the join is also the filter.
+    days = wh.sale_days().join(dates, "full_date").select("sale_date", "date_id")
     stores = wh.table("dim_store").select(
         "store_id", F.col("name").alias("store_name"), F.col("city").alias("store_city")
     )
     return conform(
-        sales.where("full_date IS NOT NULL")
-        .join(dates, "full_date", "left")
-        .join(stores, ["store_name", "store_city"], "left"),
+        sales.join(days, "sale_date").join(stores, ["store_name", "store_city"], "left"),
         STAR["fact_sales"],
     )
 

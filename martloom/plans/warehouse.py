@@ -59,6 +59,9 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.saved(name).df
 
+    def sale_days(self) -> DataFrame:
+        return self._once("sale-days", lambda: star.sale_days(self)).df
+
     def sales_by(self, key: str) -> DataFrame:
         return self._once(
             f"sales-by-{key}", lambda: marts.sales_by(self.table("fact_sales"), key)

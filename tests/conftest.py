@@ -16,7 +16,7 @@ from martloom.workspace import Workspace  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("checkpoints"))
-    session = local_session("tests", cores=8, memory="8g", **{"spark.checkpoint.dir": folder})
+    session = local_session("tests", cores=4, memory="8g", **{"spark.checkpoint.dir": folder})
     yield session
     session.stop()
 
