@@ -3,26 +3,52 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martloom.plans import marts, reports, star
+from martloom.plans import reports
 from martloom.plans.warehouse import Warehouse
-from martloom.quality import reconciliation
-from martloom.schemas import MARTS
+from martloom.quality import ContractError, reconciliation
+from martloom.schemas import MARTS, STAR, Table
 from martloom.sinks.sinks import FileSink, Sink, write_counted
 from martloom.workspace import Workspace
 
 
 @dataclass(frozen=True)
 class Run:
+    """`counts` holds, by table, the rows of the run's own copy and then of each sink."""
+
     folder: str
     warehouse: Warehouse
-    counts: dict[str, dict[str, int]]
+    counts: dict[str, list[int]]
     reports: dict[str, DataFrame]
-    reconciliation: DataFrame
+    reconciliation: DataFrame | None = None
+
+
+def _run_folder(out: str) -> str:
+    return f"{out.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def _fill(
+    warehouse: Warehouse, tables: Mapping[str, Table], sinks: Sequence[Sink]
+) -> dict[str, list[int]]:
+    counts = {}
+    for name, table in tables.items():
+        own = warehouse.saved(name)
+        counts[name] = [own.rows, *(write_counted(own.df, name, table, sink) for sink in sinks)]
+        if len(set(counts[name])) > 1:
+            raise ContractError(f"{name} was written with differing row counts: {counts[name]}")
+    return counts
+
+
+def _mart_files(folder: str) -> list[Sink]:
+    return [FileSink(f"{folder}/marts", {"mart_sales_by_time": ("year",)})]
+
+
+def _reports(warehouse: Warehouse) -> dict[str, DataFrame]:
+    return {name: build(warehouse) for name, build in reports.REPORTS.items()}
 
 
 def run(
@@ -30,32 +56,32 @@ def run(
     staging: DataFrame,
     out: str,
     sinks: Sequence[Sink] = (),
+    star_sinks: Sequence[Sink] = (),
 ) -> Run:
     """Builds everything in a folder of its own below `out`, then fills the sinks.
 
     A run never touches the tables of another run: readers switch to the new folder when
     the run is complete. Without `sinks` the marts go to files, time split by year.
     """
-    folder = f"{out.rstrip('/')}/run-{uuid.uuid4().hex}"
+    folder = _run_folder(out)
     warehouse = Warehouse.land(staging, Workspace(spark, f"{folder}/tables"))
     warehouse.build_star()
+    counts = _fill(warehouse, STAR, star_sinks)
     warehouse.build_marts()
-    if not sinks:
-        sinks = [FileSink(f"{folder}/marts", {"mart_sales_by_time": ("year",)})]
-    counts = {
-        name: {
-            type(sink).__name__: write_counted(warehouse.table(name), name, MARTS[name], sink)
-            for sink in sinks
-        }
-        for name in marts.PLANS
-    }
-    for name in star.BUILDERS:
-        counts[name] = {"Workspace": warehouse.saved(name).rows}
+    counts |= _fill(warehouse, MARTS, sinks or _mart_files(folder))
     report = warehouse.workspace.save(reconciliation(warehouse), "reconciliation").df
-    return Run(
-        folder,
-        warehouse,
-        counts,
-        {name: build(warehouse) for name, build in reports.REPORTS.items()},
-        report,
-    )
+    return Run(folder, warehouse, counts, _reports(warehouse), report)
+
+
+def run_marts(
+    spark: SparkSession,
+    star_tables: Mapping[str, DataFrame],
+    out: str,
+    sinks: Sequence[Sink] = (),
+) -> Run:
+    """The marts and reports alone, over a star that was built before."""
+    folder = _run_folder(out)
+    warehouse = Warehouse.over_star(star_tables, Workspace(spark, f"{folder}/tables"))
+    warehouse.build_marts()
+    counts = _fill(warehouse, MARTS, sinks or _mart_files(folder))
+    return Run(folder, warehouse, counts, _reports(warehouse))

@@ -86,7 +86,7 @@ def _by_product(wh: Warehouse) -> DataFrame:
         _revenue(),
         F.col("quantity").alias("total_quantity"),
         # The rating is the same for all sales of a product, and so is its average.
-        cents(exact(_or_zero("rating"))).alias("avg_rating"),
+        F.round(F.coalesce("rating", F.lit(0.0)), 2).alias("avg_rating"),
         _or_zero("reviews").alias("total_reviews"),
         F.col("revenue").alias("_by"),
     )

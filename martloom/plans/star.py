@@ -172,6 +172,11 @@ def dim_date(wh: Warehouse) -> DataFrame:
     return _with_ids(wh, "dim_date", parts, ["full_date"], "date_id")
 
 
+def sale_day_ids(wh: Warehouse) -> DataFrame:
+    dates = wh.table("dim_date").select("date_id", "full_date")
+    return wh.sale_days().join(dates, "full_date").select("sale_date", "date_id")
+
+
 def fact_sales(wh: Warehouse) -> DataFrame:
     """One row per staging row with a readable date; numbers are given before that filter."""
     source = wh.staging.select(
@@ -196,9 +201,8 @@ def fact_sales(wh: Warehouse) -> DataFrame:
         int_or_null("sale_quantity").alias("quantity"),
         double_or_null("sale_total_price").alias("total_price"),
     )
-    dates = wh.table("dim_date").select("date_id", "full_date")
     # Only readable texts are in here, so the join is also the filter.
-    days = wh.sale_days().join(dates, "full_date").select("sale_date", "date_id")
+    days = wh.sale_day_ids()
     stores = wh.table("dim_store").select(
         "store_id", F.col("name").alias("store_name"), F.col("city").alias("store_city")
     )

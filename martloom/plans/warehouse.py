@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from martloom.operators.numbering import SMALL_ROWS
 from martloom.plans import marts, star
-from martloom.schemas import LANDED
+from martloom.schemas import LANDED, STAR
 from martloom.sources.driver_tables import staging_from_tables
 from martloom.workspace import Saved, Workspace
 
@@ -22,7 +22,7 @@ class Warehouse:
     builder reads it for itself, and reads only its own columns.
     """
 
-    def __init__(self, staging: DataFrame, workspace: Workspace, small_rows: int = SMALL_ROWS):
+    def __init__(self, staging: DataFrame | None, workspace: Workspace, small_rows: int = SMALL_ROWS):
         self.staging = staging
         self.workspace = workspace
         self.small_rows = small_rows
@@ -40,6 +40,20 @@ class Warehouse:
         warehouse._written["staging"] = landed
         return warehouse
 
+    @classmethod
+    def over_star(
+        cls, tables: Mapping[str, DataFrame], workspace: Workspace, small_rows: int = SMALL_ROWS
+    ) -> Warehouse:
+        """Marts and reports over star tables that exist already, for example in a database.
+
+        Each table is scanned once and written, so that the joins know its size. Tables
+        that the marts do not need may be left out.
+        """
+        warehouse = cls(None, workspace, small_rows)
+        for name, df in tables.items():
+            warehouse._written[name] = workspace.save(star.conform(df, STAR[name]), name)
+        return warehouse
+
     def _once(self, name: str, build: Callable[[], DataFrame]) -> Saved:
         with self._guard:
             lock = self._locks.setdefault(name, threading.Lock())
@@ -62,6 +76,9 @@ class Warehouse:
     def sale_days(self) -> DataFrame:
         return self._once("sale-days", lambda: star.sale_days(self)).df
 
+    def sale_day_ids(self) -> DataFrame:
+        return self._once("sale-day-ids", lambda: star.sale_day_ids(self)).df
+
     def sales_by(self, key: str) -> DataFrame:
         return self._once(
             f"sales-by-{key}", lambda: marts.sales_by(self.table("fact_sales"), key)
@@ -86,13 +103,8 @@ class Warehouse:
     def register_views(self) -> None:
         """Names the star tables for SQL."""
         for name in star.BUILDERS:
-            self.table(name).createOrReplaceTempView(name)
-
-    def row_counts(self, names: Iterable[str]) -> DataFrame:
-        spark = self.staging.sparkSession
-        return spark.createDataFrame(
-            [(name, self.saved(name).rows) for name in names], "table_name string, row_count long"
-        )
+            if self.staging is not None or name in self._written:
+                self.table(name).createOrReplaceTempView(name)
 
 
 def warehouse_from_tables(

@@ -38,14 +38,14 @@ def _numbered_lines(ws: Workspace, spark: SparkSession, sf_dir: str) -> DataFram
         .withColumn(SOURCE_FILE, file_name)
     )
     numbered = row_numbers(ws, Saved(lines, lines.count()), [SOURCE_FILE, *LINE_KEY], "_number")
-    # Ten files, so this window sees ten rows.
+    # There are ten files, so the window sees ten rows and ten rows are broadcast.
     earlier = Window.orderBy(SOURCE_FILE).rowsBetween(Window.unboundedPreceding, -1)
     files = (
         lines.groupBy(SOURCE_FILE)
         .count()
         .select(SOURCE_FILE, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
     )
-    return numbered.join(files, SOURCE_FILE).withColumn(
+    return numbered.join(F.broadcast(files), SOURCE_FILE).withColumn(
         SOURCE_ID, F.col("_number") - F.col("_before")
     )
 
@@ -65,20 +65,20 @@ def staging_from_tables(ws: Workspace, spark: SparkSession, sf_dir: str) -> Data
 
     nation = table("nation", "n_nationkey", "n_name", "n_regionkey")
     region = table("region", "r_regionkey", "r_name")
-    customer = table("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment").join(
-        _place(nation, region, "c"), "c_nationkey"
-    )
-    supplier = table("supplier", "s_suppkey", "s_name", "s_nationkey").join(
-        _place(nation, region, "s"), "s_nationkey"
-    )
+    customer = table("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    supplier = table("supplier", "s_suppkey", "s_name", "s_nationkey")
     orders = table("orders", "o_orderkey", "o_custkey", "o_orderdate")
     part = table("part", "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    # Tables are joined as they are read: Spark knows their sizes, but not those of joins,
+    # and decides by size which of them to broadcast.
     joined = (
         _numbered_lines(ws, spark, sf_dir)
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(_place(nation, region, "c"), "c_nationkey")
+        .join(_place(nation, region, "s"), "s_nationkey")
     )
     h = F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_partkey")
     blank, none = F.lit(""), F.lit(None).cast("string")

@@ -43,6 +43,20 @@ def scan_options(db: Database, table: str, split: Split | None, fetch_size: int)
     return options
 
 
+def bounds_query(table: str, column: str) -> str:
+    return f"SELECT min({column}) AS low, max({column}) AS high FROM {table}"
+
+
+def split_by(spark: SparkSession, db: Database, table: str, column: str, parts: int) -> Split | None:
+    """A split over the values that `column` has now; none for an empty table.
+
+    Rows outside the bounds are not lost: they fall into the first or the last part.
+    """
+    options = {**db.properties, "url": db.url, "query": bounds_query(table, column)}
+    low, high = spark.read.format("jdbc").options(**options).load().first()
+    return None if low is None else Split(column, low, high, parts)
+
+
 def read_jdbc(
     spark: SparkSession,
     db: Database,
