@@ -57,14 +57,17 @@ def run(
     out: str,
     sinks: Sequence[Sink] = (),
     star_sinks: Sequence[Sink] = (),
+    landed: bool = False,
 ) -> Run:
     """Builds everything in a folder of its own below `out`, then fills the sinks.
 
     A run never touches the tables of another run: readers switch to the new folder when
     the run is complete. Without `sinks` the marts go to files, time split by year.
+    Staging rows that are `landed` already, as a Parquet table, are read where they lie.
     """
     folder = _run_folder(out)
-    warehouse = Warehouse.land(staging, Workspace(spark, f"{folder}/tables"))
+    over = Warehouse.over_landed if landed else Warehouse.land
+    warehouse = over(staging, Workspace(spark, f"{folder}/tables"))
     warehouse.build_star()
     counts = _fill(warehouse, STAR, star_sinks)
     warehouse.build_marts()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,15 @@ class Warehouse:
         warehouse._written["staging"] = landed
         return warehouse
 
+    @classmethod
+    def over_landed(
+        cls, staging: DataFrame, workspace: Workspace, small_rows: int = SMALL_ROWS
+    ) -> Warehouse:
+        """Over staging rows that are a Parquet table already, which is not copied."""
+        warehouse = cls(staging, workspace, small_rows)
+        warehouse._written["staging"] = Saved(staging, staging.count())
+        return warehouse
+
     @classmethod
     def over_star(
         cls, tables: Mapping[str, DataFrame], workspace: Workspace, small_rows: int = SMALL_ROWS
@@ -84,20 +93,16 @@ class Warehouse:
             f"sales-by-{key}", lambda: marts.sales_by(self.table("fact_sales"), key)
         ).df
 
-    def build(self, names: Iterable[str], at_once: int = 4) -> None:
-        """Builds tables that do not need each other side by side."""
-        with ThreadPoolExecutor(at_once) as pool:
+    def build(self, names: Collection[str]) -> None:
+        """Builds tables side by side; one that needs another waits for it."""
+        with ThreadPoolExecutor(len(names)) as pool:
             for done in [pool.submit(self.saved, name) for name in names]:
                 done.result()
 
     def build_star(self) -> None:
-        lookups = ("dim_store", "dim_date", "dim_supplier", "dim_product_category", "dim_pet_type")
-        self.build([*lookups, "dim_seller"])
-        self.build(["fact_sales", "dim_product", "dim_customer"])
+        self.build(star.BUILDERS)
 
     def build_marts(self) -> None:
-        with ThreadPoolExecutor(len(marts.SALES_KEYS)) as pool:
-            list(pool.map(self.sales_by, marts.SALES_KEYS))
         self.build(marts.PLANS)
 
     def register_views(self) -> None:

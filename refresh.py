@@ -1,4 +1,4 @@
-"""Full refresh as a job: spark-submit refresh.py --csv 'exports/MOCK_DATA*.csv' --out /shared/marts
+"""Full refresh as a job: spark-submit refresh.py --csv 'exports/*.csv' --out /shared/runs
 
 Reads staging rows from CSV files, from a landed Parquet folder or from a database table,
 or a finished star from a database, and fills the sinks that are named.
@@ -81,7 +81,9 @@ def main() -> None:
                 )
             )
         star_sinks = [JdbcSink(db, args.write_star)] if args.write_star else []
-        done = pipeline.run(spark, staging, args.out, mart_sinks(args), star_sinks)
+        done = pipeline.run(
+            spark, staging, args.out, mart_sinks(args), star_sinks, landed=bool(args.parquet)
+        )
     for name, counts in done.counts.items():
         print(name, counts)
     if done.reconciliation is not None:

@@ -11,6 +11,7 @@ from martloom.schemas import MARTS, STAR
 from martloom.sinks import sinks
 from martloom.sinks.sinks import FileSink, KeyedSink, OlapSink, wide_column_sink, write_counted
 from martloom.sources import jdbc
+from martloom.sources.files import read_staging_parquet
 from martloom.sources.jdbc import Database, Split
 
 TIME = MARTS["mart_sales_by_time"]
@@ -178,6 +179,15 @@ def test_the_star_goes_to_a_sink_as_well(spark, staging, tmp_path):
     assert sink.read(spark, "fact_sales", STAR["fact_sales"]).count() == 2
 
 
+def test_landed_rows_are_not_copied(spark, staging, tmp_path):
+    staging(sale(), sale(sale_date="")).write.parquet(str(tmp_path / "landed"))
+    landed = read_staging_parquet(spark, str(tmp_path / "landed"))
+    done = pipeline.run(spark, landed, str(tmp_path), landed=True)
+    assert done.warehouse.staging is landed
+    assert done.reconciliation.where("table_name = 'staging'").first().row_count == 2
+    assert not list(Path(done.folder, "tables").glob("staging*"))
+
+
 def test_a_sink_that_loses_rows_stops_the_run(spark, staging, tmp_path):
     class Loses(FileSink):
         def write(self, df, name, table):
