@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 
 import pytest
 
@@ -18,6 +20,19 @@ def test_ints_never_throw(spark):
     assert got == [12, 7, 1, None, None, None, None, None, 0, 7, None, 3]
 
 
+def test_ints_against_a_plain_reading(spark):
+    rng = random.Random(5)
+    pieces = ["", " ", "+", "-", "0", "7", "12", "2147483647", "2147483648", ".", ".5", "e2", "x"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 4))) for _ in range(3_000)]
+
+    def plain(text):
+        match = re.fullmatch(r"\s*([+-]?\d+)(\.\d*)?\s*", text)
+        value = int(match[1]) if match else None
+        return value if value is not None and -(2**31) <= value < 2**31 else None
+
+    assert read(spark, texts, int_or_null("t")) == [plain(t) for t in texts]
+
+
 def test_a_long_fraction_is_cut_not_rounded(spark):
     assert read(spark, ["1.99999999999999999999999999999999999999999"], int_or_null("t")) == [1]
 

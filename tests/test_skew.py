@@ -5,8 +5,10 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from martloom.operators.numbering import numbered_by_content
 from martloom.plans.warehouse import Warehouse
 from martloom.schemas import LANDED
+from martloom.workspace import Workspace
 
 ROWS = 120_000
 CONF = {
@@ -18,18 +20,18 @@ CONF = {
 }
 
 
-@pytest.fixture
-def no_broadcast(spark):
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
     before = {key: spark.conf.get(key, None) for key in CONF}
     for key, value in CONF.items():
         spark.conf.set(key, value)
-    yield
+    ws = Workspace(spark, str(tmp_path_factory.mktemp("skew")))
+    yield Warehouse.land(skewed_rows(spark), ws, small_rows=100)
     for key, value in before.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.fixture
-def skewed(spark, ws):
+def skewed_rows(spark):
     n = F.col("id")
     hot = n % 3 == 0
 
@@ -52,11 +54,10 @@ def skewed(spark, ws):
     columns = [values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in LANDED]
     rows = spark.range(0, ROWS, numPartitions=8).select(*columns)
     # Ids with gaps and repeats: every file has to be numbered by content.
-    rows = rows.withColumn("_src_id", F.xxhash64("customer_first_name") % 1000)
-    return Warehouse.land(rows, ws, small_rows=100)
+    return rows.withColumn("_src_id", F.xxhash64("customer_first_name") % 1000)
 
 
-def test_hot_keys_are_split_and_nothing_is_lost(no_broadcast, skewed):
+def test_hot_keys_are_split_and_nothing_is_lost(skewed):
     wh = skewed
     fact = wh.table("fact_sales")
     assert wh.saved("fact_sales").rows == ROWS
@@ -67,7 +68,7 @@ def test_hot_keys_are_split_and_nothing_is_lost(no_broadcast, skewed):
     assert fact.where("store_id IS NULL OR date_id IS NULL").isEmpty()
 
 
-def test_hot_keys_have_whole_totals(no_broadcast, skewed):
+def test_hot_keys_have_whole_totals(skewed):
     hot = skewed.table("mart_sales_by_product").where("product_id = 1").first()
     others = sum(1 for n in range(ROWS) if n % 3 and n % 499 == 1)
     assert hot.total_quantity == ROWS // 3 + others and hot.revenue_rank == 1
@@ -76,8 +77,6 @@ def test_hot_keys_have_whole_totals(no_broadcast, skewed):
 
 
 def test_numbers_by_range_are_even(skewed, ws):
-    from martloom.operators.numbering import numbered_by_content
-
     rows = skewed.staging.select("_src_file", "_src_id", "customer_first_name")
     numbered_by_content(ws, rows, "n", small_rows=100)
     (folder,) = glob.glob(f"{ws.root}/n-ranges-*")
