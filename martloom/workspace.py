@@ -60,6 +60,6 @@ class Workspace:
 def save_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Saved:
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    counted.write.mode("overwrite").partitionBy(*partition_by).parquet(path, compression="zstd")
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     return Saved(written.select(*df.columns), seen.get["rows"], path)
