@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from martloom.workspace import Workspace
 
 #: Bytes of text that one step inside a task works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Rows of an Arrow batch. Texts may be long, so batches hold fewer rows than Spark's default.
 BATCH_ROWS = 1_000
 #: A table is broadcast only if a count finds no more rows than this. Its rows are narrow.

@@ -49,21 +49,23 @@ from martloom.workspace import Saved, Workspace
 
 WORDS = 5
 PERCENT = 75
+#: One token in so many of a set is looked up in addition, and must be shared in addition.
+SHARED = 30
 #: Counters of the sketch, as a power of two, and of one written part of it.
 SKETCH_BITS, PART_BITS = 22, 16
 #: A token is frequent from this count on, or from so many times the mean of a counter.
 FREQUENT, TIMES_MEAN = 64, 4
 #: First sets of a run that the next set is compared with.
 HEADS = 8
-#: Tokens of one bucket of the matrix, salts of a frequent token, pairs made at a time.
-BUCKET_TOKENS, SALTS, PAIRS = 1_000_000, 16, 1_000_000
+#: Tokens of one bucket of the matrix, tokens dealt at a time, salts of a frequent token, pairs made at a time.
+BUCKET_TOKENS, DEALT_TOKENS, SALTS, PAIRS = 500_000, 250_000, 8, 500_000
 #: Members of a block of an opened group, and documents that are compared with it in one task.
 BLOCK_MEMBERS, BLOCK_QUERIES = 512, 2_048
 
 _LANDED = """doc_id long, row long, text string, n_shingles long, low long, fp1 long, fp2 long,
     part int, counts binary"""
 _CLASSES = """rid long, fp1 long, fp2 long, n int, cls long, grp long, tokens array<long>"""
-_BUCKETS = "bucket long, token binary, cls binary, grp binary, n binary"
+_BUCKETS = "bucket long, token binary, cls binary, grp binary, n binary, times binary"
 _PAIRS = "q long, q_grp long, g long, n int, shared int"
 
 
@@ -88,7 +90,7 @@ def least_overlap(n, percent: int = PERCENT):
 
 
 def prefix_length(n, percent: int = PERCENT):
-    return n - least_overlap(n, percent) + n // 20 + 1
+    return n - least_overlap(n, percent) + n // SHARED + 1
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -216,18 +218,25 @@ def _group(bits, words: int, percent: int):
 
 
 def _deal(bits, buckets: int):
-    """Classes' tokens, packed by bucket. cls is -1 where only the group's having the token counts."""
+    """Classes' tokens, packed by bucket: the tokens of a class one after the other, with their number. cls is -1
+    where only the group's having the token counts."""
 
-    def pack(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket, *values = columns
+    def pack(columns: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, token, cls, grp, n = columns
         order = np.argsort(bucket, kind="stable")
-        bucket, values = bucket[order], [v[order] for v in values]
+        bucket, token, cls, grp, n = (c[order] for c in (bucket, token, cls, grp, n))
+        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cls[1:] != cls[:-1]) | (grp[1:] != grp[:-1])])
+        run = np.flatnonzero(new)
+        times = np.diff(np.append(run, len(bucket))).astype(np.int32)
         ids, starts = np.unique(bucket, return_index=True)
-        ends = [*starts[1:], len(bucket)]
-        packed = [[v[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for v in values]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), *(pa.array(p, pa.binary()) for p in packed)],
-            names=["bucket", "token", "cls", "grp", "n"],
+        cuts, run_cuts = [*starts, len(bucket)], np.searchsorted(run, [*starts, len(bucket)])
+
+        def packed(values: np.ndarray, at) -> pa.Array:
+            return pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), packed(token, cuts), *(packed(v, run_cuts) for v in (cls[run], grp[run], n[run], times))],
+            names=["bucket", "token", "cls", "grp", "n", "times"],
         )
 
     def rows(batch: pa.RecordBatch, frequent: np.ndarray) -> list[np.ndarray]:
@@ -254,11 +263,11 @@ def _deal(bits, buckets: int):
             if batch.num_rows:
                 held.append(rows(batch, bits.value))
                 size += len(held[-1][0])
-            if size >= BUCKET_TOKENS:
-                yield from pack([np.concatenate(c) for c in zip(*held, strict=True)])
+            if size >= DEALT_TOKENS:
+                yield pack([np.concatenate(c) for c in zip(*held, strict=True)])
                 held, size = [], 0
         if held:
-            yield from pack([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield pack([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
@@ -268,10 +277,9 @@ def _look_up(table: pa.Table) -> pa.Table:
 
     A class looks up the groups before its own: one side of a link is enough to find it.
     """
-    kinds = {"token": np.uint64, "cls": np.int64, "grp": np.int64, "n": np.int32}
-    token, cls, grp, n = (
-        np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items()
-    )
+    kinds = {"token": np.uint64, "cls": np.int64, "grp": np.int64, "n": np.int32, "times": np.int32}
+    token, cls, grp, n, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items())
+    cls, grp, n = (np.repeat(v, times) for v in (cls, grp, n))
     order = np.lexsort((grp, token))
     token, cls, grp, n = token[order], cls[order], grp[order], n[order]
     new_token = np.concatenate([[True], token[1:] != token[:-1]])
@@ -395,7 +403,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     buckets = max(1, -(-size // BUCKET_TOKENS))
     cells = classes.df.select("cls", "grp", "n", "tokens").mapInArrow(_deal(bits, buckets), _BUCKETS)
     shared = cells.groupBy("bucket").applyInArrow(_look_up, _PAIRS)
-    least = F.floor(F.ceil(F.col("n") * percent / 100) / 20) + 1
+    least = F.floor(F.ceil(F.col("n") * percent / 100) / SHARED) + 1
     asks = (
         shared.groupBy("q", "q_grp", "g").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= least)
     )
