@@ -123,7 +123,7 @@ def _land(words: int):
                     [
                         piece.column("doc_id"),
                         piece.column("row"),
-                        pa.compute.if_else(pa.array(new), piece.column("text"), None),
+                        piece.column("text").take(pa.array(np.arange(len(new)), mask=~np.array(new, bool))),
                         pa.array([len(s) for s in sets], pa.int64()),
                         _longs(np.array([s[0] if len(s) else 0 for s in sets], np.uint64)),
                         *(_longs(np.array(h, np.uint64)) for h in halves),
