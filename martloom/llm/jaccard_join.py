@@ -8,15 +8,16 @@ and only groups that the bound lets through are opened.
    set's size, its smallest hash and a 128-bit fingerprint; within a task, equal sets keep one text.
    The same pass counts all shingles in a sketch of fixed width.
 2. *Group.* Rows are range-partitioned and sorted by (smallest hash, fingerprint, id), so similar
-   sets tend to meet and a hot key is spread over tasks. A set joins a group if it is similar to the
-   group's first set, so every group is connected by links that were verified.
+   sets tend to meet and a hot key is spread over tasks. A set joins the group of an earlier set that it
+   resembles loosely. If it is similar to one, that is a verified link, and both belong to one star.
 3. *Matrix.* Tokens are ordered by (frequent in the sketch, hash). With sizes a and b and a similarity
    of t, overlap is at least ta and tb; so a - ceil(ta) + l first tokens of one and b - ceil(tb) + l of
    the other share at least l tokens, for every l. l grows with the size, which is what makes the bound
    sharp. The (token, group) pairs of these tokens are the matrix; documents look up groups in it.
-4. *Open.* Groups that share at least l tokens with a document are opened: in blocks of members, the
-   document is compared exactly. A block is skipped if its token union holds too little of the document.
-5. *Components* of the groups, by alternating large and small stars.
+4. *Open.* Groups that share at least l tokens with a document are opened, and the own group for
+   documents outside its first star: in blocks of members, the document is compared exactly. A block is
+   skipped if its token union holds too little of the document.
+5. *Components* of the stars, by alternating large and small stars.
 
 The order of tokens comes from a sketch, but any order is right: the sketch only makes it cheap. Nothing
 is capped. Frequent tokens are dealt out by (token, salt), and what a group has of them only once.
@@ -52,21 +53,23 @@ PERCENT = 75
 #: One token in so many of a set is looked up in addition, and must be shared in addition.
 SHARED = 30
 #: Counters of the sketch, as a power of two, and of one written part of it.
-SKETCH_BITS, PART_BITS = 22, 16
-#: A token is frequent from this count on, or from so many times the mean of a counter.
-FREQUENT, TIMES_MEAN = 64, 4
-#: First sets of a run that the next set is compared with.
-HEADS = 8
+SKETCH_BITS, PART_BITS = 24, 16
+#: A token is frequent from this count on, or from so many deviations above the mean of a counter.
+FREQUENT, DEVIATIONS = 16, 6
+#: Last sets of a run, one of each star, that the next set is compared with; and what makes a group, in percent.
+HEADS, LOOSELY = 8, 40
 #: Tokens of one bucket of the matrix, tokens dealt at a time, salts of a frequent token, pairs made at a time.
 BUCKET_TOKENS, DEALT_TOKENS, SALTS, PAIRS = 500_000, 250_000, 8, 500_000
+#: The bits above hold a group's rank: large groups first.
+RANK_BITS = 58
 #: Members of a block of an opened group, and documents that are compared with it in one task.
 BLOCK_MEMBERS, BLOCK_QUERIES = 512, 2_048
 
 _LANDED = """doc_id long, row long, text string, n_shingles long, low long, fp1 long, fp2 long,
     part int, counts binary"""
-_CLASSES = """rid long, fp1 long, fp2 long, n int, cls long, grp long, tokens array<long>"""
+_CLASSES = """rid long, fp1 long, fp2 long, n int, cls long, grp long, star long, tokens array<long>"""
 _BUCKETS = "bucket long, token binary, cls binary, grp binary, n binary, times binary"
-_PAIRS = "q long, q_grp long, g long, n int, shared int"
+_PAIRS = "q long, g long, n int, shared int"
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -93,11 +96,15 @@ def prefix_length(n, percent: int = PERCENT):
     return n - least_overlap(n, percent) + n // SHARED + 1
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
+def resemblance(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and of the union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return both, len(a) + len(b) - both
+
+
+def _frequent_bits(packed: np.ndarray, token: np.ndarray) -> np.ndarray:
+    at = (token & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -106,7 +113,7 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 def _land(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
+        counts, seen = np.zeros(1 << SKETCH_BITS, np.uint8), set()
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for piece in slices(batch):
@@ -115,8 +122,8 @@ def _land(words: int):
                 new = [p is not None and p not in seen and not seen.add(p) for p in prints]
                 fresh = [s for s, is_new in zip(sets, new, strict=True) if is_new]
                 if fresh:
-                    at = (np.concatenate(fresh) & mask).astype(np.int64)
-                    counts += np.bincount(at, minlength=len(counts)).astype(np.uint32)
+                    at, times = np.unique(np.concatenate(fresh) & mask, return_counts=True)
+                    counts[at] = np.minimum(255, counts[at] + times)  # a task alone can make a token frequent
                 halves = [(p or 0) >> 64 for p in prints], [(p or 0) & (2**64 - 1) for p in prints]
                 nothing = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -148,8 +155,9 @@ def _sketch_rows(packed: list[bytes]) -> pa.RecordBatch:
 
 
 def _frequent(landed: DataFrame, total: int) -> np.ndarray:
-    """One bit for each counter of the sketch: whether its tokens are frequent. Half a megabyte."""
-    least = max(FREQUENT, TIMES_MEAN * total >> SKETCH_BITS)
+    """One bit for each counter of the sketch: whether its tokens are frequent. Two megabytes."""
+    mean = total / (1 << SKETCH_BITS)
+    least = max(FREQUENT, mean + DEVIATIONS * mean**0.5)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counts = None, None
@@ -160,12 +168,12 @@ def _frequent(landed: DataFrame, total: int) -> np.ndarray:
 
         for batch in batches:
             for row in batch.to_pylist():
-                own = np.frombuffer(zstandard.decompress(row["counts"]), np.uint32).astype(np.uint64)
+                own = np.frombuffer(zstandard.decompress(row["counts"]), np.uint8)
                 if row["part"] != part:
                     if part is not None:
                         yield done()
                     part, counts = row["part"], np.zeros(1 << PART_BITS, np.uint64)
-                counts = counts + own
+                counts += own
         if part is not None:
             yield done()
 
@@ -174,14 +182,13 @@ def _frequent(landed: DataFrame, total: int) -> np.ndarray:
     bits = np.zeros((parts, 1 << (PART_BITS - 3)), np.uint8)
     for row in rows.mapInArrow(add, "part int, bits binary").collect():  # as many rows as parts
         bits[row.part] = np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(bits.reshape(-1)).astype(bool)
+    return bits.reshape(-1)
 
 
 def _group(bits, words: int, percent: int):
-    """Sorted rows to classes: equal sets one, similar sets in the group of the first one."""
+    """Sorted rows to classes: equal sets one, each with its group and its star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, mask = bits.value, np.uint64((1 << SKETCH_BITS) - 1)
         number, last, low, heads = TaskContext.get().partitionId() << 33, None, None, []
         for batch in batches:
             for piece in slices(batch):
@@ -189,15 +196,23 @@ def _group(bits, words: int, percent: int):
                 first = [p != q for p, q in zip(prints, [last, *prints[:-1]], strict=True)]
                 last = prints[-1]
                 piece = piece.filter(pa.array(first))
-                groups, tokens = [], []
+                groups, stars, tokens = [], [], []
                 for s, own_low in zip(shingle_sets(piece.column("text"), words), piece.column("low").to_pylist(), strict=True):
                     if own_low != low:
                         low, heads = own_low, []
-                    group = next((g for g, h in heads if similar(s, h, percent)), number + len(groups))
-                    if group == number + len(groups):
-                        heads = [*heads[-HEADS + 1 :], (group, s)]
+                    own = group = star = number + len(groups)
+                    for head, head_group, head_star in heads:
+                        both, either = resemblance(s, head)
+                        if group == own and 100 * both >= LOOSELY * either:
+                            group = head_group
+                        if 100 * both >= percent * either:
+                            group, star = head_group, head_star
+                            break
+                    if star == own:
+                        heads = [*heads[-HEADS + 1 :], (s, group, star)]
                     groups.append(group)
-                    common = frequent[(s & mask).astype(np.int64)]
+                    stars.append(star)
+                    common = _frequent_bits(bits.value, s)
                     tokens.append(np.concatenate([s[~common], s[common]])[: prefix_length(len(s), percent)])
                 if not groups:
                     continue
@@ -208,9 +223,10 @@ def _group(bits, words: int, percent: int):
                         piece.column("n_shingles").cast(pa.int32()),
                         pa.array(range(number, number + len(groups)), pa.int64()),
                         pa.array(groups, pa.int64()),
+                        pa.array(stars, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(tokens))),
                     ],
-                    names=["rid", "fp1", "fp2", "n", "cls", "grp", "tokens"],
+                    names=["rid", "fp1", "fp2", "n", "cls", "grp", "star", "tokens"],
                 )
                 number += len(groups)
 
@@ -246,7 +262,7 @@ def _deal(bits, buckets: int):
         cls, grp = (np.repeat(batch.column(c).to_numpy(), size) for c in ("cls", "grp"))
         n = np.repeat(batch.column("n").to_numpy(), size)
         home = scrambled(token)
-        hot = frequent[(token & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+        hot = _frequent_bits(frequent, token)
         salt = np.where(hot, cls % SALTS, 0)
         made = [[home, salt, token, cls, grp, n]]
         if hot.any():
@@ -275,7 +291,8 @@ def _deal(bits, buckets: int):
 def _look_up(table: pa.Table) -> pa.Table:
     """A bucket of the matrix to (document's class, other group, tokens that they share).
 
-    A class looks up the groups before its own: one side of a link is enough to find it.
+    A class looks up the groups before its own: one side of a link is enough to find it. Large groups come first,
+    so the few ask the many.
     """
     kinds = {"token": np.uint64, "cls": np.int64, "grp": np.int64, "n": np.int32, "times": np.int32}
     token, cls, grp, n, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items())
@@ -303,10 +320,10 @@ def _look_up(table: pa.Table) -> pa.Table:
         start = np.flatnonzero(new)
         shared = np.diff([*start, len(row)])
         pick = row[start]
-        made.append([cls[pick], grp[pick], group[start], n[pick], shared.astype(np.int32)])
+        made.append([cls[pick], group[start], n[pick], shared.astype(np.int32)])
         at = to
-    columns = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0, t) for t in ("i8", "i8", "i8", "i4", "i4")]
-    return pa.table(columns, names=["q", "q_grp", "g", "n", "shared"])
+    columns = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0, t) for t in ("i8", "i8", "i4", "i4")]
+    return pa.table(columns, names=["q", "g", "n", "shared"])
 
 
 def _compare(words: int, percent: int):
@@ -315,6 +332,7 @@ def _compare(words: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         member = table.filter(table.column("is_member"))
         sets = [s for b in member.to_batches() for p in slices(b) for s in shingle_sets(p.column("text"), words)]
+        stars = member.column("star").to_pylist()
         sizes = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -322,13 +340,20 @@ def _compare(words: int, percent: int):
         token, owner = token[order], owner[order]
         union, starts = np.unique(token, return_index=True)
         ends = np.append(starts[1:], len(token))
-        linked = set()
+        parent: dict[int, int] = {}
+
+        def root(star: int) -> int:
+            while (above := parent.get(star, star)) != star:
+                parent[star] = parent.get(above, above)
+                star = above
+            return star
+
+        links = []
         asking = table.filter(pa.compute.invert(table.column("is_member")))
         for batch in asking.to_batches():
             for piece in slices(batch):
-                pairs = zip(piece.column("q_grp").to_pylist(), shingle_sets(piece.column("text"), words), strict=True)
-                for group, s in pairs:
-                    if group in linked or not len(union):
+                for star, s in zip(piece.column("star").to_pylist(), shingle_sets(piece.column("text"), words), strict=True):
+                    if not len(union):
                         continue
                     at = np.minimum(np.searchsorted(union, s), len(union) - 1)
                     at = at[union[at] == s]
@@ -337,10 +362,12 @@ def _compare(words: int, percent: int):
                     times = ends[at] - starts[at]
                     inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     both = np.bincount(owner[np.repeat(starts[at], times) + inside], minlength=len(sets))
-                    if np.any(100 * both >= percent * (len(s) + sizes - both)):
-                        linked.add(group)
-        g = table.column("g")[0].as_py()
-        return pa.table({"u": pa.array(sorted(linked), pa.int64()), "v": pa.array([g] * len(linked), pa.int64())})
+                    for other in {stars[k] for k in np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))}:
+                        a, b = root(star), root(other)
+                        if a != b:  # not connected in this block yet
+                            parent[max(a, b)] = min(a, b)
+                            links.append((star, other))
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
     return run
 
@@ -374,7 +401,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Joined:
     """documents: doc_id, row, n_shingles, component_id, root (of the component, whatever its ids; null without
-    shingles). links: verified links (u, v) between groups of classes."""
+    shingles). links: verified links (u, v) between stars of classes, as many as connect them."""
 
     documents: DataFrame
     links: DataFrame
@@ -401,18 +428,25 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
 
     size = classes.df.agg(F.sum(F.size("tokens"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_TOKENS))
-    cells = classes.df.select("cls", "grp", "n", "tokens").mapInArrow(_deal(bits, buckets), _BUCKETS)
+    several = classes.df.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    several = ws.save(several, "several")
+    ranked = join_small(classes.df.select("cls", "grp", "n", "tokens"), several.df, several.rows, "grp", "left", most=broadcast_rows)
+    rank = F.lit(31).cast("long") - F.floor(F.log2(F.coalesce("members", F.lit(1)))).cast("long")
+    ranked = ranked.withColumn("grp", F.shiftleft(rank, RANK_BITS).bitwiseOR(F.col("grp")))
+    cells = ranked.select("cls", "grp", "n", "tokens").mapInArrow(_deal(bits, buckets), _BUCKETS)
     shared = cells.groupBy("bucket").applyInArrow(_look_up, _PAIRS)
+    home = classes.df.where("star != grp").select(F.col("cls").alias("q"), F.col("grp").alias("g"))
     least = F.floor(F.ceil(F.col("n") * percent / 100) / SHARED) + 1
     asks = (
-        shared.groupBy("q", "q_grp", "g").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= least)
+        shared.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= least)
     )
-    asks = ws.save(asks.select("q", "q_grp", "g"), "asks")
+    asks = asks.select("q", F.col("g").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("g"))
+    asks = ws.save(asks.union(home), "asks")
     links = ws.save(_open(ws, asks, classes, texts, words, percent, broadcast_rows), "links")
 
-    roots = components(ws, links.df).withColumnRenamed("node", "grp")
-    of_class = classes.df.select("fp1", "fp2", "grp").join(roots, "grp", "left")
-    of_print = of_class.groupBy("fp1", "fp2").agg(F.min(F.coalesce("root", "grp")).alias("root"))
+    roots = components(ws, links.df).withColumnRenamed("node", "star")
+    of_class = classes.df.select("fp1", "fp2", "star").join(roots, "star", "left")
+    of_print = of_class.groupBy("fp1", "fp2").agg(F.min(F.coalesce("root", "star")).alias("root"))
     full = rows.where("n_shingles > 0")
     ids = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least_id"))
     of_print = ws.save(of_print.join(ids, ["fp1", "fp2"]), "prints").df
@@ -424,10 +458,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
 
 
 def _open(ws: Workspace, asks: Saved, classes: Saved, texts: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """Verified links between groups, from the questions that the bound let through."""
+    """Verified links between stars, from the questions that the bound let through."""
     size = F.broadcast if asks.rows <= broadcast_rows else lambda df: df
     opened = asks.df.groupBy("g").agg(F.count(F.lit(1)).alias("queries"))
-    members = classes.df.select(F.col("grp").alias("g"), "cls", "rid").join(size(opened), "g")
+    members = classes.df.select(F.col("grp").alias("g"), "cls", "rid", "star").join(size(opened), "g")
     members = ws.save(members, "members")
     plan = members.df.groupBy("g").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"),
@@ -437,10 +471,9 @@ def _open(ws: Workspace, asks: Saved, classes: Saved, texts: DataFrame, words: i
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = members.df.join(plan, "g").withColumn("block", deal("cls", "blocks")).withColumn("salt", spread("salts"))
     asking = asks.df.join(plan, "g").withColumn("salt", deal("q", "salts")).withColumn("block", spread("blocks"))
-    asking = asking.join(classes.df.select(F.col("cls").alias("q"), "rid"), "q")
-    wanted = own.select("rid", "g", "block", "salt", F.lit(True).alias("is_member"), F.lit(0).cast("long").alias("q_grp")).union(
-        asking.select("rid", "g", "block", "salt", F.lit(False).alias("is_member"), "q_grp")
-    )
+    asking = asking.join(classes.df.select(F.col("cls").alias("q"), "rid", "star"), "q")
+    out = ["rid", "star", "g", "block", "salt"]
+    wanted = own.select(*out, F.lit(True).alias("is_member")).union(asking.select(*out, F.lit(False).alias("is_member")))
     wanted = ws.save(wanted, "wanted")
     full = join_small(texts.select("rid", "text"), wanted.df, wanted.rows, "rid", most=broadcast_rows)
     return full.groupBy("g", "block", "salt").applyInArrow(_compare(words, percent), "u long, v long").distinct()
