@@ -1,9 +1,10 @@
 """Toxicity (10): a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the n-grams that it has, by hash, each once. A feature's scale r is the log of how much
-likelier it is in toxic documents; a logistic regression on the scaled features learns the weights. Features whose
-ratio is within chance of 0 get no scale, which keeps long clean texts from adding up noise. Weight times scale is
-one number per feature, four megabytes, broadcast to the tasks that score every whole text.
+likelier it is in toxic documents; a logistic regression on the scaled features learns the weights. Features that
+tell the labels apart too little, by the likelihood-ratio statistic, get no scale: else long clean texts add up noise,
+and what a few mislabelled copies share looks toxic. Weight times scale is one number per feature, four megabytes,
+broadcast to the tasks that score every whole text.
 
 Ratios and weights come from a bounded sample: at most FIT_ROWS labelled documents of each label, the first by a
 hash of the id. The intercept is then set for the share of toxic documents among all labelled ones.
@@ -24,8 +25,8 @@ from martloom.llm.common import is_held_out, prepared, slices, strings, texts_of
 LENGTHS = (3, 4, 5, 6)
 BITS = 20
 FIT_ROWS = 3_000
-#: A ratio counts if it is so many standard deviations away from 0.
-DEVIATIONS = 4.0
+#: A feature counts if its statistic is this, and that of a feature of so many percent of the toxic and of no clean ones.
+LEAST_STATISTIC, LEAST_PERCENT = 30.0, 6
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 300, 0.5, 1e-4
 
@@ -128,7 +129,8 @@ def learn(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
         return nothing
     first = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for k in (0, 1)]
     chosen = F.broadcast(first[0].union(first[1]))  # at most 2 * fit_rows rows
-    sample = ws.save(docs.join(chosen, "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")).repartition(_FIT_PARTS), "sample").df
+    sample = docs.join(chosen, "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    sample = ws.save(sample.groupBy("text").agg(F.max("label").alias("label")).repartition(_FIT_PARTS), "sample").df  # copies once
     sizes = {r.label: r.rows for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).collect()}
     if len(sizes) < 2:
         return nothing
@@ -136,8 +138,15 @@ def learn(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     counts = sample.mapInArrow(_count, "feature long, toxic long, clean long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.withColumn("r", F.log((F.col("toxic") + 1) / F.lit(sizes[1] + 2.0)) - F.log((F.col("clean") + 1) / F.lit(sizes[0] + 2.0)))
-    spread = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
-    counts = counts.where(F.abs("r") >= DEVIATIONS * spread).orderBy("feature").toPandas()  # at most one row a hash
+    everything = sizes[0] + sizes[1]
+    seen = F.col("toxic") + F.col("clean")
+    cells = [(F.col("toxic"), seen * sizes[1]), (F.col("clean"), seen * sizes[0])]
+    cells += [(sizes[1] - F.col("toxic"), (everything - seen) * sizes[1]), (sizes[0] - F.col("clean"), (everything - seen) * sizes[0])]
+    statistic = F.lit(0.0)
+    for found, expected in cells:
+        statistic = statistic + F.when(found > 0, 2 * found * F.log(found * everything / expected)).otherwise(0.0)
+    least = max(LEAST_STATISTIC, 2 * LEAST_PERCENT / 100 * sizes[1] * float(np.log(everything / sizes[1])))
+    counts = counts.where(statistic >= least).orderBy("feature").toPandas()  # at most one row a hash
     feature, scale = counts["feature"].to_numpy(np.int64), counts["r"].to_numpy(float)
     rows = sample.mapInArrow(_rows_with(feature), "label int, places binary").collect()  # at most 2 * fit_rows rows
     weight, intercept = _regress([np.frombuffer(r.places, np.int32) for r in rows], np.array([r.label for r in rows], float), scale)
