@@ -71,7 +71,7 @@ class ContextTrees:
         self.languages, self.order = languages, order
         width = len(languages)
         keys = [np.array(sorted(c), np.uint32) for c in counts]
-        table = [np.array([c[k] for k in sorted(c)], float).reshape(-1, width) for c in counts]
+        table = [np.array([c[k] for k in sorted(c)], float).reshape(len(c), width) for c in counts]
         self.levels: list[_Level] = []
         escapes = []
         for n in range(order + 1):  # of contexts of n bytes

@@ -28,9 +28,9 @@ BANDS: tuple[tuple[int, float, float], ...] = (
     (0, 0.0, 9.0),
     (64, 0.25, 1.20),
     (256, 0.28, 0.95),
-    (1_024, 0.25, 0.85),
-    (4_096, 0.22, 0.78),
-    (16_384, 0.18, 0.72),
+    (1_024, 0.25, 0.74),
+    (4_096, 0.22, 0.70),
+    (16_384, 0.18, 0.66),
 )
 
 _COLUMNS = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,

@@ -38,6 +38,8 @@ WINDOW = 35
 RUN = 8
 #: Words in one shard, about.
 SHARD_WORDS = 1_000_000
+#: Ranges of all documents that are broadcast at most, 40 bytes each; beyond that texts are shuffled to them.
+BROADCAST_RANGES = 3_000_000
 #: From so many segments on, a minimizer is dealt window by window.
 MANY_SEGMENTS = 2_000
 
@@ -195,7 +197,7 @@ class Deduped:
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", many_segments: int = MANY_SEGMENTS, broadcast_rows: int = 1_000_000
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", many_segments: int = MANY_SEGMENTS, broadcast_rows: int = BROADCAST_RANGES
 ) -> Deduped:
     """Each input row is in exactly one of untouched and changed.
 
