@@ -190,10 +190,12 @@ def rating_extremes(wh: Warehouse) -> DataFrame:
 
 
 def _correlation(x: str, y: str) -> Column:
-    # corr() divides by zero, and so throws, on a constant column.
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    """Over the rows that have both values; NULL if either is the same in all of them."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    constant = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
     # The last digits of a sum of doubles depend on the partitioning; six do not.
-    return F.round(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)), 6)
+    return F.when(~constant, F.round(F.covar_pop(a, b) / spread, 6))
 
 
 def rating_sales_correlation(wh: Warehouse) -> DataFrame:

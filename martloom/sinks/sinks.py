@@ -72,7 +72,7 @@ class OlapSink:
 class KeyedSink:
     """Any Spark data source that keeps one row per key, such as a wide-column store.
 
-    Rows with equal keys would silently overwrite each other there, so keys are checked.
+    Rows with equal keys would silently overwrite each other there, so `write_counted` checks the keys first.
     `table_option` names the option that takes the table; its value may need a prefix.
     """
 
@@ -85,7 +85,6 @@ class KeyedSink:
         return {**self.options, self.table_option: self.prefix + name}
 
     def write(self, df: DataFrame, name: str, table: Table) -> None:
-        assert_unique(df, table.keys)
         df.write.format(self.format).mode("overwrite").options(**self.write_options(name)).save()
 
 
@@ -98,8 +97,11 @@ def wide_column_sink(keyspace: str) -> KeyedSink:
 
 
 def write_counted(df: DataFrame, name: str, table: Table, sink: Sink) -> int:
-    """Checks the schema, writes, and returns how many rows went through the write."""
+    """Checks the schema, and the keys if equal keys would overwrite each other; writes, and returns how many rows
+    went through the write: the check of the keys runs on the rows before they are observed."""
     assert_schema(df, table)
+    if isinstance(sink, KeyedSink):
+        assert_unique(df, table.keys)
     seen = Observation()
     sink.write(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, table)
     return seen.get["rows"]
@@ -111,7 +113,13 @@ def ensure_namespace(spark: SparkSession, name: str, location: str | None = None
 
 
 def publish(spark: SparkSession, namespace: str, name: str, path: str, table: Table) -> None:
-    """Names written files as a table of a namespace; the files stay where they are."""
+    """Names written files as a table of a namespace; the files stay where they are.
+
+    A table of that name is pointed to the new files, so its readers see the old rows or the new ones.
+    """
     full = f"{namespace}.{name}"
-    spark.sql(f"DROP TABLE IF EXISTS {full}")
-    spark.catalog.createTable(full, path=path, source="parquet", schema=table.schema)
+    if spark.catalog.tableExists(full):
+        spark.sql(f"ALTER TABLE {full} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(full)
+    else:
+        spark.catalog.createTable(full, path=path, source="parquet", schema=table.schema)

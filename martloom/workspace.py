@@ -8,6 +8,7 @@ relation of known size.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="martloom-")
     spark.sparkContext.setCheckpointDir(folder)

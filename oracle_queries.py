@@ -341,8 +341,9 @@ RATED = "mart_product_quality SEMI JOIN (FROM dim_product WHERE rating IS NOT NU
 
 
 def _correlation(y: str) -> str:
-    spread = f"stddev_pop(rating) * stddev_pop({y})"
-    return f"round(covar_pop(rating, {y}) / nullif({spread}, 0), 6)"
+    pairs = f"FILTER (WHERE rating IS NOT NULL AND {y} IS NOT NULL)"
+    constant = " OR ".join(f"min({c}) {pairs} = max({c}) {pairs}" for c in ("rating", y))
+    return f"CASE WHEN {constant} THEN NULL ELSE round(corr(rating, {y}) {pairs}, 6) END"
 
 
 REPORTS = {
