@@ -12,8 +12,10 @@ windows of one minimizer, about 50 words.
 2. *Count* minimizers over all documents. A minimizer that occurs once has no repeated window; its segments stay home.
 3. *Deal* the other segments to shards of a bounded number of words. Each shard indexes its distinct segments and
    searches them; equal segments are repeated as a whole. Equal windows meet in one shard, so counts are exact.
-   A minimizer with very many segments is dealt window by window, by the window's words; equal windows are counted
-   before they move, and what the index reports goes back to them by their words.
+   A minimizer with very many segments has its equal segments counted before they move; the distinct ones are dealt
+   window by window, by the window's words. What the index reports becomes runs of each distinct segment, and a
+   segment gets its runs as one row, by a 128-bit digest of its words: a passage that a third of all documents share
+   costs a row a document and minimizer, not one a window.
 4. *Remove*: the intervals of a document are united and its kept words joined.
 
 Nothing is capped, and the shards' number follows the words that are dealt.
@@ -40,12 +42,13 @@ RUN = 8
 SHARD_WORDS = 1_000_000
 #: Ranges of all documents that are broadcast at most, 40 bytes each; beyond that texts are shuffled to them.
 BROADCAST_RANGES = 3_000_000
-#: From so many segments on, a minimizer is dealt window by window.
+#: From so many segments on, a minimizer's equal segments are counted, and the distinct ones dealt window by window.
 MANY_SEGMENTS = 2_000
 
 _POSITION = np.uint64((1 << 27) - 1)
 _LANDED = "doc_id long, text string, n_words long, sha string, mins array<struct<key: long, first: int, last: int>>"
 _PIECES = "rid long, first int, seg string, key long"
+_WINDOWS = "sid long, at int, words string, weight long"
 _MINS = pa.struct([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -105,8 +108,14 @@ def _land(window: int):
     return run
 
 
-def _cut(window: int, single: bool):
-    """Texts and their wanted window ranges to segments, or to single windows."""
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _cut(window: int):
+    """Texts and their wanted window ranges to segments."""
+    kinds = {"rid": pa.int64(), "first": pa.int32(), "seg": pa.string(), "key": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,17 +124,39 @@ def _cut(window: int, single: bool):
                 each, out = words.to_pylist(), []
                 for rid, begin, wanted in zip(piece.column("rid").to_pylist(), at.tolist(), piece.column("wanted").to_pylist(), strict=False):
                     for w in wanted:
-                        starts = range(w["first"], w["last"] + 1) if single else (w["first"],)
-                        for s in starts:
-                            end = s + window if single else w["last"] + window
-                            out.append((rid, s, " ".join(each[begin + s : begin + end]), w["key"]))
-                columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["rid", "first", "seg", "key"])
+                        out.append((rid, w["first"], " ".join(each[begin + w["first"] : begin + w["last"] + window]), w["key"]))
+                yield _batch(out, kinds)
 
     return run
 
 
+def _windows(window: int):
+    """Segments to their windows, each with its start and the weight of its segment."""
+    kinds = {"sid": pa.int64(), "at": pa.int32(), "words": pa.string(), "weight": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "seg"):
+                words, at = split_words(piece.column("seg"))
+                each, out = words.to_pylist(), []
+                weights = piece.column("weight").to_pylist()
+                for sid, weight, begin, end in zip(piece.column("sid").to_pylist(), weights, at.tolist(), at.tolist()[1:], strict=False):
+                    out += [(sid, k, " ".join(each[begin + k : begin + k + window]), weight) for k in range(end - begin - window + 1)]
+                yield _batch(out, kinds)
+
+    return run
+
+
+def _digest(column: str):
+    return F.unhex(F.md5(column))
+
+
+def _runs(starts: str, window: int):
+    """Starts of windows to the [start, end) that runs of neighbouring windows cover."""
+    alone = lambda step: F.filter(starts, lambda s: ~F.array_contains(starts, s + step))
+    return F.transform(F.arrays_zip(alone(-1).alias("a"), alone(1).alias("z")), lambda r: F.struct(r["a"].alias("start"), (r["z"] + window).alias("end")))
+
+
 def _search(window: int):
     """One shard: index of its distinct segments, each searched; covered words of each row as [start, end)."""
 
@@ -223,24 +254,35 @@ def substring_dedup(
     def cut(single: bool) -> DataFrame:
         own = wanted.where("single" if single else "NOT single").select("rid", "wanted")
         texts = join_small(landed.select("rid", "text"), own, sums[single].segments, "rid", most=broadcast_rows)
-        return texts.select("rid", "text", "wanted").mapInArrow(_cut(window, single), _PIECES)
+        return texts.select("rid", "text", "wanted").mapInArrow(_cut(window), _PIECES)
 
     def search(pieces: DataFrame, words: int) -> DataFrame:
         shards = max(1, -(-words // SHARD_WORDS))
         placed = pieces.withColumn("shard", F.pmod("key", F.lit(shards)))
         return placed.select("shard", "rid", "first", "seg", "weight").groupBy("shard").applyInArrow(_search(window), "rid long, start int, end int")
 
+    def search_frequent() -> DataFrame:
+        segments = cut(True).select("rid", "first", "seg")
+        counted = segments.groupBy("seg").agg(F.count(F.lit(1)).alias("weight")).withColumn("sid", F.monotonically_increasing_id())
+        distinct = ws.save(counted, "segments").df
+        windows = distinct.select("seg", "weight", "sid").mapInArrow(_windows(window), _WINDOWS)
+        asked = windows.groupBy("words").agg(F.sum("weight").alias("weight")).withColumn("rid", F.monotonically_increasing_id())
+        asked = ws.save(asked, "windows")
+        pieces = asked.df.select("rid", F.lit(0).alias("first"), F.col("words").alias("seg"), "weight", F.xxhash64("words").alias("key"))
+        hits = search(pieces, window * asked.rows).select("rid").distinct()
+        repeated = ws.save(asked.df.join(hits, "rid").select(_digest("words").alias("digest")), "repeated")
+        found = join_small(windows.select("sid", "at", _digest("words").alias("digest")), repeated.df, repeated.rows, "digest", most=broadcast_rows)
+        starts = found.groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("starts"))  # at most a segment's windows
+        runs = ws.save(distinct.join(starts, "sid").select(_digest("seg").alias("digest"), _runs("starts", window).alias("runs")), "runs")
+        placed = segments.select("rid", "first", _digest("seg").alias("digest"))
+        back = join_small(placed, runs.df, runs.rows, "digest", most=broadcast_rows).select("rid", "first", F.explode("runs").alias("run"))
+        return back.select("rid", (F.col("first") + F.col("run.start")).alias("start"), (F.col("first") + F.col("run.end")).alias("end"))
+
     spans = []
     if False in sums:
         spans.append(search(cut(False).withColumn("weight", F.lit(1).cast("long")), sums[False].words))
     if True in sums:
-        windows = cut(True).select("rid", "first", "seg")
-        distinct = windows.groupBy("seg").agg(F.count(F.lit(1)).alias("weight"))
-        distinct = ws.save(distinct.withColumn("rid", F.monotonically_increasing_id()), "windows")
-        asked = distinct.df.withColumn("first", F.lit(0)).withColumn("key", F.xxhash64("seg"))
-        hits = search(asked, window * distinct.rows).select("rid").distinct()
-        repeated = distinct.df.join(hits, "rid").select("seg")
-        spans.append(windows.join(repeated, "seg").select("rid", F.col("first").alias("start"), (F.col("first") + window).alias("end")))
+        spans.append(search_frequent())
     if not spans:
         none = landed.where("false")
         spans = [none.select("rid", F.lit(0).alias("start"), F.lit(0).alias("end"))]
