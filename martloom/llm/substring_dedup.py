@@ -8,7 +8,8 @@ shard comes from the window's minimizer: the least hash of its runs of eight wor
 windows have equal minimizers, and neighbouring windows mostly share one, so a document is dealt out in segments: all
 windows of one minimizer, about 50 words.
 
-1. *Land* the rows with their minimizers and the range of windows of each.
+1. *Land* the rows with their minimizers and the range of windows of each. Each task writes one file, in the bucket of
+   the task's number, so that later joins send narrow rows to the texts and the texts never move.
 2. *Count* minimizers over all documents. A minimizer that occurs once has no repeated window; its segments stay home.
 3. *Deal* the other segments to shards of a bounded number of words. Each shard indexes its distinct segments and
    searches them; equal segments are repeated as a whole. Equal windows meet in one shard, so counts are exact.
@@ -24,6 +25,7 @@ Nothing is capped, and the shards' number follows the words that are dealt.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,17 +36,20 @@ from pyspark.sql import functions as F
 
 from martloom.llm.common import join_small, prepared, scrambled, slices, split_words, texts_of, window_hashes, word_hashes
 from martloom.llm.fm_index import FMIndex
+from martloom.workspace import Workspace
 
 WINDOW = 35
 #: Words of the runs that a minimizer is chosen from.
 RUN = 8
 #: Words in one shard, about.
 SHARD_WORDS = 1_000_000
-#: Ranges of all documents that are broadcast at most, 40 bytes each; beyond that texts are shuffled to them.
-BROADCAST_RANGES = 3_000_000
+#: Rows of counted tables of a number or a digest that are broadcast at most; beyond that both sides are shuffled.
+BROADCAST_NARROW = 3_000_000
 #: From so many segments on, a minimizer's equal segments are counted, and the distinct ones dealt window by window.
 MANY_SEGMENTS = 2_000
 
+#: monotonically_increasing_id() holds the task's number above this bit.
+_TASK_BIT = 33
 _POSITION = np.uint64((1 << 27) - 1)
 _LANDED = "doc_id long, text string, n_words long, sha string, mins array<struct<key: long, first: int, last: int>>"
 _PIECES = "rid long, first int, seg string, key long"
@@ -108,6 +113,25 @@ def _land(window: int):
     return run
 
 
+def _land_by_task(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """The rows with their number (rid), written as they lie, in buckets by the number of the task (part).
+
+    A join on (part, rid) then shuffles only its other side, which is why such joins may share less than all keys.
+    """
+    ws.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    numbered = rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    name = f"landed_{uuid.uuid4().hex}"
+    buckets = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered.write.bucketBy(buckets, "part").options(path=ws.path("landed"), compression="zstd").saveAsTable(name, format="parquet")
+    return ws.spark.table(name)
+
+
+def _with_rows(landed: DataFrame, narrow: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins landed rows with narrow rows by rid, where the landed rows lie; a bucket's narrow rows fit its task."""
+    placed = narrow.withColumn("part", F.shiftright("rid", _TASK_BIT).cast("int"))
+    return landed.join(placed.hint("shuffle_hash"), ["part", "rid"], how).drop("part")
+
+
 def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
@@ -228,7 +252,7 @@ class Deduped:
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", many_segments: int = MANY_SEGMENTS, broadcast_rows: int = BROADCAST_RANGES
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", many_segments: int = MANY_SEGMENTS, broadcast_rows: int = BROADCAST_NARROW
 ) -> Deduped:
     """Each input row is in exactly one of untouched and changed.
 
@@ -238,7 +262,7 @@ def substring_dedup(
     """
     ws = prepared(docs.sparkSession)
     rows = texts_of(docs, id_col, text_col).select("doc_id", "text").mapInArrow(_land(window), _LANDED)
-    landed = ws.save(rows.withColumn("rid", F.monotonically_increasing_id()), "landed").df
+    landed = _land_by_task(ws, rows)
     occurring = landed.select("rid", F.inline("mins"))
     keys = occurring.groupBy("key").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
     keys = ws.save(keys, "keys")
@@ -248,16 +272,15 @@ def substring_dedup(
         F.collect_list(F.struct("key", "first", "last")).alias("wanted"), F.sum(F.col("last") - F.col("first") + window).alias("words")
     )
     wanted = ws.save(wanted, "wanted").df
-    sums = wanted.groupBy("single").agg(F.sum("words").alias("words"), F.sum(F.size("wanted")).alias("segments")).collect()  # two rows
-    sums = {r.single: r for r in sums}
+    words = {r.single: r.words for r in wanted.groupBy("single").agg(F.sum("words").alias("words")).collect()}  # two rows
 
     def cut(single: bool) -> DataFrame:
         own = wanted.where("single" if single else "NOT single").select("rid", "wanted")
-        texts = join_small(landed.select("rid", "text"), own, sums[single].segments, "rid", most=broadcast_rows)
+        texts = _with_rows(landed.select("part", "rid", "text"), own)
         return texts.select("rid", "text", "wanted").mapInArrow(_cut(window), _PIECES)
 
-    def search(pieces: DataFrame, words: int) -> DataFrame:
-        shards = max(1, -(-words // SHARD_WORDS))
+    def search(pieces: DataFrame, size: int) -> DataFrame:
+        shards = max(1, -(-size // SHARD_WORDS))
         placed = pieces.withColumn("shard", F.pmod("key", F.lit(shards)))
         return placed.select("shard", "rid", "first", "seg", "weight").groupBy("shard").applyInArrow(_search(window), "rid long, start int, end int")
 
@@ -279,20 +302,18 @@ def substring_dedup(
         return back.select("rid", (F.col("first") + F.col("run.start")).alias("start"), (F.col("first") + F.col("run.end")).alias("end"))
 
     spans = []
-    if False in sums:
-        spans.append(search(cut(False).withColumn("weight", F.lit(1).cast("long")), sums[False].words))
-    if True in sums:
+    if False in words:
+        spans.append(search(cut(False).withColumn("weight", F.lit(1).cast("long")), words[False]))
+    if True in words:
         spans.append(search_frequent())
     if not spans:
         none = landed.where("false")
         spans = [none.select("rid", F.lit(0).alias("start"), F.lit(0).alias("end"))]
     found = spans[0] if len(spans) == 1 else spans[0].union(spans[1])
-    per_doc = ws.save(found.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    size = per_doc.df.agg(F.sum(F.size("spans"))).first()[0] or 0
+    per_doc = ws.save(found.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans").df
 
-    touched = join_small(landed.select("rid", "doc_id", "text"), per_doc.df, size, "rid", most=broadcast_rows)
+    touched = _with_rows(landed.select("part", "rid", "doc_id", "text"), per_doc)
     changed = touched.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
-    slim = landed.select("rid", "doc_id", "n_words", "sha")
-    untouched = join_small(slim, per_doc.df.select("rid"), size, "rid", "left_anti", most=broadcast_rows).drop("rid")
-    ids = join_small(landed.select("rid", "doc_id"), per_doc.df, size, "rid", most=broadcast_rows)
+    untouched = _with_rows(landed.select("part", "rid", "doc_id", "n_words", "sha"), per_doc.select("rid"), "left_anti").drop("rid")
+    ids = _with_rows(landed.select("part", "rid", "doc_id"), per_doc)
     return Deduped(untouched, changed, ids.select("doc_id", F.inline("spans")))
