@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 # Fixed value: the date format of the exports.
 DATE_FORMAT = "M/d/yyyy"
 
-# Numbers from this size on cannot carry cents as a double and would overflow the
-# exact money type; they count as unreadable, like NaN and Infinity.
-NUMBER_LIMIT = 1e14
-
 
 def text(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
@@ -32,9 +28,10 @@ def int_or_null(column: str | Column) -> Column:
 
 
 def double_or_null(column: str | Column) -> Column:
+    """Every finite number; NaN and Infinity are no readings."""
     number = text(column).try_cast("double")
-    # NaN sorts above every number, so one comparison also drops NaN and Infinity.
-    return F.when(F.abs(number) < NUMBER_LIMIT, number)
+    # NaN sorts above every number, so one comparison drops both.
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def date_or_null(column: str | Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from martloom.plans import reports
 from martloom.plans.warehouse import Warehouse
 from martloom.quality import ContractError, reconciliation
-from martloom.schemas import MARTS, STAR, Table
+from martloom.schemas import MARTS, REPORT_TABLES, STAR, Table
 from martloom.sinks.sinks import FileSink, Sink, write_counted
 from martloom.workspace import Workspace
 
@@ -34,21 +35,30 @@ def _run_folder(out: str) -> str:
 def _fill(
     warehouse: Warehouse, tables: Mapping[str, Table], sinks: Sequence[Sink]
 ) -> dict[str, list[int]]:
-    counts = {}
-    for name, table in tables.items():
+    """Writes the tables side by side, each to one sink after the other, and compares the row counts."""
+
+    def fill(name: str) -> list[int]:
         own = warehouse.saved(name)
-        counts[name] = [own.rows, *(write_counted(own.df, name, table, sink) for sink in sinks)]
-        if len(set(counts[name])) > 1:
-            raise ContractError(f"{name} was written with differing row counts: {counts[name]}")
-    return counts
+        counts = [own.rows, *(write_counted(own.df, name, tables[name], sink) for sink in sinks)]
+        if len(set(counts)) > 1:
+            raise ContractError(f"{name} was written with differing row counts: {counts}")
+        return counts
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return dict(zip(tables, pool.map(fill, tables), strict=True))
 
 
-def _mart_files(folder: str) -> list[Sink]:
-    return [FileSink(f"{folder}/marts", {"mart_sales_by_time": ("year",)})]
+def _fill_results(warehouse: Warehouse, folder: str, sinks: Sequence[Sink]) -> dict[str, list[int]]:
+    """Builds marts and reports and fills the sinks with both; without sinks they become files of the run."""
+    warehouse.build_marts()
+    warehouse.build_reports()
+    mart_files = [FileSink(f"{folder}/marts", {"mart_sales_by_time": ("year",)})]
+    counts = _fill(warehouse, MARTS, sinks or mart_files)
+    return counts | _fill(warehouse, REPORT_TABLES, sinks or [FileSink(f"{folder}/reports")])
 
 
 def _reports(warehouse: Warehouse) -> dict[str, DataFrame]:
-    return {name: build(warehouse) for name, build in reports.REPORTS.items()}
+    return {name: warehouse.table(name) for name in reports.REPORTS}
 
 
 def run(
@@ -62,16 +72,15 @@ def run(
     """Builds everything in a folder of its own below `out`, then fills the sinks.
 
     A run never touches the tables of another run: readers switch to the new folder when
-    the run is complete. Without `sinks` the marts go to files, time split by year.
+    the run is complete. Marts and reports go to the `sinks`; without any they go to files,
+    the time mart split by year.
     Staging rows that are `landed` already, as a Parquet table, are read where they lie.
     """
     folder = _run_folder(out)
     over = Warehouse.over_landed if landed else Warehouse.land
     warehouse = over(staging, Workspace(spark, f"{folder}/tables"))
     warehouse.build_star()
-    counts = _fill(warehouse, STAR, star_sinks)
-    warehouse.build_marts()
-    counts |= _fill(warehouse, MARTS, sinks or _mart_files(folder))
+    counts = _fill(warehouse, STAR, star_sinks) | _fill_results(warehouse, folder, sinks)
     report = warehouse.workspace.save(reconciliation(warehouse), "reconciliation").df
     return Run(folder, warehouse, counts, _reports(warehouse), report)
 
@@ -85,6 +94,6 @@ def run_marts(
     """The marts and reports alone, over a star that was built before."""
     folder = _run_folder(out)
     warehouse = Warehouse.over_star(star_tables, Workspace(spark, f"{folder}/tables"))
-    warehouse.build_marts()
-    counts = _fill(warehouse, MARTS, sinks or _mart_files(folder))
+    counts = {name: [warehouse.saved(name).rows] for name in star_tables}
+    counts |= _fill_results(warehouse, folder, sinks)
     return Run(folder, warehouse, counts, _reports(warehouse))

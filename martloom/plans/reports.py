@@ -84,7 +84,7 @@ def revenue_period_over_period(wh: Warehouse) -> DataFrame:
     """
     in_time = Window.partitionBy("period_type").orderBy("year", "month")
     revenue, previous = F.col("total_revenue"), F.col("previous_revenue")
-    wide = "decimal(26,6)"
+    wide = "decimal(38,6)"
     return (
         wh.table("mart_sales_by_time")
         .select("year", "month", "period_type", "total_revenue")

@@ -9,8 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from martloom.operators.numbering import SMALL_ROWS
-from martloom.plans import marts, star
-from martloom.schemas import LANDED, STAR
+from martloom.plans import marts, reports, star
+from martloom.quality import assert_contract
+from martloom.schemas import LANDED, MARTS, REPORT_TABLES, STAR, Table
 from martloom.sources.driver_tables import staging_from_tables
 from martloom.workspace import Saved, Workspace
 
@@ -60,23 +61,31 @@ class Warehouse:
         """
         warehouse = cls(None, workspace, small_rows)
         for name, df in tables.items():
-            warehouse._written[name] = workspace.save(star.conform(df, STAR[name]), name)
+            accepted = workspace.save(star.conform(df, STAR[name]), name)
+            assert_contract(accepted.df, STAR[name], name)
+            warehouse._written[name] = accepted
         return warehouse
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> Saved:
+    def _once(self, name: str, build: Callable[[], DataFrame], table: Table | None = None) -> Saved:
+        """Writes a table on first use; columns, types and keys of a declared one are checked as written."""
         with self._guard:
             lock = self._locks.setdefault(name, threading.Lock())
         with lock:
             if name not in self._written:
-                self._written[name] = self.workspace.save(build(), name)
+                saved = self.workspace.save(build(), name)
+                if table:
+                    assert_contract(saved.df, table, name)
+                self._written[name] = saved
             return self._written[name]
 
     def saved(self, name: str) -> Saved:
-        """A star table or mart by name, with its row count."""
+        """A star table, mart or report by name, with its row count."""
         if name in star.BUILDERS:
-            return self._once(name, lambda: star.BUILDERS[name](self))
+            return self._once(name, lambda: star.BUILDERS[name](self), STAR[name])
         if name in marts.PLANS:
-            return self._once(name, lambda: marts.build_mart(self, name))
+            return self._once(name, lambda: marts.build_mart(self, name), MARTS[name])
+        if name in reports.REPORTS:
+            return self._once(name, lambda: reports.REPORTS[name](self), REPORT_TABLES[name])
         return self._written[name]
 
     def table(self, name: str) -> DataFrame:
@@ -105,6 +114,9 @@ class Warehouse:
     def build_marts(self) -> None:
         self.build(marts.PLANS)
 
+    def build_reports(self) -> None:
+        self.build(reports.REPORTS)
+
     def register_views(self) -> None:
         """Names the star tables for SQL."""
         for name in star.BUILDERS:

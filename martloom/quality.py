@@ -26,10 +26,10 @@ def assert_schema(df: DataFrame, table: Table) -> None:
         raise ContractError(f"columns are {found}, declared are {wanted}")
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    """Every row has its own, complete key."""
+def assert_unique(df: DataFrame, keys: Sequence[str], complete: bool = True) -> None:
+    """Every row has its own key, and a complete one unless it may have NULLs."""
     missing = F.lit(False)
-    for key in keys:
+    for key in keys if complete else ():
         missing = missing | F.col(key).isNull()
     bad = (
         df.groupBy(*keys)
@@ -42,9 +42,12 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
         raise ContractError(f"key {tuple(keys)} is not unique or not complete: {bad[0]}")
 
 
-def assert_contract(df: DataFrame, table: Table) -> None:
-    assert_schema(df, table)
-    assert_unique(df, table.keys)
+def assert_contract(df: DataFrame, table: Table, name: str = "table") -> None:
+    try:
+        assert_schema(df, table)
+        assert_unique(df, table.keys, complete=not table.rollup)
+    except ContractError as error:
+        raise ContractError(f"{name}: {error}") from error
 
 
 # The dimensions whose key can come with differing rows, and what staging says of them.

@@ -45,11 +45,15 @@ LANDED = StructType(
 
 @dataclass(frozen=True)
 class Table:
-    """A written table: its columns, the columns that identify a row, its sort order."""
+    """A written table: its columns, the columns that identify a row, its sort order.
+
+    In a rollup a key column may be NULL, where the row stands for all its values.
+    """
 
     schema: StructType
     keys: tuple[str, ...]
     order_by: tuple[str, ...] = ()
+    rollup: bool = False
 
 
 _TYPES = {
@@ -62,10 +66,10 @@ _TYPES = {
 }
 
 
-def _table(columns: str, keys: str, order_by: str = "") -> Table:
+def _table(columns: str, keys: str, order_by: str = "", rollup: bool = False) -> Table:
     pairs = [column.split() for column in columns.split(",")]
     schema = StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
-    return Table(schema, tuple(keys.split()), tuple(order_by.split()))
+    return Table(schema, tuple(keys.split()), tuple(order_by.split()), rollup)
 
 
 # Names, types and keys of the star tables.
@@ -167,3 +171,67 @@ MARTS = {
         "rating_rank",
     ),
 }
+
+# Names, types, keys and sort orders of the reports; some have the columns of a whole mart.
+REPORT_TABLES = {
+    "top10_products": MARTS["mart_sales_by_product"],
+    "revenue_by_category": _table(
+        "category_name string, total_quantity bigint, total_revenue double",
+        "category_name",
+    ),
+    "product_ratings": _table(
+        "product_id int, product_name string, avg_rating double, total_reviews int",
+        "product_id",
+        "product_id",
+    ),
+    "top10_customers": MARTS["mart_sales_by_customer"],
+    "customers_by_country": MARTS["mart_customers_by_country"],
+    "customer_avg_basket": _table(
+        "customer_id int, customer_name string, avg_basket double",
+        "customer_id",
+        "customer_id",
+    ),
+    "sales_trends": MARTS["mart_sales_by_time"],
+    "revenue_period_over_period": _table(
+        "year smallint, month smallint, period_type string, total_revenue double, "
+        "previous_revenue double, revenue_change double, revenue_ratio double",
+        "year month",
+        "year month",
+    ),
+    "monthly_avg_order": _table(
+        "year smallint, month smallint, avg_order_value double",
+        "year month",
+        "year month",
+    ),
+    "top5_stores": MARTS["mart_sales_by_store"],
+    "sales_by_city_country": _table(
+        "level string, country string, city string, total_orders bigint, total_revenue double, "
+        "avg_basket double",
+        "level country city",
+        "level country city",
+        rollup=True,
+    ),
+    "store_avg_basket": _table(
+        "store_id int, store_name string, avg_basket double",
+        "store_id",
+        "store_id",
+    ),
+    "top5_suppliers": MARTS["mart_sales_by_supplier"],
+    "supplier_avg_price": _table(
+        "supplier_id int, supplier_name string, avg_item_price double, avg_product_price double",
+        "supplier_id",
+        "supplier_id",
+    ),
+    "suppliers_by_country": MARTS["mart_suppliers_by_country"],
+    "rating_extremes": _table(
+        "product_id int, product_name string, category_name string, rating double, "
+        "reviews int, sales_count bigint, total_revenue double, rating_rank int, extreme string",
+        "extreme product_id",
+        "extreme rating product_id",
+    ),
+    "rating_sales_correlation": _table(
+        "products bigint, corr_sales_count double, corr_total_revenue double",
+        "products",
+    ),
+    "most_reviewed_products": MARTS["mart_product_quality"],
+}

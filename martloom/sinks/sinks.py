@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from martloom.quality import assert_schema, assert_unique
 from martloom.schemas import Table
-from martloom.sources.jdbc import Database, write_jdbc
+from martloom.sources.jdbc import BATCH_SIZE, CONNECTIONS, Database, write_jdbc
 
 
 class Sink(Protocol):
@@ -44,13 +44,18 @@ class FileSink:
 
 @dataclass(frozen=True)
 class JdbcSink:
-    """Tables of a database; they are emptied and filled, which keeps their indexes."""
+    """Tables of a database; they are emptied and filled, which keeps their indexes.
+
+    A table is written by at most `connections` tasks, so set it to what the database takes.
+    """
 
     db: Database
     prefix: str = ""
+    connections: int = CONNECTIONS
+    batch_size: int = BATCH_SIZE
 
     def write(self, df: DataFrame, name: str, table: Table) -> None:
-        write_jdbc(df, self.db, self.prefix + name)
+        write_jdbc(df, self.db, self.prefix + name, batch_size=self.batch_size, connections=self.connections)
 
 
 @dataclass(frozen=True)
@@ -58,6 +63,8 @@ class OlapSink:
     """Tables of a columnar database that stores each one in a sort order."""
 
     db: Database
+    connections: int = CONNECTIONS
+    batch_size: int = BATCH_SIZE
 
     def table_options(self, table: Table) -> str:
         # Fixed value: the clause the database expects, and its form for "no order".
@@ -65,7 +72,9 @@ class OlapSink:
         return f"ENGINE = MergeTree() ORDER BY {f'({order})' if order else 'tuple()'}"
 
     def write(self, df: DataFrame, name: str, table: Table) -> None:
-        write_jdbc(df, self.db, name, create_table_options=self.table_options(table))
+        write_jdbc(
+            df, self.db, name, batch_size=self.batch_size, connections=self.connections, create_table_options=self.table_options(table)
+        )
 
 
 @dataclass(frozen=True)
@@ -101,6 +110,8 @@ def write_counted(df: DataFrame, name: str, table: Table, sink: Sink) -> int:
     went through the write: the check of the keys runs on the rows before they are observed."""
     assert_schema(df, table)
     if isinstance(sink, KeyedSink):
+        if table.rollup:  # such stores take no NULL in a key; the level tells a blank from a real one
+            df = df.fillna("", list(table.keys))
         assert_unique(df, table.keys)
     seen = Observation()
     sink.write(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, table)

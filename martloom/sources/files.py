@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martloom.quality import ContractError
 from martloom.schemas import LANDED, SOURCE_FILE, SOURCE_ID, STAGING
 
 # No text of an export contains this character, so no quoted text is taken for NULL.
@@ -15,14 +16,14 @@ def read_staging_csv(
     spark: SparkSession,
     path: str | list[str],
     strict_header: bool = False,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Reads exports with a header; columns bind by position, a bad row stops the job.
 
     An unquoted empty field is NULL, a quoted one is the empty text; quotes inside a
     quoted text are doubled. `strict_header` also stops on a header in another order.
-    `multiline` allows line breaks inside quotes, at the price of one task per file:
-    turn it off for large files that are known to have none.
+    `multiline` allows line breaks inside quotes, at the price of one task per file.
+    Without it files are split, and a line break inside quotes stops the job.
 
     The source file of a row is the folder level `_src_file=...` if the files lie in
     such folders, else the name of the file.
@@ -55,4 +56,10 @@ def landed_columns(rows: DataFrame) -> DataFrame:
 
 
 def read_staging_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Landed rows. A folder that lacks a column, or has it in another type, is refused: it would read as NULLs."""
+    found = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+    # The type of a folder level is guessed from the values it has.
+    bad = [f.name for f in LANDED if f.name not in found or f.name != SOURCE_FILE and found[f.name] != f.dataType]
+    if bad:
+        raise ContractError(f"{path} is no landed staging: missing or of another type are {bad}")
     return spark.read.schema(LANDED).parquet(path)

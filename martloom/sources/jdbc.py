@@ -8,6 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Defaults of a write: rows per batch, and connections per table.
+BATCH_SIZE = 10_000
+CONNECTIONS = 8
+
+
 @dataclass(frozen=True)
 class Database:
     """Where a database is: its URL and the connection properties (user, driver, ...)."""
@@ -95,8 +100,8 @@ def write_jdbc(
     df: DataFrame,
     db: Database,
     table: str,
-    batch_size: int = 10_000,
-    connections: int = 8,
+    batch_size: int = BATCH_SIZE,
+    connections: int = CONNECTIONS,
     create_table_options: str | None = None,
 ) -> None:
     options = write_options(db, table, batch_size, connections, create_table_options)

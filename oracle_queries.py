@@ -298,10 +298,12 @@ def all_queries(staging_columns: list[str], lookup_year: int) -> dict[str, str]:
     star["fact_sales"] = query(FACT, STAGING, STAR)
     marts = {name: query(f"SELECT * FROM {name}") for name in MART_NAMES}
     marts["mart_sales_by_time"] = query(TIME)
+    counts = [f"SELECT '{name}' AS table_name, count(*) AS row_count FROM ({sql})" for name, sql in REPORTS.items()]
     return {
         **star,
         **marts,
         **REPORTS,
+        "report_counts": " UNION ALL ".join(counts),
         "staging_load": staging_load(staging_columns),
         "dedup_first_by": query(
             f"SELECT product_id, product_name AS name, supplier_name, supplier_city FROM st "

@@ -7,6 +7,8 @@ or a finished star from a database, and fills the sinks that are named.
 from __future__ import annotations
 
 import argparse
+import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,15 @@ from martloom import pipeline
 from martloom.schemas import SOURCE_FILE, SOURCE_ID, STAR
 from martloom.sinks.sinks import FileSink, JdbcSink, OlapSink, Sink, wide_column_sink
 from martloom.sources.files import landed_columns, read_staging_csv, read_staging_parquet
-from martloom.sources.jdbc import Database, read_jdbc, split_by
+from martloom.sources.jdbc import BATCH_SIZE, CONNECTIONS, Database, read_jdbc, split_by
 
 
-def database(url: str | None, properties: list[str]) -> Database:
-    return Database(url, dict(p.split("=", 1) for p in properties))
+def database(url: str | None, properties: list[str], file: str | None = None) -> Database:
+    """Properties of the command line win over those of the file, where passwords belong."""
+    lines = Path(file).read_text().splitlines() if file else []
+    kept = [line.strip() for line in lines if "=" in line and not line.lstrip().startswith("#")]
+    pairs = (p.split("=", 1) for p in [*kept, *properties])
+    return Database(url, {name.strip(): value.strip() for name, value in pairs})
 
 
 def arguments() -> argparse.Namespace:
@@ -32,13 +38,17 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--out", required=True, help="folder that every executor reaches")
     parser.add_argument("--url", help="JDBC URL of the source database")
     parser.add_argument("--property", action="append", default=[], metavar="NAME=VALUE")
+    parser.add_argument("--properties-file", help="NAME=VALUE lines for --url, such as the password")
+    parser.add_argument("--connections", type=int, default=CONNECTIONS, help="connections per written table")
+    parser.add_argument("--batch-size", type=int, default=BATCH_SIZE, help="rows per written batch")
     parser.add_argument("--parts", type=int, default=64, help="parts of a database scan")
     parser.add_argument("--strict-header", action="store_true")
-    parser.add_argument("--single-line", action="store_true", help="no line breaks in CSV texts")
+    parser.add_argument("--line-breaks", action="store_true", help="CSV texts may hold line breaks: one task per file")
     parser.add_argument("--write-star", metavar="PREFIX", help="write the star back to --url")
-    parser.add_argument("--files", help="write the marts as Parquet below this folder")
+    parser.add_argument("--files", help="write marts and reports as Parquet to a new folder below this one")
     parser.add_argument("--olap-url", help="write the marts to a columnar database")
     parser.add_argument("--olap-property", action="append", default=[], metavar="NAME=VALUE")
+    parser.add_argument("--olap-properties-file", help="NAME=VALUE lines for --olap-url")
     parser.add_argument("--keyspace", help="write the marts to a wide-column store")
     return parser.parse_args()
 
@@ -46,9 +56,11 @@ def arguments() -> argparse.Namespace:
 def mart_sinks(args: argparse.Namespace) -> list[Sink]:
     sinks: list[Sink] = []
     if args.files:
-        sinks.append(FileSink(args.files, {"mart_sales_by_time": ("year",)}))
+        new = f"{args.files.rstrip('/')}/run-{uuid.uuid4().hex}"
+        sinks.append(FileSink(new, {"mart_sales_by_time": ("year",)}))
     if args.olap_url:
-        sinks.append(OlapSink(database(args.olap_url, args.olap_property)))
+        olap = database(args.olap_url, args.olap_property, args.olap_properties_file)
+        sinks.append(OlapSink(olap, args.connections, args.batch_size))
     if args.keyspace:
         sinks.append(wide_column_sink(args.keyspace))
     return sinks
@@ -57,7 +69,7 @@ def mart_sinks(args: argparse.Namespace) -> list[Sink]:
 def main() -> None:
     args = arguments()
     spark = SparkSession.builder.appName("refresh of the retail marts").getOrCreate()
-    db = database(args.url, args.property)
+    db = database(args.url, args.property, args.properties_file)
 
     def table(name: str, column: str):
         return read_jdbc(spark, db, name, split_by(spark, db, name, column, args.parts))
@@ -69,7 +81,7 @@ def main() -> None:
         done = pipeline.run_marts(spark, tables, args.out, mart_sinks(args))
     else:
         if args.csv:
-            staging = read_staging_csv(spark, args.csv, args.strict_header, not args.single_line)
+            staging = read_staging_csv(spark, args.csv, args.strict_header, args.line_breaks)
         elif args.parquet:
             staging = read_staging_parquet(spark, args.parquet)
         else:
@@ -80,7 +92,7 @@ def main() -> None:
                     SOURCE_ID, F.col("id")
                 )
             )
-        star_sinks = [JdbcSink(db, args.write_star)] if args.write_star else []
+        star_sinks = [JdbcSink(db, args.write_star, args.connections, args.batch_size)] if args.write_star else []
         done = pipeline.run(
             spark, staging, args.out, mart_sinks(args), star_sinks, landed=bool(args.parquet)
         )

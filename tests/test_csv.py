@@ -26,7 +26,7 @@ def test_null_blank_quotes_and_newlines(spark, tmp_path):
         line(1, "", '"he said ""hi"", ok"'),
         line(2, '""', '"two\nlines"'),
     )
-    assert names(read_staging_csv(spark, path)) == [
+    assert names(read_staging_csv(spark, path, multiline=True)) == [
         ("MOCK_DATA.csv", 1, None, 'he said "hi", ok'),
         ("MOCK_DATA.csv", 2, "", "two\nlines"),
     ]
@@ -83,5 +83,22 @@ def test_pieces_of_folders_keep_all_rows(spark, tmp_path, staging):
         .options(header=True, escape='"', maxRecordsPerFile=7)
         .csv(str(tmp_path / "out"))
     )
-    back = read_staging_csv(spark, str(tmp_path / "out"))
+    back = read_staging_csv(spark, str(tmp_path / "out"), multiline=True)
     assert data.exceptAll(back).isEmpty() and back.exceptAll(data).isEmpty()
+
+
+@pytest.mark.parametrize("where", [("\"a\nb\"", "c"), ("a", "\"b\nc\"")])
+def test_a_line_break_in_quotes_stops_a_split_read(spark, tmp_path, where):
+    path = write(tmp_path, "MOCK_DATA.csv", line(1, "x", "y"), line(2, *where), line(3, "x", "y"))
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_staging_csv(spark, path).collect()
+
+
+def test_one_file_gives_many_partitions(spark, tmp_path):
+    path = write(tmp_path, "MOCK_DATA.csv", *[line(n, "a", "b") for n in range(1, 2001)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        loaded = read_staging_csv(spark, path)
+        assert loaded.rdd.getNumPartitions() > 4 and loaded.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -144,3 +144,9 @@ def test_one_key_with_most_of_the_sales(warehouse):
     wh = warehouse(*[sale(sale_product_id="1" if n % 3 else str(n), sale_total_price="0.1") for n in range(300)])
     hot = wh.table("mart_sales_by_product").where("product_id = 1").first()
     assert (hot.total_revenue, hot.total_quantity, hot.revenue_rank) == (20.0, 200, 1)
+
+
+def test_a_very_large_sale_keeps_its_revenue(warehouse):
+    wh = warehouse(sale(sale_product_id="1", sale_total_price="1e15"), sale(sale_product_id="2", sale_total_price="10"))
+    got = wh.table("mart_sales_by_product").select("product_id", "total_revenue", "revenue_rank").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1e15, 1), (2, 10.0, 2)]

@@ -7,7 +7,7 @@ from conftest import rows, sale
 from martloom import pipeline
 from martloom.plans import marts, reports, star
 from martloom.quality import ContractError, assert_contract, assert_unique
-from martloom.schemas import MARTS, STAR
+from martloom.schemas import MARTS, REPORT_TABLES, STAR
 from martloom.sinks import sinks
 from martloom.sinks.sinks import FileSink, KeyedSink, OlapSink, wide_column_sink, write_counted
 from martloom.sources import jdbc
@@ -115,10 +115,10 @@ def test_jdbc_sinks_pass_the_table_on(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(sinks, "write_jdbc", lambda df, db, table, **kw: seen.append((table, kw)))
     sinks.JdbcSink(DB, "star.").write(countries(spark, "a"), "t", COUNTRY)
-    sinks.OlapSink(DB).write(countries(spark, "a"), "t", COUNTRY)
+    sinks.OlapSink(DB, connections=64, batch_size=500).write(countries(spark, "a"), "t", COUNTRY)
     assert seen == [
-        ("star.t", {}),
-        ("t", {"create_table_options": "ENGINE = MergeTree() ORDER BY (country_rank)"}),
+        ("star.t", {"batch_size": 10_000, "connections": 8}),
+        ("t", {"batch_size": 500, "connections": 64, "create_table_options": "ENGINE = MergeTree() ORDER BY (country_rank)"}),
     ]
 
 
@@ -151,6 +151,11 @@ def test_a_whole_run(spark, staging, tmp_path):
     assert first.counts["fact_sales"] == [30]
     assert set(first.reports) == set(reports.REPORTS)
     assert first.reports["top10_products"].count() == 3
+    files = FileSink(f"{first.folder}/reports")
+    for name, table in REPORT_TABLES.items():
+        back = files.read(spark, name, table)
+        assert first.counts[name] == [back.count()] * 2
+        assert rows(back) == rows(first.reports[name])
     for name, table in {**STAR, **MARTS}.items():
         assert_contract(first.warehouse.table(name), table)
 
@@ -179,6 +184,21 @@ def test_the_star_goes_to_a_sink_as_well(spark, staging, tmp_path):
     assert sink.read(spark, "fact_sales", STAR["fact_sales"]).count() == 2
 
 
+def test_a_doubled_key_is_refused(spark, warehouse, tmp_path):
+    wh = warehouse(sale(), sale(sale_customer_id="2"))
+    wh.build_star()
+    tables = {n: wh.table(n) for n in star.BUILDERS}
+    tables["dim_customer"] = tables["dim_customer"].union(tables["dim_customer"].limit(1))
+    with pytest.raises(ContractError, match="dim_customer: key .*not unique"):
+        pipeline.run_marts(spark, tables, str(tmp_path))
+
+
+def test_a_folder_without_the_right_columns_is_refused(spark, staging, tmp_path):
+    staging(sale()).drop("sale_total_price").write.parquet(str(tmp_path / "short"))
+    with pytest.raises(ContractError, match="sale_total_price"):
+        read_staging_parquet(spark, str(tmp_path / "short"))
+
+
 def test_landed_rows_are_not_copied(spark, staging, tmp_path):
     staging(sale(), sale(sale_date="")).write.parquet(str(tmp_path / "landed"))
     landed = read_staging_parquet(spark, str(tmp_path / "landed"))
