@@ -1,12 +1,11 @@
 """HTML extraction (3): consensus paths of a host.
 
 Each page's containers are scored by the prose that they hold, summed by path: the tags and classes from the root
-down, numbers generalised. A path votes with its share of the page's best score. In Spark the votes of a host's pages
-are added up, and each page is then read at its host's winning path. A page where that path holds less than half of
-the page's best score is read at its own best path instead.
+down, numbers generalised. Every path votes with its share of the page's best score. In Spark the votes of a host's pages
+are added up, and each page is then read at its host's winning path, however little of the page it holds. Only a page
+without text at that path is read at its own best path.
 
-So only paths with at least half of the best score can ever be read, and few have that. The pass that parses a page
-takes out the text at those; the winning paths, one row a host, then choose between them.
+A page is parsed twice, once for its votes and once to be read, so that no text is written for paths that lose.
 """
 
 from __future__ import annotations
@@ -47,8 +46,6 @@ ASIDE = frozenset(
 BODY = frozenset("article articlebody content entry main post story text body".split())
 
 DECAY, BONUS = 0.7, 1.5
-#: The share of a page's best score below which a path is not read.
-LEAST_SHARE = 0.5
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z""",
@@ -220,7 +217,7 @@ def parse(source: str) -> Page:
 
 
 def candidates(page: Page) -> list[dict]:
-    """The paths that may be read, best first: their share of the best score and the text there.
+    """The paths that hold prose, best first: their share of the best score, and the text at the best.
 
     A page without containers of prose has one candidate without a path: its blocks outside links.
     """
@@ -228,19 +225,36 @@ def candidates(page: Page) -> list[dict]:
     best = max(scores.values(), default=0.0)
     if not best:
         return [{"path": None, "share": 0.0, "text": "\n\n".join(text for _, text, linked in page.blocks if linked < len(text))}]
-    chosen = sorted((p for p in scores if scores[p] >= LEAST_SHARE * best), key=lambda p: (-scores[p], p))
-    return [{"path": p, "share": scores[p] / best, "text": page.text(p)} for p in chosen]
+    chosen = sorted(scores, key=lambda p: (-scores[p], p))
+    return [{"path": p, "share": scores[p] / best, "text": None if k else page.text(p)} for k, p in enumerate(chosen)]
 
 
-_CANDIDATES = pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64()), ("text", pa.string())]))
+def read(page: Page, winner: str | None) -> tuple[str | None, str]:
+    """The path at which a page is read, the winner if there is text, and the text."""
+    if winner is not None and (text := page.text(winner)):
+        return winner, text
+    own = candidates(page)[0]
+    return own["path"], own["text"]
+
+
+_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("share", pa.float64())])
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in slices(batch, "html"):
+            hosts, sources = piece.column("host").to_pylist(), strings(piece.column("html"))
+            cast = [{"host": host, **c} for host, source in zip(hosts, sources, strict=True) for c in candidates(parse(source)) if c["path"] is not None]
+            yield pa.RecordBatch.from_pylist(cast, _VOTES)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "html"):
-            found = [candidates(parse(source)) for source in strings(piece.column("html"))]
-            columns = [piece.column(c) for c in ("page_id", "url", "host")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _CANDIDATES)], names=["page_id", "url", "host", "found"])
+            found = [read(parse(source), winner) for source, winner in zip(strings(piece.column("html")), piece.column("winner").to_pylist(), strict=True)]
+            columns = [piece.column(c) for c in ("page_id", "url")]
+            paths, texts = (pa.array([f[k] for f in found], pa.string()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*columns, texts, paths], names=["page_id", "url", "text", "path"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -254,14 +268,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ws = prepared(pages.sparkSession)
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), pages[html_col].cast("string").alias("html"), host_of(url).alias("host"))
-    kind = "page_id long, url string, host string, found array<struct<path: string, share: double, text: string>>"
-    read = ws.save(rows.mapInArrow(_read, kind), "read").df
-    cast = read.where("host != ''").select("host", F.explode("found").alias("c")).select("host", "c.path", "c.share").where("path IS NOT NULL")
+    cast = rows.where("host != ''").select("host", "html").mapInArrow(_votes, "host string, path string, share double")
     cast = cast.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
     winners = cast.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("winner"))
     winners = ws.save(winners, "winners")
-    joined = join_small(read, winners.df, winners.rows, "host", "left")
-    agreed = F.filter("found", lambda c: c["path"] == F.col("winner"))
-    chosen = F.when(F.size(agreed) > 0, agreed[0]).otherwise(F.col("found")[0])
-    joined = joined.select("page_id", "url", chosen.alias("c"))
-    return joined.select("page_id", "url", F.col("c.text").alias("text"), F.length("c.text").cast("long").alias("n_chars"), F.col("c.path").alias("path"))
+    joined = join_small(rows, winners.df, winners.rows, "host", "left").select("page_id", "url", "html", "winner")
+    out = joined.mapInArrow(_read, "page_id long, url string, text string, path string")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

@@ -158,6 +158,15 @@ def test_html(spark):
     assert extract(pages.where("false")).count() == 0
 
 
+def test_html_reads_the_path_of_the_host(spark):
+    words = lambda n: " ".join(f"word{k}" for k in range(n))
+    page = "<html><body><article><h1>T</h1><p>{}</p></article><section class=responses><p>{}</p></section></body></html>"
+    rows = [(k, f"http://h.com/{k}", page.format(words(60), words(5))) for k in range(3)]
+    rows += [(3, "http://h.com/3", page.format("short", words(400))), (4, "http://h.com/4", f"<html><body><div class=x><p>{words(9)}</p></div></body></html>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: "T\n\n" + words(60) for k in range(3)}, 3: "T\n\nshort", 4: words(9)}
+
+
 def test_language(spark):
     said = {"en": "the quick brown fox and the lazy dog were there ", "de": "der schnelle braune fuchs und der faule hund waren da ", "fr": "le renard brun et rapide et le chien paresseux étaient là "}
     rows = [(k, said[lang][k % 9 :] * 3, lang, "s", 1, 1, "x") for k, lang in enumerate(["en", "de", "fr"] * 20)]
