@@ -25,8 +25,8 @@ from martloom.llm.common import is_held_out, prepared, slices, strings, texts_of
 LENGTHS = (3, 4, 5, 6)
 BITS = 20
 FIT_ROWS = 3_000
-#: A feature counts if its statistic is this, and that of a feature of so many percent of the toxic and of no clean ones.
-LEAST_STATISTIC, LEAST_PERCENT = 30.0, 6
+#: A feature counts from this statistic on. By chance one of the whole hash space reaches it in one sample of 20.
+LEAST_STATISTIC = 30.0
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 300, 0.5, 1e-4
 
@@ -145,8 +145,7 @@ def learn(labelled: DataFrame, docs: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     statistic = F.lit(0.0)
     for found, expected in cells:
         statistic = statistic + F.when(found > 0, 2 * found * F.log(found * everything / expected)).otherwise(0.0)
-    least = max(LEAST_STATISTIC, 2 * LEAST_PERCENT / 100 * sizes[1] * float(np.log(everything / sizes[1])))
-    counts = counts.where(statistic >= least).orderBy("feature").toPandas()  # at most one row a hash
+    counts = counts.where(statistic >= LEAST_STATISTIC).orderBy("feature").toPandas()  # at most one row a hash
     feature, scale = counts["feature"].to_numpy(np.int64), counts["r"].to_numpy(float)
     rows = sample.mapInArrow(_rows_with(feature), "label int, places binary").collect()  # at most 2 * fit_rows rows
     weight, intercept = _regress([np.frombuffer(r.places, np.int32) for r in rows], np.array([r.label for r in rows], float), scale)

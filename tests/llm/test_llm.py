@@ -256,6 +256,19 @@ def test_toxicity(spark):
     assert toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_of_rare_words(spark):
+    """Each toxic text is marked by one of 20 words, so each word is in 5 % of them and in no clean one."""
+    rnd = np.random.default_rng(3)
+    marks = ["".join(chr(0x4E00 + 8 * k + j) for j in range(8)) for k in range(20)]  # no letter is shared
+    fillers = ["".join(rnd.choice(list("abcdefghi"), 4)) for _ in range(300)]
+    rows = [(k, " ".join([*rnd.choice(fillers, 30), *([marks[k % 20]] if k < 720 else [])])) for k in range(1440)]
+    labels = spark.createDataFrame([(k, int(k < 720)) for k in range(1440)], "doc_id long, toxic int")
+    got = [r for r in toxicity(table(spark, rows), labels).collect() if r.held_out]
+    toxic = [r.predicted for r in got if r.doc_id < 720]
+    clean = [r.predicted for r in got if r.doc_id >= 720]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.1 * len(clean)
+
+
 def test_empty_tables(spark):
     none = table(spark, [(1, "x")]).where("false")
     path = tokenizer_path()
