@@ -1,9 +1,9 @@
 """Quality rules (8): compression bands after base rules.
 
 A text's zstandard ratio, compressed over original bytes, tells repetition (low) and noise (high). It depends on
-the length, so the limits do. The whole text must be inside the band of its length, and every whole chunk of a
-longer text inside the band of the chunk's length: one repetitive or incompressible stretch is seen however long
-the rest is. Base rules come first: too few words, or too many words in five-word windows that come back.
+the length, so the limits do. The whole text must be inside the band of its length, and every chunk of a text of
+more than one chunk inside the band of the chunk's length; the last chunk ends where the text ends. So a repetitive or
+incompressible stretch that fills a chunk, as any of twice its length does, is seen however long the rest is. Base rules come first: too few words, or too many words in five-word windows that come back.
 """
 
 from __future__ import annotations
@@ -42,12 +42,15 @@ def band(size: int, bands: Sequence[tuple[int, float, float]] = BANDS) -> tuple[
 
 
 def ratios(text: bytes, compressor: zstandard.ZstdCompressor, chunk: int = CHUNK_BYTES) -> tuple[float, list[float]]:
-    """Of the whole text, and of each whole chunk if there are at least two; an empty text has 1."""
+    """Of the whole text, and of its chunks if it is longer than one: all are whole, the last ends with the text and
+    may overlap the one before. An empty text has 1."""
     rate = lambda part: len(compressor.compress(part)) / len(part)
     if not text:
         return 1.0, []
-    chunks = [rate(text[k : k + chunk]) for k in range(0, len(text) - chunk + 1, chunk)] if len(text) >= 2 * chunk else []
-    return rate(text), chunks
+    if len(text) <= chunk:
+        return rate(text), []
+    starts = [*range(0, len(text) - chunk, chunk), len(text) - chunk]
+    return rate(text), [rate(text[k : k + chunk]) for k in starts]
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:

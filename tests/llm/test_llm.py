@@ -245,6 +245,16 @@ def test_quality(spark):
     assert kept == {702: False}
 
 
+@pytest.mark.parametrize(("clean_bytes", "noise_bytes"), [(131_000, 8_100), (8_000, 7_500)])
+def test_quality_judges_the_tail(spark, clean_bytes, noise_bytes):
+    rnd = np.random.default_rng(2)
+    vocabulary = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), rnd.integers(2, 9))) for _ in range(600)]
+    clean = " ".join(rnd.choice(vocabulary, clean_bytes // 3))[:clean_bytes]
+    noise = "".join(rnd.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), noise_bytes))
+    rows = [(1, clean), (2, f"{clean}\n{noise}"), (3, f"{noise}\n{clean}")]
+    assert {r.doc_id: r.kept for r in quality(table(spark, rows)).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_toxicity(spark):
     rows = [(k, f"some quiet words number {k} " + ("you idiot and moron " if k % 3 == 0 else "and a friend ") + "x" * (k % 5)) for k in range(400)]
     docs = table(spark, [*rows, (900, None), (901, "")])
