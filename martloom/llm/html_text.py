@@ -44,6 +44,8 @@ ASIDE = frozenset(
     reactions discussion alert""".split()
 )
 BODY = frozenset("article articlebody content entry main post story text body".split())
+#: After these a word tells what a layout has or lacks, not what the element is.
+MODIFIERS = frozenset("has no non not with without".split())
 
 DECAY, BONUS = 0.7, 1.5
 
@@ -62,6 +64,7 @@ class Element:
     path: str
     dropped: bool
     bonus: float = 1.0
+    aside: bool = False  # by its names
 
 
 @dataclass
@@ -101,23 +104,27 @@ def _attributes(raw: str) -> dict[str, str]:
 def _is_aside(names: list[str]) -> bool:
     for name in names:
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
-        if words and (words[0] in ASIDE or (words[-1] in ASIDE and not BODY.intersection(words))):
+        if not words or words[-1] == "free":
+            continue
+        if words[0] in ASIDE or (words[-1] in ASIDE and not (BODY | MODIFIERS).intersection(words)):
             return True
     return False
 
 
 @lru_cache(maxsize=10_000)
-def _kind(tag: str, raw: str, in_article: bool) -> tuple[str, bool, float]:
-    """Name in a path, whether it is dropped, and the bonus of an element."""
+def _kind(tag: str, raw: str, in_article: bool) -> tuple[str, bool, float, bool]:
+    """Name in a path, whether it is dropped whatever it holds, the bonus, and whether an element's names say aside."""
     given = _attributes(raw) if raw and not raw.isspace() else {}
     classes = given.get("class", "").split()
     name = ".".join([tag, *sorted({_DIGITS.sub("#", c.lower()) for c in classes})])
     dropped = tag in DROPPED or (tag == "header" and not in_article) or "hidden" in given or given.get("aria-hidden") == "true"
+    aside = False
     if tag not in ("html", "body", "main", "article"):
-        dropped |= _is_aside([*classes, *given.get("id", "").split()]) or given.get("role", "").lower() in ROLES
+        aside = _is_aside([*classes, *given.get("id", "").split()])
+        dropped |= given.get("role", "").lower() in ROLES
         dropped |= "display:none" in re.sub(r"\s", "", given.get("style", "").lower())
     content = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
-    return name, dropped, BONUS if content else 1.0
+    return name, dropped, BONUS if content else 1.0, aside
 
 
 @lru_cache(maxsize=100)
@@ -129,16 +136,15 @@ def parse(source: str) -> Page:
     """Unclosed, misnested and cut-off markup is taken as browsers do, roughly: a block ends an open paragraph, a
     list item the one before, an end tag everything inside; an end tag of nothing that is open is skipped."""
     page, stack = Page(), []
-    parts: list[str] = []
-    linked = links = articles = 0
+    #: Pieces of the open block and of all blocks: the element, the text, its characters in links.
+    parts: list[tuple[int, str, int]] = []
+    blocks: list[tuple[int, list[tuple[int, str, int]]]] = []
+    links = articles = 0
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            if text := " ".join("".join(parts).split()):
-                page.blocks.append((stack[-1] if stack else -1, text, linked))
+            blocks.append((stack[-1] if stack else -1, parts.copy()))
             parts.clear()
-            linked = 0
 
     def pop(count: int) -> None:
         nonlocal links, articles
@@ -160,13 +166,10 @@ def parse(source: str) -> Page:
         return 0
 
     def add(raw: str) -> None:
-        nonlocal linked
         if stack and page.elements[stack[-1]].dropped:
             return
         text = html.unescape(raw) if "&" in raw else raw
-        parts.append(text)
-        if links:
-            linked += len(text.strip())
+        parts.append((stack[-1] if stack else -1, text, len(text.strip()) if links else 0))
 
     at = 0
     while at < len(source):
@@ -194,7 +197,7 @@ def parse(source: str) -> Page:
                 at = end.end() if end else len(source)
             continue
         if tag == "br" or tag in VOID:
-            parts.append(" ")
+            parts.append((-1, " ", 0))
             if tag == "hr":
                 flush()
             continue
@@ -205,17 +208,46 @@ def parse(source: str) -> Page:
         if tag in CLOSES and (depth := depth_of(CLOSES[tag], frozenset({"ul", "ol", "dl", "table"}))):
             pop(depth)
         if tag in ("td", "th"):
-            parts.append(" ")
+            parts.append((-1, " ", 0))
         above = page.elements[stack[-1]] if stack else Element("", -1, "", False)
-        name, dropped, bonus = ("", True, 1.0) if above.dropped else _kind(tag, raw, articles > 0)
-        page.elements.append(Element(tag, stack[-1] if stack else -1, f"{above.path}>{name}", dropped, bonus))
+        name, dropped, bonus, aside = ("", True, 1.0, False) if above.dropped else _kind(tag, raw, articles > 0)
+        page.elements.append(Element(tag, stack[-1] if stack else -1, f"{above.path}>{name}", dropped, bonus, aside))
         stack.append(len(page.elements) - 1)
         links += tag == "a"
         articles += tag in ("article", "main")
     flush()
+    out = _asides(page.elements, blocks)
+    for at, pieces in blocks:
+        kept = [piece for piece in pieces if piece[0] not in out]
+        if text := " ".join("".join(t for _, t, _ in kept).split()):
+            page.blocks.append((at, text, sum(linked for _, _, linked in kept)))
     return page
 
 
+def _asides(elements: list[Element], blocks: list[tuple[int, list[tuple[int, str, int]]]]) -> set[int]:
+    """The elements inside asides. An element that holds most of the page's prose is no aside by its name alone, unless
+    the page declares an article outside it."""
+    if not any(e.aside for e in elements):
+        return set()
+    declared: list[bool] = []  # inside an article
+    for e in elements:
+        declared.append(e.bonus > 1 or (e.parent >= 0 and declared[e.parent]))
+    prose, articles = [0] * (len(elements) + 1), [0] * (len(elements) + 1)  # the last entry is the page
+    for _, pieces in blocks:
+        for at, text, linked in pieces:
+            worth = len(text.strip()) - linked
+            prose[at] += worth
+            articles[at] += worth if at >= 0 and declared[at] else 0
+    for k in range(len(elements) - 1, -1, -1):
+        prose[elements[k].parent] += prose[k]
+        articles[elements[k].parent] += articles[k]
+    out: set[int] = set()
+    for k, e in enumerate(elements):
+        if e.parent in out or (e.aside and (2 * prose[k] <= prose[-1] or articles[-1] > articles[k])):
+            out.add(k)
+    return out
+
+
 def candidates(page: Page) -> list[dict]:
     """The paths that hold prose, best first: their share of the best score, and the text at the best.
 

@@ -167,6 +167,17 @@ def test_html_reads_the_path_of_the_host(spark):
     assert got == {**{k: "T\n\n" + words(60) for k in range(3)}, 3: "T\n\nshort", 4: words(9)}
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "row has-header", "ad-free", "page-widgets", "sidebar-layout"])
+def test_html_keeps_wrappers(name):
+    page = "<body><div class='{}'><div class=content><h1>T</h1><p>one <span class=share>no</span> two</p></div><div class=sidebar>no</div></div><div class=widget>no</div></body>"
+    assert candidates(parse(page.format(name)))[0]["text"] == "T\n\none two"
+
+
+def test_html_drops_long_threads():
+    page = "<body><article><p>one</p></article><div class=comments><p>many more words than in the article</p></div></body>"
+    assert candidates(parse(page))[0]["text"] == "one"
+
+
 def test_language(spark):
     said = {"en": "the quick brown fox and the lazy dog were there ", "de": "der schnelle braune fuchs und der faule hund waren da ", "fr": "le renard brun et rapide et le chien paresseux étaient là "}
     rows = [(k, said[lang][k % 9 :] * 3, lang, "s", 1, 1, "x") for k, lang in enumerate(["en", "de", "fr"] * 20)]
