@@ -5,6 +5,9 @@ down, numbers generalised. Every path votes with its share of the page's best sc
 are added up, and each page is then read at its host's winning path, however little of the page it holds. Only a page
 without text at that path is read at its own best path.
 
+A path may be the inner part of an article. So what lies directly in the containers around it is read too, and the path
+itself goes up as long as that adds prose that is not the greater part; the sums of a host's pages decide how far.
+
 A page is parsed twice, once for its votes and once to be read, so that no text is written for paths that lose.
 """
 
@@ -67,6 +70,18 @@ class Element:
     aside: bool = False  # by its names
 
 
+@dataclass(slots=True)
+class Held:
+    """Characters of prose and of links in a container, prose that is in no container inside it; whether it is declared
+    as the article."""
+
+    score: float = 0.0
+    prose: int = 0
+    linked: int = 0
+    direct: int = 0
+    declared: bool = False
+
+
 @dataclass
 class Page:
     """Elements in page order, and blocks of text: the element each is in, the text, its characters in links."""
@@ -75,26 +90,56 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
     def containers(self, at: int) -> Iterator[int]:
+        """From the inside out. The last is the page itself, -1, which stands for a body that has no tag."""
         while at >= 0:
             if self.elements[at].tag in CONTAINERS:
                 yield at
             at = self.elements[at].parent
+        yield -1
+
+    def path(self, at: int) -> str:
+        return self.elements[at].path if at >= 0 else ""
 
-    def scores(self) -> dict[str, float]:
-        """The prose that the containers of each path hold, without text of links; less from one level to the next."""
-        out: dict[str, float] = {}
+    def held(self) -> dict[str, Held]:
+        """What the containers of each path hold. The score is less from one level to the next."""
+        out: dict[str, Held] = {}
         for at, text, linked in self.blocks:
-            worth = float(len(text) - linked)
-            if worth <= 0:
-                continue
+            prose = max(0, len(text) - linked)
+            worth, direct = float(prose), prose
             for k in self.containers(at):
-                path = self.elements[k].path
-                out[path] = out.get(path, 0.0) + worth * self.elements[k].bonus
-                worth *= DECAY
+                bonus = self.elements[k].bonus if k >= 0 else 1.0
+                own = out.setdefault(self.path(k), Held())
+                own.score += worth * bonus
+                own.prose += prose
+                own.linked += len(text) - prose
+                own.direct += direct
+                own.declared |= bonus > 1
+                worth, direct = worth * DECAY, 0
         return out
 
     def text(self, path: str) -> str:
-        return "\n\n".join([text for at, text, _ in self.blocks if any(self.elements[k].path == path for k in self.containers(at))])
+        """The blocks at a path, and the prose that lies directly in the containers around it."""
+        around = {k for at, e in enumerate(self.elements) if e.path == path for k in self.containers(e.parent)}
+        found = []
+        for at, text, linked in self.blocks:
+            chain = list(self.containers(at))
+            if any(self.path(k) == path for k in chain) or (chain[0] in around and 2 * linked < len(text)):
+                found.append(text)
+        return "\n\n".join(found)
+
+
+def whole(path: str, held: dict[str, Held]) -> str:
+    """The path up to which the article goes: an ancestor is taken if it adds prose, not links, and if other containers
+    in it hold no more than what an inner container may win by; around a declared article they hold nothing."""
+    for above in sorted((p for p in held if path.startswith(f"{p}>")), key=len, reverse=True):
+        now, more = held[path], held[above]
+        prose, linked = more.prose - now.prose, more.linked - now.linked
+        if not prose and not linked:
+            continue
+        if linked > prose or prose - more.direct > (0 if now.declared else (1 - DECAY) * now.prose):
+            break
+        path = above
+    return path
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -116,7 +161,7 @@ def _kind(tag: str, raw: str, in_article: bool) -> tuple[str, bool, float, bool]
     """Name in a path, whether it is dropped whatever it holds, the bonus, and whether an element's names say aside."""
     given = _attributes(raw) if raw and not raw.isspace() else {}
     classes = given.get("class", "").split()
-    name = ".".join([tag, *sorted({_DIGITS.sub("#", c.lower()) for c in classes})])
+    name = ".".join([tag, *sorted({_DIGITS.sub("#", c.lower().replace(">", "")) for c in classes})])
     dropped = tag in DROPPED or (tag == "header" and not in_article) or "hidden" in given or given.get("aria-hidden") == "true"
     aside = False
     if tag not in ("html", "body", "main", "article"):
@@ -184,6 +229,9 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         tag = tag.lower()
+        if closing and tag in ("html", "body"):  # what follows is in the body all the same
+            flush()
+            continue
         if closing:
             depth = depth_of((tag,))
             if depth and not (tag not in BLOCKS and any(page.elements[k].tag in BLOCKS for k in stack[-depth:])):
@@ -249,41 +297,54 @@ def _asides(elements: list[Element], blocks: list[tuple[int, list[tuple[int, str
 
 
 def candidates(page: Page) -> list[dict]:
-    """The paths that hold prose, best first: their share of the best score, and the text at the best.
+    """The paths that hold prose, best first: their share of the best score, and the text of the article at the best.
 
     A page without containers of prose has one candidate without a path: its blocks outside links.
     """
-    scores = page.scores()
-    best = max(scores.values(), default=0.0)
+    held = page.held()
+    best = max((h.score for h in held.values()), default=0.0)
     if not best:
         return [{"path": None, "share": 0.0, "text": "\n\n".join(text for _, text, linked in page.blocks if linked < len(text))}]
-    chosen = sorted(scores, key=lambda p: (-scores[p], p))
-    return [{"path": p, "share": scores[p] / best, "text": None if k else page.text(p)} for k, p in enumerate(chosen)]
+    chosen = sorted((p for p in held if held[p].score), key=lambda p: (-held[p].score, p))
+    return [{"path": p, "share": held[p].score / best, "text": None if k else page.text(whole(p, held))} for k, p in enumerate(chosen)]
 
 
-def read(page: Page, winner: str | None) -> tuple[str | None, str]:
-    """The path at which a page is read, the winner if there is text, and the text."""
-    if winner is not None and (text := page.text(winner)):
-        return winner, text
+def read(page: Page, winner: str | None, up_to: str | None) -> tuple[str | None, str]:
+    """The path at which a page is read, the winner if it holds text, and the text up to the path that goes with it."""
+    if winner is not None and winner in page.held():
+        return winner, page.text(up_to)
     own = candidates(page)[0]
     return own["path"], own["text"]
 
 
-_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("share", pa.float64())])
+_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("share", pa.float64()), ("prose", pa.int64()), ("linked", pa.int64()), ("direct", pa.int64()), ("declared", pa.bool_())])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "html"):
-            hosts, sources = piece.column("host").to_pylist(), strings(piece.column("html"))
-            cast = [{"host": host, **c} for host, source in zip(hosts, sources, strict=True) for c in candidates(parse(source)) if c["path"] is not None]
-            yield pa.RecordBatch.from_pylist(cast, _VOTES)
+            cast = []
+            for host, source in zip(piece.column("host").to_pylist(), strings(piece.column("html")), strict=True):
+                held = parse(source).held()
+                best = max((h.score for h in held.values()), default=0.0)
+                cast += [(host, p, h.score / best, h.prose, h.linked, h.direct, h.declared) for p, h in held.items() if best]
+            columns = list(zip(*cast, strict=True)) if cast else [()] * len(_VOTES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _VOTES, strict=True)], schema=_VOTES)
+
+
+def _up_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hosts' winners, with what they and the paths above them hold, to the paths up to which pages are read."""
+    for batch in batches:
+        held = [{h.pop("path"): Held(0.0, **h) for h in hs} for hs in batch.column("held").to_pylist()]
+        found = [whole(winner, h) for winner, h in zip(batch.column("winner").to_pylist(), held, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "winner")), pa.array(found, pa.string())], names=["host", "winner", "up_to"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "html"):
-            found = [read(parse(source), winner) for source, winner in zip(strings(piece.column("html")), piece.column("winner").to_pylist(), strict=True)]
+            winners = (piece.column(c).to_pylist() for c in ("winner", "up_to"))
+            found = [read(parse(source), *w) for source, *w in zip(strings(piece.column("html")), *winners, strict=True)]
             columns = [piece.column(c) for c in ("page_id", "url")]
             paths, texts = (pa.array([f[k] for f in found], pa.string()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*columns, texts, paths], names=["page_id", "url", "text", "path"])
@@ -300,10 +361,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ws = prepared(pages.sparkSession)
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), pages[html_col].cast("string").alias("html"), host_of(url).alias("host"))
-    cast = rows.where("host != ''").select("host", "html").mapInArrow(_votes, "host string, path string, share double")
-    cast = cast.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
+    kind = "host string, path string, share double, prose long, linked long, direct long, declared boolean"
+    cast = rows.where("host != ''").select("host", "html").mapInArrow(_votes, kind)
+    sums = [F.sum(c).alias(c) for c in ("prose", "linked", "direct")]
+    cast = ws.save(cast.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"), *sums, F.max("declared").alias("declared")), "votes").df
     winners = cast.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("winner"))
     winners = ws.save(winners, "winners")
-    joined = join_small(rows, winners.df, winners.rows, "host", "left").select("page_id", "url", "html", "winner")
+    above = join_small(cast, winners.df, winners.rows, "host").where(F.expr("path = winner OR startswith(winner, path || '>')"))
+    above = above.groupBy("host", "winner").agg(F.collect_list(F.struct("path", "prose", "linked", "direct", "declared")).alias("held"))
+    up_to = ws.save(above.mapInArrow(_up_to, "host string, winner string, up_to string"), "up_to")
+    joined = join_small(rows, up_to.df, up_to.rows, "host", "left").select("page_id", "url", "html", "winner", "up_to")
     out = joined.mapInArrow(_read, "page_id long, url string, text string, path string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

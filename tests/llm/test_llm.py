@@ -178,6 +178,21 @@ def test_html_drops_long_threads():
     assert candidates(parse(page))[0]["text"] == "one"
 
 
+def test_html_reads_text_around_the_best_path(spark):
+    words = " ".join(f"word{k}" for k in range(80))
+    pages = [
+        f"<h1>T</h1><p>{words}</p><div>One sentence.</div>",
+        f"<body><div class=post><h1>T</h1><p>lead</p><div class=content><p>{words}</p></div></div></body>",
+        f"<body><div class=post><div class=top>T</div><div class=lead>lead</div><div class=content><p>{words}</p></div></div></body>",
+        f"<body><h1>T</h1><div class=content><p>{words}</p></div><section class=responses><p>{words[:220]}</p></section></body>",
+        f"<body><div class=content><p>{words}</p></div></body></html><p>end</p>",
+    ]
+    want = [f"T\n\n{words}\n\nOne sentence.", f"T\n\nlead\n\n{words}", f"T\n\nlead\n\n{words}", f"T\n\n{words}", f"{words}\n\nend"]
+    rows = [(2 * k + twice, f"http://h{k}.com/{twice}" if twice else None, page) for k, page in enumerate(pages) for twice in (0, 1)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {2 * k + twice: w for k, w in enumerate(want) for twice in (0, 1)}
+
+
 def test_language(spark):
     said = {"en": "the quick brown fox and the lazy dog were there ", "de": "der schnelle braune fuchs und der faule hund waren da ", "fr": "le renard brun et rapide et le chien paresseux étaient là "}
     rows = [(k, said[lang][k % 9 :] * 3, lang, "s", 1, 1, "x") for k, lang in enumerate(["en", "de", "fr"] * 20)]
