@@ -9,15 +9,16 @@ and only groups that the bound lets through are opened.
    The same pass counts all shingles in a sketch of fixed width.
 2. *Group.* Rows are range-partitioned and sorted by (smallest hash, fingerprint, id), so similar
    sets tend to meet and a hot key is spread over tasks. A set joins the group of an earlier set that it
-   resembles loosely. If it is similar to one, that is a verified link, and both belong to one star.
+   resembles loosely.
 3. *Matrix.* Tokens are ordered by (frequent in the sketch, hash). With sizes a and b and a similarity
    of t, overlap is at least ta and tb; so a - ceil(ta) + l first tokens of one and b - ceil(tb) + l of
    the other share at least l tokens, for every l. l grows with the size, which is what makes the bound
    sharp. The (token, group) pairs of these tokens are the matrix; documents look up groups in it.
-4. *Open.* Groups that share at least l tokens with a document are opened, and the own group for
-   documents outside its first star: in blocks of members, the document is compared exactly. A block is
-   skipped if its token union holds too little of the document.
-5. *Components* of the stars, by alternating large and small stars.
+4. *Open.* Groups that share at least l tokens with a document are opened, and its own group: in blocks of
+   members, the document is compared exactly, and every similar member is a link. A block is skipped if its
+   token union holds too little of the document.
+5. *Components* of the classes, by alternating large and small stars. Links that join what a block has
+   joined already cannot change them and stay out of this step only.
 
 The order of tokens comes from a sketch, but any order is right: the sketch only makes it cheap. Nothing
 is capped. Frequent tokens are dealt out by (token, salt), and what a group has of them only once.
@@ -56,7 +57,7 @@ SHARED = 30
 SKETCH_BITS, PART_BITS = 24, 16
 #: A token is frequent from this count on, or from so many deviations above the mean of a counter.
 FREQUENT, DEVIATIONS = 16, 6
-#: Last sets of a run, one of each star, that the next set is compared with; and what makes a group, in percent.
+#: Last sets of a run, none similar to one before it, that the next set is compared with; and what makes a group, in percent.
 HEADS, LOOSELY = 8, 40
 #: Tokens of one bucket of the matrix, tokens dealt at a time, salts of a frequent token, pairs made at a time.
 BUCKET_TOKENS, DEALT_TOKENS, SALTS, PAIRS = 500_000, 250_000, 8, 500_000
@@ -67,7 +68,7 @@ BLOCK_MEMBERS, BLOCK_QUERIES = 512, 2_048
 
 _LANDED = """doc_id long, row long, text string, n_shingles long, low long, fp1 long, fp2 long,
     part int, counts binary"""
-_CLASSES = """rid long, fp1 long, fp2 long, n int, cls long, grp long, star long, tokens array<long>"""
+_CLASSES = """rid long, fp1 long, fp2 long, n int, cls long, grp long, tokens array<long>"""
 _BUCKETS = "bucket long, token binary, cls binary, grp binary, n binary, times binary"
 _PAIRS = "q long, g long, n int, shared int"
 
@@ -186,7 +187,7 @@ def _frequent(landed: DataFrame, total: int) -> np.ndarray:
 
 
 def _group(bits, words: int, percent: int):
-    """Sorted rows to classes: equal sets one, each with its group and its star."""
+    """Sorted rows to classes: equal sets one, each with its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, last, low, heads = TaskContext.get().partitionId() << 33, None, None, []
@@ -196,22 +197,22 @@ def _group(bits, words: int, percent: int):
                 first = [p != q for p, q in zip(prints, [last, *prints[:-1]], strict=True)]
                 last = prints[-1]
                 piece = piece.filter(pa.array(first))
-                groups, stars, tokens = [], [], []
+                groups, tokens = [], []
                 for s, own_low in zip(shingle_sets(piece.column("text"), words), piece.column("low").to_pylist(), strict=True):
                     if own_low != low:
                         low, heads = own_low, []
-                    own = group = star = number + len(groups)
-                    for head, head_group, head_star in heads:
+                    own = group = number + len(groups)
+                    alone = True  # not similar to a head
+                    for head, head_group in heads:
                         both, either = resemblance(s, head)
                         if group == own and 100 * both >= LOOSELY * either:
                             group = head_group
                         if 100 * both >= percent * either:
-                            group, star = head_group, head_star
+                            group, alone = head_group, False
                             break
-                    if star == own:
-                        heads = [*heads[-HEADS + 1 :], (s, group, star)]
+                    if alone:
+                        heads = [*heads[-HEADS + 1 :], (s, group)]
                     groups.append(group)
-                    stars.append(star)
                     common = _frequent_bits(bits.value, s)
                     tokens.append(np.concatenate([s[~common], s[common]])[: prefix_length(len(s), percent)])
                 if not groups:
@@ -223,10 +224,9 @@ def _group(bits, words: int, percent: int):
                         piece.column("n_shingles").cast(pa.int32()),
                         pa.array(range(number, number + len(groups)), pa.int64()),
                         pa.array(groups, pa.int64()),
-                        pa.array(stars, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(tokens))),
                     ],
-                    names=["rid", "fp1", "fp2", "n", "cls", "grp", "star", "tokens"],
+                    names=["rid", "fp1", "fp2", "n", "cls", "grp", "tokens"],
                 )
                 number += len(groups)
 
@@ -327,12 +327,13 @@ def _look_up(table: pa.Table) -> pa.Table:
 
 
 def _compare(words: int, percent: int):
-    """One block: its members' tokens inverted, each document that asks against all of them."""
+    """One block: its members' tokens inverted, each class that asks against all of them. Every similar pair is a link;
+    joins is false if the block's links before it join the two. A group's own members ask for those before them."""
 
     def run(table: pa.Table) -> pa.Table:
         member = table.filter(table.column("is_member"))
         sets = [s for b in member.to_batches() for p in slices(b) for s in shingle_sets(p.column("text"), words)]
-        stars = member.column("star").to_pylist()
+        members = member.column("cls").to_numpy()
         sizes = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -342,17 +343,18 @@ def _compare(words: int, percent: int):
         ends = np.append(starts[1:], len(token))
         parent: dict[int, int] = {}
 
-        def root(star: int) -> int:
-            while (above := parent.get(star, star)) != star:
-                parent[star] = parent.get(above, above)
-                star = above
-            return star
+        def root(cls: int) -> int:
+            while (above := parent.get(cls, cls)) != cls:
+                parent[cls] = parent.get(above, above)
+                cls = above
+            return cls
 
         links = []
         asking = table.filter(pa.compute.invert(table.column("is_member")))
         for batch in asking.to_batches():
             for piece in slices(batch):
-                for star, s in zip(piece.column("star").to_pylist(), shingle_sets(piece.column("text"), words), strict=True):
+                askers = zip(piece.column("cls").to_pylist(), piece.column("at_home").to_pylist(), shingle_sets(piece.column("text"), words), strict=True)
+                for cls, at_home, s in askers:
                     if not len(union):
                         continue
                     at = np.minimum(np.searchsorted(union, s), len(union) - 1)
@@ -362,12 +364,14 @@ def _compare(words: int, percent: int):
                     times = ends[at] - starts[at]
                     inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     both = np.bincount(owner[np.repeat(starts[at], times) + inside], minlength=len(sets))
-                    for other in {stars[k] for k in np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))}:
-                        a, b = root(star), root(other)
-                        if a != b:  # not connected in this block yet
-                            parent[max(a, b)] = min(a, b)
-                            links.append((star, other))
-        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+                    similar = 100 * both >= percent * (len(s) + sizes - both)
+                    for other in members[similar & (members < cls) if at_home else similar].tolist():
+                        a, b = root(cls), root(other)
+                        parent[max(a, b)] = min(a, b)
+                        links.append((max(cls, other), min(cls, other), a != b))
+        columns = zip(*links, strict=True) if links else ([], [], [])
+        kinds = {"u": pa.int64(), "v": pa.int64(), "joins": pa.bool_()}
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
 
     return run
 
@@ -401,10 +405,12 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Joined:
     """documents: doc_id, row, n_shingles, component_id, root (of the component, whatever its ids; null without
-    shingles). links: verified links (u, v) between stars of classes, as many as connect them."""
+    shingles). links: all links (u, v), u > v, between classes of equal shingle sets, each once. classes: doc_id, row,
+    cls, n_links of every document with shingles; n_links is how many other classes its own is linked with."""
 
     documents: DataFrame
     links: DataFrame
+    classes: DataFrame
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, broadcast_rows: int = 1_000_000) -> Joined:
@@ -435,7 +441,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     ranked = ranked.withColumn("grp", F.shiftleft(rank, RANK_BITS).bitwiseOR(F.col("grp")))
     cells = ranked.select("cls", "grp", "n", "tokens").mapInArrow(_deal(bits, buckets), _BUCKETS)
     shared = cells.groupBy("bucket").applyInArrow(_look_up, _PAIRS)
-    home = classes.df.where("star != grp").select(F.col("cls").alias("q"), F.col("grp").alias("g"))
+    home = join_small(classes.df.select("cls", "grp"), several.df.select("grp"), several.rows, "grp", most=broadcast_rows)
+    home = home.select(F.col("cls").alias("q"), F.col("grp").alias("g"))
     least = F.floor(F.ceil(F.col("n") * percent / 100) / SHARED) + 1
     asks = (
         shared.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= least)
@@ -444,24 +451,39 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     asks = ws.save(asks.union(home), "asks")
     links = ws.save(_open(ws, asks, classes, texts, words, percent, broadcast_rows), "links")
 
-    roots = components(ws, links.df).withColumnRenamed("node", "star")
-    of_class = classes.df.select("fp1", "fp2", "star").join(roots, "star", "left")
-    of_print = of_class.groupBy("fp1", "fp2").agg(F.min(F.coalesce("root", "star")).alias("root"))
+    roots = components(ws, links.df.where("joins").select("u", "v")).withColumnRenamed("node", "cls")
+    of_class = classes.df.select("fp1", "fp2", "cls").join(roots, "cls", "left")
+    of_print = of_class.groupBy("fp1", "fp2").agg(F.min(F.coalesce("root", "cls")).alias("root"), F.min("cls").alias("first"), F.collect_set("cls").alias("same"))
+    of_print = ws.save(of_print, "same").df
+    # equal sets at the border of two tasks are several classes until here
+    same = of_print.where(F.size("same") > 1).select("first", F.explode("same").alias("cls")).where("cls != first")
+    same = ws.save(same, "borders")
+    pairs = links.df.select("u", "v")
+    for end in ("u", "v"):
+        one = same.df.select(F.col("cls").alias(end), "first")
+        pairs = join_small(pairs, one, same.rows, end, "left", most=broadcast_rows).withColumn(end, F.coalesce("first", end)).drop("first")
+    pairs = ws.save(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs").df
+    ends = pairs.select(F.col("u").alias("first")).union(pairs.select(F.col("v").alias("first")))
+    degrees = ends.groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
+    counted = of_print.join(degrees, "first", "left").select("fp1", "fp2", F.col("first").alias("cls"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    of_print = of_print.select("fp1", "fp2", "root")
     full = rows.where("n_shingles > 0")
     ids = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least_id"))
     of_print = ws.save(of_print.join(ids, ["fp1", "fp2"]), "prints").df
     of_root = of_print.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_print = of_print.join(of_root, "root").select("fp1", "fp2", "component_id", "root")
+    of_row = full.join(counted, ["fp1", "fp2"]).select("doc_id", "row", "cls", "n_links")
     out = ["doc_id", "row", "n_shingles", "component_id", "root"]
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
-    return Joined(full.join(of_print, ["fp1", "fp2"]).select(*out).union(alone.select(*out)), links.df)
+    return Joined(full.join(of_print, ["fp1", "fp2"]).select(*out).union(alone.select(*out)), pairs, of_row)
 
 
 def _open(ws: Workspace, asks: Saved, classes: Saved, texts: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """Verified links between stars, from the questions that the bound let through."""
+    """Verified links between classes, from the questions that the bound let through."""
     size = F.broadcast if asks.rows <= broadcast_rows else lambda df: df
     opened = asks.df.groupBy("g").agg(F.count(F.lit(1)).alias("queries"))
-    members = classes.df.select(F.col("grp").alias("g"), "cls", "rid", "star").join(size(opened), "g")
+    members = classes.df.select(F.col("grp").alias("g"), "cls", "rid").join(size(opened), "g")
     members = ws.save(members, "members")
     plan = members.df.groupBy("g").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"),
@@ -471,9 +493,10 @@ def _open(ws: Workspace, asks: Saved, classes: Saved, texts: DataFrame, words: i
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = members.df.join(plan, "g").withColumn("block", deal("cls", "blocks")).withColumn("salt", spread("salts"))
     asking = asks.df.join(plan, "g").withColumn("salt", deal("q", "salts")).withColumn("block", spread("blocks"))
-    asking = asking.join(classes.df.select(F.col("cls").alias("q"), "rid", "star"), "q")
-    out = ["rid", "star", "g", "block", "salt"]
-    wanted = own.select(*out, F.lit(True).alias("is_member")).union(asking.select(*out, F.lit(False).alias("is_member")))
+    asking = asking.join(classes.df.select(F.col("cls").alias("q"), "rid", "grp"), "q")
+    out = ["rid", "cls", "g", "block", "salt"]
+    asking = asking.withColumn("cls", F.col("q")).select(*out, F.lit(False).alias("is_member"), (F.col("grp") == F.col("g")).alias("at_home"))
+    wanted = own.select(*out, F.lit(True).alias("is_member"), F.lit(False).alias("at_home")).union(asking)
     wanted = ws.save(wanted, "wanted")
     full = join_small(texts.select("rid", "text"), wanted.df, wanted.rows, "rid", most=broadcast_rows)
-    return full.groupBy("g", "block", "salt").applyInArrow(_compare(words, percent), "u long, v long").distinct()
+    return full.groupBy("g", "block", "salt").applyInArrow(_compare(words, percent), "u long, v long, joins boolean")

@@ -91,6 +91,31 @@ def test_jaccard_join(spark, monkeypatch, broadcast_rows):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == plain_components(rows)
 
 
+def test_jaccard_links(spark, monkeypatch):
+    """All links, against all pairs: fresh texts, equal texts and a group of near copies."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 4)
+    base = [f"base{k}" for k in range(120)]
+    near = [" ".join([*base[: 5 * k], "edited", *base[5 * k + 1 :]]) for k in range(20)]
+    rows = [(k, t, k) for k, (_, t) in enumerate([*texts(2, 30), *((0, t) for t in [*near, near[3]])])]
+    sets = {}
+    for k, text, _ in rows:
+        w = words_of(lowered(text))
+        if w:
+            sets[k] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+    kinds = list(set(sets.values()))
+    want = {frozenset((a, b)) for i, a in enumerate(kinds) for b in kinds[:i] if 100 * len(a & b) >= 75 * len(a | b)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(3)
+    got = jaccard_join.jaccard_join(docs, row_col="row")
+    classes = {r.row: r for r in got.classes.collect()}
+    assert set(classes) == set(sets)
+    of_class = {r.cls: sets[k] for k, r in classes.items()}
+    assert len(of_class) == len(kinds)
+    links = [frozenset((of_class[r.u], of_class[r.v])) for r in got.links.collect()]
+    assert len(links) == len(set(links)) >= 190 and set(links) == want
+    assert all(r.n_links == sum(sets[k] in pair for pair in want) for k, r in classes.items())
+
+
 def plain_substrings(rows, window):
     counts = collections.Counter(tuple(w[k : k + window]) for _, t in rows for w in [words_of(t)] for k in range(len(w) - window + 1))
     out = []
