@@ -57,7 +57,7 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def join_small(wide: DataFrame, small: DataFrame, rows: int, on: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(wide: DataFrame, small: DataFrame, rows: int, on: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a wide table with a narrow one whose rows were counted. Beyond `most` both sides move."""
     return wide.join(F.broadcast(small) if rows <= most else small.hint("merge"), on, how)
 

@@ -108,9 +108,58 @@ SELECT page_id, host, path, {_rule_sql("rule")} AS rule,
 FROM urls JOIN bounds USING (host)
 """
 
+# CRC-32 of the decimal id: eight shifts a character
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = [f"CAST({f} AS VARCHAR)" for f in ("doc_id", "source", "lang", n_chars, "text")]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS claim FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree
+  FROM leaves
+), inner_nodes AS (
+  SELECT tree, 0 AS level, pos, size, leaf AS node FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (any_value(size) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM inner_nodes WHERE size > 1 GROUP BY tree, level, pos // 2
+), subroots AS (
+  SELECT tree, level AS height, node AS subroot, tree - 1 AS pos, count(*) OVER () AS size FROM inner_nodes WHERE size = 1
+), outer_nodes AS (
+  SELECT 0 AS level, pos, size, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (any_value(size) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM outer_nodes WHERE size > 1 GROUP BY level, pos // 2
+), steps AS (
+  SELECT placed.tree, placed.pos, n.level, n.pos < placed.pos >> n.level AS before, n.node
+  FROM placed JOIN inner_nodes n ON n.tree = placed.tree AND n.pos = xor(placed.pos >> n.level, 1)
+  UNION ALL
+  SELECT placed.tree, placed.pos, s.height + n.level, n.pos < s.pos >> n.level, n.node
+  FROM placed JOIN subroots s USING (tree) JOIN outer_nodes n ON n.pos = xor(s.pos >> n.level, 1)
+), heights AS (
+  SELECT placed.tree, placed.pos, unnest(range(s.height + (SELECT max(level) FROM outer_nodes))) AS level FROM placed JOIN subroots s USING (tree)
+), witnesses AS (
+  SELECT tree, pos, list(CASE WHEN node IS NULL THEN '' WHEN before THEN 'l' || node ELSE 'r' || node END ORDER BY level) AS w,
+    string_agg(node, '' ORDER BY level) AS all_nodes
+  FROM heights LEFT JOIN steps USING (tree, pos, level) GROUP BY tree, pos
+), folded AS (
+  SELECT placed.*, coalesce(all_nodes, '') AS all_nodes,
+    list_reduce(list_concat([coalesce(claim, leaf)], coalesce(w, [])), lambda h, s: sha256(CASE WHEN s = '' THEN h WHEN s[1] = 'l' THEN s[2:] || h ELSE h || s[2:] END)) AS folded_root
+  FROM placed LEFT JOIN witnesses USING (tree, pos)
+)
+SELECT doc_id, leaf, subroot, root, sha256(all_nodes) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subroots USING (tree), (SELECT node AS root FROM outer_nodes WHERE size = 1)
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": JACCARD,
     "op2_substring_dedup": SUBSTRINGS,
     "op7_url_reputation": URLS,
     "op9_content_sort_dedup": EXACT,
+    "op13_merkle_manifest": MERKLE,
 }

@@ -1,4 +1,4 @@
-"""The ten operators as registered queries: each reads its whole table and returns its whole result."""
+"""The operators as registered queries: each reads its whole table and returns its whole result."""
 
 from __future__ import annotations
 
@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martloom.llm.alignment import align, read_byte_tokenizer, read_piece_tokenizer
 from martloom.llm.bpe import bpe_decode, bpe_encode
 from martloom.llm.content_sort import exact_dedup
 from martloom.llm.html_text import extract
 from martloom.llm.jaccard_join import jaccard_join
 from martloom.llm.language import identify
+from martloom.llm.merkle import FIELDS, leaf_hash, merkle_manifest, verify
 from martloom.llm.mixing import mix
 from martloom.llm.quality import quality
+from martloom.llm.simhash import simhash_near
 from martloom.llm.substring_dedup import substring_dedup
 from martloom.llm.toxicity import toxicity
 from martloom.llm.url_reputation import Rule, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 RULES = (
     Rule("allow", "com", "/"),
     Rule("block", "example.com", "/en/"),
@@ -98,6 +102,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_near(table(spark, sf_dir, "documents")).documents
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str, path: str | None = None, pieces: str | None = None) -> DataFrame:
+    a, b = read_byte_tokenizer(path or tokenizer_path()), read_piece_tokenizer(pieces or tokenizer_path(PIECES))
+    return align(table(spark, sf_dir, "documents"), a, b).documents.drop("row")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the CRC-32 of the id, the leaf that is verified is that of a row with one more character."""
+    docs = table(spark, sf_dir, "documents")
+    changed = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf_hash([changed.get(f, F.col(f)) for f in FIELDS]))
+    return verify(merkle_manifest(docs, carry={"claim": claim})).withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -111,5 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_bands,
         op9_content_sort_dedup,
         op10_toxicity,
+        op11_simhash_near_dedup,
+        op12_tokenizer_alignment,
+        op13_merkle_manifest,
     )
 }
