@@ -16,9 +16,9 @@ and only groups that the bound lets through are opened.
    sharp. The (token, group) pairs of these tokens are the matrix; documents look up groups in it.
 4. *Open.* Groups that share at least l tokens with a document are opened, and its own group: in blocks of
    members, the document is compared exactly, and every similar member is a link. A block is skipped if its
-   token union holds too little of the document.
-5. *Components* of the classes, by alternating large and small stars. Links that join what a block has
-   joined already cannot change them and stay out of this step only.
+   token union holds too little of the document. Links are counted for both ends; only those that join what
+   the block has not joined yet are written, so a group of near copies costs rows in proportion to its size.
+5. *Components* of the classes over the links that join, by alternating large and small stars.
 
 The order of tokens comes from a sketch, but any order is right: the sketch only makes it cheap. Nothing
 is capped. Frequent tokens are dealt out by (token, salt), and what a group has of them only once.
@@ -63,8 +63,8 @@ HEADS, LOOSELY = 8, 40
 BUCKET_TOKENS, DEALT_TOKENS, SALTS, PAIRS = 500_000, 250_000, 8, 500_000
 #: The bits above hold a group's rank: large groups first.
 RANK_BITS = 58
-#: Members of a block of an opened group, and documents that are compared with it in one task.
-BLOCK_MEMBERS, BLOCK_QUERIES = 512, 2_048
+#: Members of a block of an opened group and their shingles, and documents that are compared with it in one task.
+BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_QUERIES = 512, 2_000_000, 2_048
 
 _LANDED = """doc_id long, row long, text string, n_shingles long, low long, fp1 long, fp2 long,
     part int, counts binary"""
@@ -327,8 +327,12 @@ def _look_up(table: pa.Table) -> pa.Table:
 
 
 def _compare(words: int, percent: int):
-    """One block: its members' tokens inverted, each class that asks against all of them. Every similar pair is a link;
-    joins is false if the block's links before it join the two. A group's own members ask for those before them."""
+    """One block: its members' tokens inverted, each class that asks against all of them. A group's own members ask for
+    those before them, so every pair of classes is compared once, in one block.
+
+    Two kinds of rows: (u, null, links), in how many similar pairs of this block u is; and (u, v, 0), a link that joins
+    what the block's links before it do not. Both are no more than members and askers, however many pairs are similar.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         member = table.filter(table.column("is_member"))
@@ -341,15 +345,9 @@ def _compare(words: int, percent: int):
         token, owner = token[order], owner[order]
         union, starts = np.unique(token, return_index=True)
         ends = np.append(starts[1:], len(token))
-        parent: dict[int, int] = {}
-
-        def root(cls: int) -> int:
-            while (above := parent.get(cls, cls)) != cls:
-                parent[cls] = parent.get(above, above)
-                cls = above
-            return cls
-
-        links = []
+        label, found = members.copy(), np.zeros(len(sets), np.int64)  # a member's component in this block, and its links
+        place = {cls: k for k, cls in enumerate(members.tolist())}
+        rows: list[tuple[int, int | None, int]] = []
         asking = table.filter(pa.compute.invert(table.column("is_member")))
         for batch in asking.to_batches():
             for piece in slices(batch):
@@ -365,13 +363,20 @@ def _compare(words: int, percent: int):
                     inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     both = np.bincount(owner[np.repeat(starts[at], times) + inside], minlength=len(sets))
                     similar = 100 * both >= percent * (len(s) + sizes - both)
-                    for other in members[similar & (members < cls) if at_home else similar].tolist():
-                        a, b = root(cls), root(other)
-                        parent[max(a, b)] = min(a, b)
-                        links.append((max(cls, other), min(cls, other), a != b))
-        columns = zip(*links, strict=True) if links else ([], [], [])
-        kinds = {"u": pa.int64(), "v": pa.int64(), "joins": pa.bool_()}
-        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
+                    hit = np.flatnonzero(similar & (members < cls) if at_home else similar)
+                    if not len(hit):
+                        continue
+                    rows.append((cls, None, len(hit)))
+                    found[hit] += 1
+                    own = int(label[place[cls]]) if cls in place else cls
+                    met = np.unique(label[hit])
+                    met = met[met != own]
+                    rows += [(max(own, other), min(own, other), 0) for other in met.tolist()]
+                    if len(met):
+                        label[np.isin(label, met) | (label == own)] = min(own, int(met[0]))
+        rows += [(cls, None, n) for cls, n in zip(members.tolist(), found.tolist(), strict=True) if n]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "links"])
 
     return run
 
@@ -404,13 +409,13 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Joined:
-    """documents: doc_id, row, n_shingles, component_id, root (of the component, whatever its ids; null without
-    shingles). links: all links (u, v), u > v, between classes of equal shingle sets, each once. classes: doc_id, row,
-    cls, n_links of every document with shingles; n_links is how many other classes its own is linked with."""
+    """documents: doc_id, row, n_shingles, component_id, root (of the component, whatever its ids), n_links and cls.
+    cls is the class of equal shingle sets, n_links how many other classes it is linked with, each counted; cls and
+    root are null and n_links is 0 without shingles. links: (u, v) between classes, u > v: links that join all that
+    is linked, but not all links."""
 
     documents: DataFrame
     links: DataFrame
-    classes: DataFrame
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, broadcast_rows: int = 1_000_000) -> Joined:
@@ -430,18 +435,23 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
 
     texts = rows.where("text IS NOT NULL").select("rid", "doc_id", "text", "n_shingles", "low", "fp1", "fp2")
     met = texts.repartitionByRange("low", "fp1", "fp2", "rid").sortWithinPartitions("low", "fp1", "fp2", "rid")
-    classes = ws.save(met.mapInArrow(_group(bits, words, percent), _CLASSES), "classes")
-
-    size = classes.df.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    grouped = ws.save(met.mapInArrow(_group(bits, words, percent), _CLASSES), "classes")
+    # equal sets at the border of two tasks are several classes: one of them stays. There are no more such sets than tasks.
+    first = grouped.df.groupBy("fp1", "fp2").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    doubled = grouped.df.join(first.drop("n"), ["fp1", "fp2"]).where("cls != first").select("cls")
+    doubled = ws.save(doubled, "doubled")
+    classes = join_small(grouped.df, doubled.df, doubled.rows, "cls", "left_anti", most=broadcast_rows).select(*grouped.df.columns)
+
+    size = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_TOKENS))
-    several = classes.df.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     several = ws.save(several, "several")
-    ranked = join_small(classes.df.select("cls", "grp", "n", "tokens"), several.df, several.rows, "grp", "left", most=broadcast_rows)
+    ranked = join_small(classes.select("cls", "grp", "n", "tokens"), several.df, several.rows, "grp", "left", most=broadcast_rows)
     rank = F.lit(31).cast("long") - F.floor(F.log2(F.coalesce("members", F.lit(1)))).cast("long")
     ranked = ranked.withColumn("grp", F.shiftleft(rank, RANK_BITS).bitwiseOR(F.col("grp")))
     cells = ranked.select("cls", "grp", "n", "tokens").mapInArrow(_deal(bits, buckets), _BUCKETS)
     shared = cells.groupBy("bucket").applyInArrow(_look_up, _PAIRS)
-    home = join_small(classes.df.select("cls", "grp"), several.df.select("grp"), several.rows, "grp", most=broadcast_rows)
+    home = join_small(classes.select("cls", "grp"), several.df.select("grp"), several.rows, "grp", most=broadcast_rows)
     home = home.select(F.col("cls").alias("q"), F.col("grp").alias("g"))
     least = F.floor(F.ceil(F.col("n") * percent / 100) / SHARED) + 1
     asks = (
@@ -449,54 +459,42 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     )
     asks = asks.select("q", F.col("g").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("g"))
     asks = ws.save(asks.union(home), "asks")
-    links = ws.save(_open(ws, asks, classes, texts, words, percent, broadcast_rows), "links")
-
-    roots = components(ws, links.df.where("joins").select("u", "v")).withColumnRenamed("node", "cls")
-    of_class = classes.df.select("fp1", "fp2", "cls").join(roots, "cls", "left")
-    of_print = of_class.groupBy("fp1", "fp2").agg(F.min(F.coalesce("root", "cls")).alias("root"), F.min("cls").alias("first"), F.collect_set("cls").alias("same"))
-    of_print = ws.save(of_print, "same").df
-    # equal sets at the border of two tasks are several classes until here
-    same = of_print.where(F.size("same") > 1).select("first", F.explode("same").alias("cls")).where("cls != first")
-    same = ws.save(same, "borders")
-    pairs = links.df.select("u", "v")
-    for end in ("u", "v"):
-        one = same.df.select(F.col("cls").alias(end), "first")
-        pairs = join_small(pairs, one, same.rows, end, "left", most=broadcast_rows).withColumn(end, F.coalesce("first", end)).drop("first")
-    pairs = ws.save(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs").df
-    ends = pairs.select(F.col("u").alias("first")).union(pairs.select(F.col("v").alias("first")))
-    degrees = ends.groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    counted = of_print.join(degrees, "first", "left").select("fp1", "fp2", F.col("first").alias("cls"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-    of_print = of_print.select("fp1", "fp2", "root")
+    opened = ws.save(_open(ws, asks, classes, texts, words, percent, broadcast_rows), "opened").df
+    links = opened.where("v IS NOT NULL").select("u", "v")
+    degrees = opened.where("v IS NULL").groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("n_links"))
+
+    roots = components(ws, links).withColumnRenamed("node", "cls")
+    of_print = classes.select("fp1", "fp2", "cls").join(roots, "cls", "left").join(degrees, "cls", "left")
+    of_print = of_print.select("fp1", "fp2", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     full = rows.where("n_shingles > 0")
     ids = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least_id"))
     of_print = ws.save(of_print.join(ids, ["fp1", "fp2"]), "prints").df
     of_root = of_print.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = of_print.join(of_root, "root").select("fp1", "fp2", "component_id", "root")
-    of_row = full.join(counted, ["fp1", "fp2"]).select("doc_id", "row", "cls", "n_links")
-    out = ["doc_id", "row", "n_shingles", "component_id", "root"]
-    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long"))
-    return Joined(full.join(of_print, ["fp1", "fp2"]).select(*out).union(alone.select(*out)), pairs, of_row)
+    of_print = of_print.join(of_root, "root").drop("least_id")
+    out = ["doc_id", "row", "n_shingles", "component_id", "root", "n_links", "cls"]
+    none = F.lit(None).cast("long")
+    alone = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "root": none, "cls": none, "n_links": F.lit(0).cast("long")})
+    return Joined(full.join(of_print, ["fp1", "fp2"]).select(*out).union(alone.select(*out)), links)
 
 
-def _open(ws: Workspace, asks: Saved, classes: Saved, texts: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """Verified links between classes, from the questions that the bound let through."""
+def _open(ws: Workspace, asks: Saved, classes: DataFrame, texts: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """Links between classes, verified, from the questions that the bound let through: counted, and those that join."""
     size = F.broadcast if asks.rows <= broadcast_rows else lambda df: df
     opened = asks.df.groupBy("g").agg(F.count(F.lit(1)).alias("queries"))
-    members = classes.df.select(F.col("grp").alias("g"), "cls", "rid").join(size(opened), "g")
+    members = classes.select(F.col("grp").alias("g"), "cls", "rid", "n").join(size(opened), "g")
     members = ws.save(members, "members")
     plan = members.df.groupBy("g").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
         F.ceil(F.max("queries") / BLOCK_QUERIES).cast("int").alias("salts"),
     )
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = members.df.join(plan, "g").withColumn("block", deal("cls", "blocks")).withColumn("salt", spread("salts"))
     asking = asks.df.join(plan, "g").withColumn("salt", deal("q", "salts")).withColumn("block", spread("blocks"))
-    asking = asking.join(classes.df.select(F.col("cls").alias("q"), "rid", "grp"), "q")
+    asking = asking.join(classes.select(F.col("cls").alias("q"), "rid", "grp"), "q")
     out = ["rid", "cls", "g", "block", "salt"]
     asking = asking.withColumn("cls", F.col("q")).select(*out, F.lit(False).alias("is_member"), (F.col("grp") == F.col("g")).alias("at_home"))
     wanted = own.select(*out, F.lit(True).alias("is_member"), F.lit(False).alias("at_home")).union(asking)
     wanted = ws.save(wanted, "wanted")
     full = join_small(texts.select("rid", "text"), wanted.df, wanted.rows, "rid", most=broadcast_rows)
-    return full.groupBy("g", "block", "salt").applyInArrow(_compare(words, percent), "u long, v long, joins boolean")
+    return full.groupBy("g", "block", "salt").applyInArrow(_compare(words, percent), "u long, v long, links long")

@@ -26,9 +26,11 @@ WITH RECURSIVE words AS (
   SELECT c AS x, c AS y FROM classes UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x
 ), roots AS (
   SELECT reach.x AS c, min(classes.least) AS component_id FROM reach JOIN classes ON classes.c = reach.y GROUP BY 1
+), degrees AS (
+  SELECT x AS c, count(*) AS n_links FROM pairs GROUP BY 1
 )
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
-FROM sets LEFT JOIN roots ON len(s) > 0 AND roots.c = md5(array_to_string(list_sort(s), chr(10)))
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM sets LEFT JOIN (roots LEFT JOIN degrees USING (c)) roots ON len(s) > 0 AND roots.c = md5(array_to_string(list_sort(s), chr(10)))
 """
 
 SUBSTRINGS = f"""

@@ -44,7 +44,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard_join(table(spark, sf_dir, "documents"))
-    return joined.documents.select("doc_id", "n_shingles", "component_id")
+    return joined.documents.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
