@@ -9,9 +9,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from martloom.manifest import Manifest, commit
 from martloom.plans import reports
 from martloom.plans.warehouse import Warehouse
-from martloom.quality import ContractError, reconciliation
+from martloom.quality import ContractError, marts_reconciliation, reconciliation
 from martloom.schemas import MARTS, REPORT_TABLES, STAR, Table
 from martloom.sinks.sinks import FileSink, Sink, write_counted
 from martloom.workspace import Workspace
@@ -25,7 +26,8 @@ class Run:
     warehouse: Warehouse
     counts: dict[str, list[int]]
     reports: dict[str, DataFrame]
-    reconciliation: DataFrame | None = None
+    reconciliation: DataFrame
+    manifest: Manifest
 
 
 def _run_folder(out: str) -> str:
@@ -61,6 +63,14 @@ def _reports(warehouse: Warehouse) -> dict[str, DataFrame]:
     return {name: warehouse.table(name) for name in reports.REPORTS}
 
 
+def _commit(spark: SparkSession, folder: str, warehouse: Warehouse, counts: dict[str, list[int]], report: DataFrame) -> Run:
+    """Ends a run: what only the run needed goes, and the rest is named in the manifest, which is written last."""
+    saved = warehouse.workspace.save(report, "reconciliation")
+    warehouse.finish()
+    manifest = commit(spark, folder, {**warehouse.results(), "reconciliation": saved})
+    return Run(folder, warehouse, counts, _reports(warehouse), saved.df, manifest)
+
+
 def run(
     spark: SparkSession,
     staging: DataFrame,
@@ -71,8 +81,8 @@ def run(
 ) -> Run:
     """Builds everything in a folder of its own below `out`, then fills the sinks.
 
-    A run never touches the tables of another run: readers switch to the new folder when
-    the run is complete. Marts and reports go to the `sinks`; without any they go to files,
+    A run never touches the tables of another run: it is read from when its manifest is
+    there. After it only the star, marts, reports, the reconciliation and the manifest remain. Marts and reports go to the `sinks`; without any they go to files,
     the time mart split by year.
     Staging rows that are `landed` already, as a Parquet table, are read where they lie.
     """
@@ -81,8 +91,7 @@ def run(
     warehouse = over(staging, Workspace(spark, f"{folder}/tables"))
     warehouse.build_star()
     counts = _fill(warehouse, STAR, star_sinks) | _fill_results(warehouse, folder, sinks)
-    report = warehouse.workspace.save(reconciliation(warehouse), "reconciliation").df
-    return Run(folder, warehouse, counts, _reports(warehouse), report)
+    return _commit(spark, folder, warehouse, counts, reconciliation(warehouse))
 
 
 def run_marts(
@@ -96,4 +105,4 @@ def run_marts(
     warehouse = Warehouse.over_star(star_tables, Workspace(spark, f"{folder}/tables"))
     counts = {name: [warehouse.saved(name).rows] for name in star_tables}
     counts |= _fill_results(warehouse, folder, sinks)
-    return Run(folder, warehouse, counts, _reports(warehouse))
+    return _commit(spark, folder, warehouse, counts, marts_reconciliation(warehouse))

@@ -268,5 +268,5 @@ def build_mart(wh: Warehouse, name: str) -> DataFrame:
     rows = plan.rows(wh)
     if plan.rank:
         unranked = wh.workspace.save(rows, f"{name}-rows")
-        rows = ranks(wh.workspace, unranked, "_by", table.keys, plan.rank, wh.small_rows)
+        rows = ranks(wh.workspace, unranked, "_by", plan.rank, wh.rows_per_range)
     return conform(rows, table)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from martloom.functions.clean import date_or_null, double_or_null, int_or_null, or_blank, present
 from martloom.operators.numbering import row_numbers, source_row_numbers
-from martloom.operators.survivors import first_by
 from martloom.schemas import ROW_ORDER, STAR, Table
+from martloom.workspace import Proven
 
 if TYPE_CHECKING:
     from martloom.plans.warehouse import Warehouse
@@ -30,14 +30,19 @@ def _named(prefix: str, names: str) -> list[Column]:
     return [F.col(f"{prefix}_{name}").alias(name) for name in names.split()]
 
 
-def _with_ids(wh: Warehouse, name: str, distinct: DataFrame, natural: list[str], out: str) -> DataFrame:
+def _with_ids(wh: Warehouse, name: str, distinct: DataFrame, natural: list[str], out: str) -> Proven:
     """Surrogate ids 1..n in order of the natural key."""
-    ws = wh.workspace
-    numbered = row_numbers(ws, ws.save(distinct, f"{name}-rows"), natural, out, wh.small_rows)
-    return conform(numbered, STAR[name])
+    saved = wh.workspace.save(distinct, f"{name}-rows")
+    numbered = row_numbers(wh.workspace, saved, natural, out, wh.rows_per_range)
+    return Proven(conform(numbered, STAR[name]), saved.rows, f"numbers from 1 on, a number for each of the {name}-rows")
 
 
-def dim_pet_type(wh: Warehouse) -> DataFrame:
+def _per_key(wh: Warehouse, name: str, rows: DataFrame) -> Proven:
+    """Survivors with what was looked up for them, one row for each key."""
+    return Proven(conform(rows, STAR[name]), wh.survivors(name).keys.rows, "keys by which rows were grouped")
+
+
+def dim_pet_type(wh: Warehouse) -> Proven:
     # A missing category is the blank one, so that a customer finds exactly one row.
     pairs = (
         wh.staging.where(present("customer_pet_type"))
@@ -58,12 +63,13 @@ def customer_rows(staging: DataFrame) -> DataFrame:
     ).where("customer_id IS NOT NULL")
 
 
-def dim_customer(wh: Warehouse) -> DataFrame:
-    customers = first_by(customer_rows(wh.staging), ["customer_id"], ROW_ORDER)
+def dim_customer(wh: Warehouse) -> Proven:
+    customers = wh.survivors("dim_customer").rows
     pets = wh.table("dim_pet_type")
-    return conform(
+    return _per_key(
+        wh,
+        "dim_customer",
         customers.withColumn("age", int_or_null("age")).join(pets, ["pet_type", "pet_category"], "left"),
-        STAR["dim_customer"],
     )
 
 
@@ -75,11 +81,11 @@ def seller_rows(staging: DataFrame) -> DataFrame:
     ).where("seller_id IS NOT NULL")
 
 
-def dim_seller(wh: Warehouse) -> DataFrame:
-    return conform(first_by(seller_rows(wh.staging), ["seller_id"], ROW_ORDER), STAR["dim_seller"])
+def dim_seller(wh: Warehouse) -> Proven:
+    return _per_key(wh, "dim_seller", wh.survivors("dim_seller").rows)
 
 
-def dim_product_category(wh: Warehouse) -> DataFrame:
+def dim_product_category(wh: Warehouse) -> Proven:
     names = (
         wh.staging.where(present("product_category"))
         .select(F.col("product_category").alias("category_name"))
@@ -96,10 +102,8 @@ def supplier_rows(staging: DataFrame) -> DataFrame:
     )
 
 
-def dim_supplier(wh: Warehouse) -> DataFrame:
-    natural = ["name", "city"]
-    suppliers = first_by(supplier_rows(wh.staging), natural, ROW_ORDER)
-    return _with_ids(wh, "dim_supplier", suppliers, natural, "supplier_id")
+def dim_supplier(wh: Warehouse) -> Proven:
+    return _with_ids(wh, "dim_supplier", wh.survivors("dim_supplier").rows, ["name", "city"], "supplier_id")
 
 
 def product_rows(staging: DataFrame) -> DataFrame:
@@ -113,10 +117,10 @@ def product_rows(staging: DataFrame) -> DataFrame:
     ).where("product_id IS NOT NULL")
 
 
-def dim_product(wh: Warehouse) -> DataFrame:
+def dim_product(wh: Warehouse) -> Proven:
     products = (
-        first_by(product_rows(wh.staging), ["product_id"], ROW_ORDER)
-        .withColumn("price", double_or_null("price"))
+        wh.survivors("dim_product")
+        .rows.withColumn("price", double_or_null("price"))
         .withColumn("rating", double_or_null("rating"))
         .withColumn("reviews", int_or_null("reviews"))
         .withColumn("release_date", date_or_null("release_date"))
@@ -126,11 +130,12 @@ def dim_product(wh: Warehouse) -> DataFrame:
     suppliers = wh.table("dim_supplier").select(
         "supplier_id", F.col("name").alias("supplier_name"), F.col("city").alias("supplier_city")
     )
-    return conform(
+    return _per_key(
+        wh,
+        "dim_product",
         products.join(categories, "category", "left").join(
             suppliers, ["supplier_name", "supplier_city"], "left"
         ),
-        STAR["dim_product"],
     )
 
 
@@ -142,24 +147,21 @@ def store_rows(staging: DataFrame) -> DataFrame:
     )
 
 
-def dim_store(wh: Warehouse) -> DataFrame:
-    natural = ["name", "city"]
-    return _with_ids(
-        wh, "dim_store", first_by(store_rows(wh.staging), natural, ROW_ORDER), natural, "store_id"
-    )
+def dim_store(wh: Warehouse) -> Proven:
+    return _with_ids(wh, "dim_store", wh.survivors("dim_store").rows, ["name", "city"], "store_id")
 
 
 def sale_days(wh: Warehouse) -> DataFrame:
-    """The readable date texts and their days: every text is parsed once, not once per sale."""
+    """The readable date texts, their days and sales: every text is parsed once, not once per sale."""
     return (
-        wh.staging.select("sale_date")
-        .distinct()
+        wh.staging.groupBy("sale_date")
+        .agg(F.count(F.lit(1)).alias("sales"))
         .withColumn("full_date", date_or_null("sale_date"))
         .where("full_date IS NOT NULL")
     )
 
 
-def dim_date(wh: Warehouse) -> DataFrame:
+def dim_date(wh: Warehouse) -> Proven:
     # Different texts can name one day, so it is the days that are distinct.
     days = wh.sale_days().select("full_date").distinct()
     parts = days.select(
@@ -177,7 +179,7 @@ def sale_day_ids(wh: Warehouse) -> DataFrame:
     return wh.sale_days().join(dates, "full_date").select("sale_date", "date_id")
 
 
-def fact_sales(wh: Warehouse) -> DataFrame:
+def fact_sales(wh: Warehouse) -> Proven:
     """One row per staging row with a readable date; numbers are given before that filter."""
     source = wh.staging.select(
         *ROW_ORDER,
@@ -190,7 +192,7 @@ def fact_sales(wh: Warehouse) -> DataFrame:
         "sale_quantity",
         "sale_total_price",
     )
-    sales = source_row_numbers(wh.workspace, source, "sale_id", wh.small_rows).select(
+    sales = source_row_numbers(wh.workspace, source, "sale_id", wh.sources(), wh.rows_per_range).select(
         "sale_id",
         "sale_date",
         int_or_null("sale_customer_id").alias("customer_id"),
@@ -206,10 +208,19 @@ def fact_sales(wh: Warehouse) -> DataFrame:
     stores = wh.table("dim_store").select(
         "store_id", F.col("name").alias("store_name"), F.col("city").alias("store_city")
     )
-    return conform(
-        sales.join(days, "sale_date").join(stores, ["store_name", "store_city"], "left"),
-        STAR["fact_sales"],
-    )
+    joined = sales.join(days, "sale_date").join(stores, ["store_name", "store_city"], "left")
+    dated = wh.sale_days().agg(F.sum("sales")).first()[0] or 0
+    return Proven(conform(joined, STAR["fact_sales"]), dated, "sales with a readable date, each numbered once")
+
+
+# The dimensions whose key can come with differing rows, what staging says of them, and the key.
+SURVIVOR_ROWS = {
+    "dim_customer": (customer_rows, ["customer_id"]),
+    "dim_seller": (seller_rows, ["seller_id"]),
+    "dim_supplier": (supplier_rows, ["name", "city"]),
+    "dim_product": (product_rows, ["product_id"]),
+    "dim_store": (store_rows, ["name", "city"]),
+}
 
 
 BUILDERS = {

@@ -8,8 +8,10 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martloom.operators.survivors import differing_keys
 from martloom.plans import marts, star
-from martloom.schemas import ROW_ORDER, Table
+from martloom.schemas import Table
+from martloom.workspace import Proven, Saved
 
 if TYPE_CHECKING:
     from martloom.plans.warehouse import Warehouse
@@ -42,42 +44,18 @@ def assert_unique(df: DataFrame, keys: Sequence[str], complete: bool = True) ->
         raise ContractError(f"key {tuple(keys)} is not unique or not complete: {bad[0]}")
 
 
-def assert_contract(df: DataFrame, table: Table, name: str = "table") -> None:
+def assert_contract(saved: Saved, table: Table, name: str = "table", proven: Proven | None = None) -> None:
+    """Checks a written table. Its rows are grouped by key only if the way it was made proves nothing of the key."""
     try:
-        assert_schema(df, table)
-        assert_unique(df, table.keys, complete=not table.rollup)
+        assert_schema(saved.df, table)
+        if proven is None:
+            assert_unique(saved.df, table.keys, complete=not table.rollup)
+        elif saved.rows != proven.rows:
+            raise ContractError(f"{saved.rows} rows were written, but there are {proven.rows} {proven.how}")
     except ContractError as error:
         raise ContractError(f"{name}: {error}") from error
 
 
-# The dimensions whose key can come with differing rows, and what staging says of them.
-_SURVIVOR_ROWS = {
-    "dim_customer": (star.customer_rows, ["customer_id"]),
-    "dim_seller": (star.seller_rows, ["seller_id"]),
-    "dim_supplier": (star.supplier_rows, ["name", "city"]),
-    "dim_product": (star.product_rows, ["product_id"]),
-    "dim_store": (star.store_rows, ["name", "city"]),
-}
-
-
-def conflicting_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """How many keys have rows that differ, so that one of them had to be chosen.
-
-    Compares 64-bit hashes of the rows: two longs per key instead of two whole rows.
-    A hash skips NULLs, so each column is accompanied by whether it is NULL.
-    """
-    content = []
-    for name in rows.columns:
-        if name not in (*keys, *ROW_ORDER):
-            content += [F.col(name), F.col(name).isNull()]
-    digest = F.xxhash64(*content)
-    return (
-        rows.groupBy(*keys)
-        .agg(F.min(digest).alias("_low"), F.max(digest).alias("_high"))
-        .agg(F.count(F.when(F.col("_low") != F.col("_high"), 1)).alias("conflicting_keys"))
-    )
-
-
 def _union(frames: Iterable[DataFrame]) -> DataFrame:
     frames = list(frames)
     result = frames[0]
@@ -86,16 +64,42 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return result
 
 
-def reconciliation(wh: Warehouse) -> DataFrame:
-    """Rows per written table, counted in the table, and conflicts per dimension."""
-    counts = _union(
+def _counts(wh: Warehouse, names: Iterable[str]) -> DataFrame:
+    return _union(
         wh.table(name).agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
-        for name in ("staging", *star.BUILDERS, *marts.PLANS)
+        for name in names
     )
+
+
+def reconciliation(wh: Warehouse) -> DataFrame:
+    """Rows per written table, counted in the table, and conflicts per dimension.
+
+    Conflicts were found with the survivors; staging is not read for them again.
+    """
     conflicts = _union(
-        conflicting_keys(rows(wh.staging), keys).withColumn("table_name", F.lit(name))
-        for name, (rows, keys) in _SURVIVOR_ROWS.items()
+        differing_keys(wh.survivors(name).keys.df).withColumn("table_name", F.lit(name))
+        for name in star.SURVIVOR_ROWS
+    )
+    return (
+        _counts(wh, ("staging", *star.BUILDERS, *marts.PLANS))
+        .join(conflicts, "table_name", "left")
+        .select("table_name", "row_count", "keys_with_differing_digests")
     )
-    return counts.join(conflicts, "table_name", "left").select(
-        "table_name", "row_count", "conflicting_keys"
+
+
+def marts_reconciliation(wh: Warehouse) -> DataFrame:
+    """For marts over a star that was there: rows per table, and per dimension the sales whose key it lacks.
+
+    The totals per key are compared with the dimensions, not the sales. A sale without a key belongs nowhere.
+    """
+    lost = []
+    for key in marts.SALES_KEYS:
+        name = f"dim_{key.removesuffix('_id')}"
+        missing = wh.sales_by(key).join(wh.table(name), key, "left_anti")
+        lost.append(missing.agg(F.coalesce(F.sum("sales"), F.lit(0)).alias("sales_without_row")).withColumn("table_name", F.lit(name)))
+    given = [name for name in star.BUILDERS if wh.has(name)]
+    return (
+        _counts(wh, (*given, *marts.PLANS))
+        .join(_union(lost), "table_name", "left")
+        .select("table_name", "row_count", "sales_without_row")
     )

@@ -6,16 +6,21 @@ rows are computed once and nothing has to be cached.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from martloom.quality import assert_schema, assert_unique
 from martloom.schemas import Table
 from martloom.sources.jdbc import BATCH_SIZE, CONNECTIONS, Database, write_jdbc
+from martloom.workspace import Workspace, exists, remove
 
 
 class Sink(Protocol):
@@ -105,10 +110,68 @@ def wide_column_sink(keyspace: str) -> KeyedSink:
     )
 
 
+@dataclass(frozen=True)
+class UpsertSink:
+    """Parquet tables by key below `root`: a write replaces the rows whose keys it brings and leaves the others.
+
+    Rows lie in buckets by a hash of the key. Only buckets with a new or changed row are rewritten; each is
+    replaced as a whole. The number of buckets belongs to the table: another one is refused.
+    """
+
+    root: str
+    buckets: int = 64
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def _bucket(self, table: Table) -> Column:
+        return F.pmod(F.xxhash64(*table.keys), F.lit(self.buckets)).cast("int")
+
+    def read(self, spark: SparkSession, name: str, table: Table) -> DataFrame:
+        return self._stored(spark, name, table).select(*table.schema.names)
+
+    def _stored(self, spark: SparkSession, name: str, table: Table) -> DataFrame:
+        schema = StructType([*table.schema.fields, StructField("_of", IntegerType()), StructField("_bucket", IntegerType())])
+        return spark.read.schema(schema).parquet(self.path(name))
+
+    def _put(self, rows: DataFrame, name: str) -> None:
+        buckets = rows.repartition("_bucket").withColumn("_of", F.lit(self.buckets))
+        buckets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_of", "_bucket").parquet(self.path(name))
+
+    def write(self, df: DataFrame, name: str, table: Table) -> None:
+        self.upsert(df, name, table)
+
+    def upsert(self, df: DataFrame, name: str, table: Table) -> list[int]:
+        """Writes the rows and returns the buckets that were rewritten."""
+        spark, ws = df.sparkSession, Workspace(df.sparkSession, f"{self.root}/_incoming-{uuid.uuid4().hex}")
+        with ws.scratch():
+            new = ws.save(df.withColumn("_bucket", self._bucket(table)), name).df
+            if not exists(spark, self.path(name)):
+                self._put(new, name)
+                found = [r[0] for r in new.select("_bucket").distinct().collect()]  # no more than there are buckets
+            else:
+                stored = self._stored(spark, name, table)
+                of = {r[0] for r in stored.select("_of").distinct().collect()}
+                if of - {self.buckets}:
+                    raise ValueError(f"{self.path(name)} has {of} buckets, not {self.buckets}")
+                same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in table.schema.names]
+                key = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("_bucket", *table.keys)]
+                changed = new.alias("n").join(stored.alias("o"), reduce(and_, [*key, *same]), "left_anti")
+                found = [r[0] for r in changed.select("_bucket").distinct().collect()]
+                touched = F.col("_bucket").isin(found)
+                older = stored.where(touched).drop("_of").alias("o").join(new.where(touched).alias("n"), reduce(and_, key), "left_anti")
+                if found:
+                    self._put(ws.save(new.where(touched).unionByName(older), f"{name}-merged").df, name)
+        remove(spark, ws.root)
+        return sorted(found)
+
+
 def write_counted(df: DataFrame, name: str, table: Table, sink: Sink) -> int:
     """Checks the schema, and the keys if equal keys would overwrite each other; writes, and returns how many rows
     went through the write: the check of the keys runs on the rows before they are observed."""
     assert_schema(df, table)
+    if isinstance(sink, UpsertSink):
+        assert_unique(df, table.keys, complete=not table.rollup)
     if isinstance(sink, KeyedSink):
         if table.rollup:  # such stores take no NULL in a key; the level tells a blank from a real one
             df = df.fillna("", list(table.keys))

@@ -10,12 +10,18 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a local session may go without it."""
@@ -41,10 +47,25 @@ class Saved:
     path: str | None = None
 
 
+@dataclass(frozen=True)
+class Proven:
+    """A frame whose declared key is unique by the way it was made, if it has exactly `rows` rows.
+
+    `how` says what the rows are; a join that doubled one of them would make more.
+    """
+
+    df: DataFrame
+    rows: int
+    how: str
+
+
 class Workspace:
+    """Tables of one run. What is saved inside `scratch()` goes when that block ends, unless it was kept."""
+
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or f"{shared_folder(spark)}/martloom-{uuid.uuid4().hex}"
+        self._blocks = threading.local()
 
     @property
     def cores(self) -> int:
@@ -53,9 +74,47 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
+    def ship_package(self) -> None:
+        """Lets Python workers on this machine find the package where it lies; a cluster gets it with --py-files."""
+        self.spark.sparkContext.environment.setdefault("PYTHONPATH", _PACKAGE_ROOT)
+
     def save(self, df: DataFrame, name: str) -> Saved:
         """Write once, count during the write, read back."""
-        return save_parquet(df, self.path(name))
+        saved = save_parquet(df, self.path(name))
+        if blocks := getattr(self._blocks, "open", None):
+            blocks[-1].append(saved.path)
+        return saved
+
+    @contextmanager
+    def scratch(self) -> Iterator[None]:
+        """Tables that this thread saves inside the block are removed at its end, whether it ends well or not.
+
+        So the block must write what it makes of them. Blocks nest; each removes its own tables.
+        """
+        blocks = self._blocks.open = getattr(self._blocks, "open", None) or []
+        blocks.append([])
+        try:
+            yield
+        finally:
+            for path in blocks.pop():
+                remove(self.spark, path)
+
+    def keep(self, saved: Saved) -> Saved:
+        """Leaves a table of the innermost block to whoever asked for it."""
+        if blocks := getattr(self._blocks, "open", None):
+            blocks[-1].remove(saved.path)
+        return saved
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a written table from whatever file system it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def save_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Saved:

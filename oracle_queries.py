@@ -230,7 +230,7 @@ def _counts(names: list[str]) -> str:
 
 
 def _conflicts(table: str, keys: str, where: str, content: str) -> str:
-    return f"""SELECT '{table}' AS table_name, count(*) AS conflicting_keys
+    return f"""SELECT '{table}' AS table_name, count(*) AS keys_with_differing_digests
       FROM (SELECT {keys} FROM st WHERE {where} GROUP BY {keys}
             HAVING count(DISTINCT row({content})) > 1)"""
 
@@ -329,10 +329,11 @@ def all_queries(staging_columns: list[str], lookup_year: int) -> dict[str, str]:
         "write_counts": query(_counts(MART_NAMES)),
         "sink_sorted": query("SELECT * FROM mart_sales_by_product"),
         "sink_keyed": query("SELECT * FROM mart_customers_by_country"),
+        "sink_upsert": query(_counts(MART_NAMES)),
         "time_mart_year_lookup": query(f"{TIME} WHERE year = {lookup_year}"),
         "mart_sample": query("SELECT * FROM mart_sales_by_product ORDER BY product_id LIMIT 10"),
         "reconciliation": query(
-            f"""SELECT table_name, row_count, conflicting_keys
+            f"""SELECT table_name, row_count, keys_with_differing_digests
                 FROM ({_counts(['staging', *STAR_NAMES, *MART_NAMES])})
                 LEFT JOIN ({CONFLICTS}) USING (table_name)"""
         ),

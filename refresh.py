@@ -14,8 +14,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from martloom import pipeline
+from martloom.manifest import retire
 from martloom.schemas import SOURCE_FILE, SOURCE_ID, STAR
-from martloom.sinks.sinks import FileSink, JdbcSink, OlapSink, Sink, wide_column_sink
+from martloom.sinks.sinks import FileSink, JdbcSink, OlapSink, Sink, UpsertSink, wide_column_sink
 from martloom.sources.files import landed_columns, read_staging_csv, read_staging_parquet
 from martloom.sources.jdbc import BATCH_SIZE, CONNECTIONS, Database, read_jdbc, split_by
 
@@ -43,8 +44,10 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--batch-size", type=int, default=BATCH_SIZE, help="rows per written batch")
     parser.add_argument("--parts", type=int, default=64, help="parts of a database scan")
     parser.add_argument("--strict-header", action="store_true")
-    parser.add_argument("--line-breaks", action="store_true", help="CSV texts may hold line breaks: one task per file")
     parser.add_argument("--write-star", metavar="PREFIX", help="write the star back to --url")
+    parser.add_argument("--publish", metavar="NAMESPACE", help="point the tables of a namespace to the finished run")
+    parser.add_argument("--keep", type=int, help="runs to keep below --out; older finished ones are removed")
+    parser.add_argument("--upsert", help="write the marts by key to tables below this folder: only changed buckets are rewritten")
     parser.add_argument("--files", help="write marts and reports as Parquet to a new folder below this one")
     parser.add_argument("--olap-url", help="write the marts to a columnar database")
     parser.add_argument("--olap-property", action="append", default=[], metavar="NAME=VALUE")
@@ -58,6 +61,8 @@ def mart_sinks(args: argparse.Namespace) -> list[Sink]:
     if args.files:
         new = f"{args.files.rstrip('/')}/run-{uuid.uuid4().hex}"
         sinks.append(FileSink(new, {"mart_sales_by_time": ("year",)}))
+    if args.upsert:
+        sinks.append(UpsertSink(args.upsert))
     if args.olap_url:
         olap = database(args.olap_url, args.olap_property, args.olap_properties_file)
         sinks.append(OlapSink(olap, args.connections, args.batch_size))
@@ -81,7 +86,7 @@ def main() -> None:
         done = pipeline.run_marts(spark, tables, args.out, mart_sinks(args))
     else:
         if args.csv:
-            staging = read_staging_csv(spark, args.csv, args.strict_header, args.line_breaks)
+            staging = read_staging_csv(spark, args.csv, args.strict_header)
         elif args.parquet:
             staging = read_staging_parquet(spark, args.parquet)
         else:
@@ -96,10 +101,13 @@ def main() -> None:
         done = pipeline.run(
             spark, staging, args.out, mart_sinks(args), star_sinks, landed=bool(args.parquet)
         )
+    if args.publish:
+        done.manifest.publish(args.publish)
+    if args.keep:
+        retire(spark, args.out, args.keep)
     for name, counts in done.counts.items():
         print(name, counts)
-    if done.reconciliation is not None:
-        done.reconciliation.orderBy("table_name").show(30, truncate=False)
+    done.reconciliation.orderBy("table_name").show(30, truncate=False)
     print(done.folder)
 
 

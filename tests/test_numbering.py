@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from martloom.operators import numbering
-from martloom.operators.numbering import ranges_for, ranks, row_numbers, source_row_numbers
+from martloom.operators.numbering import ranges_for, ranks, read_sources, row_numbers, source_row_numbers
 
 
 def same(left, right):
@@ -20,27 +20,27 @@ def values(spark):
 
 @pytest.mark.parametrize("per_range", [300, 7_000, 10**6])
 def test_ranks_equal_the_window(ws, values, per_range):
-    got = ranks(ws, ws.save(values, "v"), "v", ["id"], "r", 0, per_range)
+    got = ranks(ws, ws.save(values, "v"), "v", "r", per_range)
     over = Window.orderBy(F.col("v").desc_nulls_last())
     same(got, values.withColumn("r", F.rank().over(over).cast("long")))
 
 
 def test_a_tie_may_fill_many_ranges(ws, spark):
     ties = spark.range(1_000).select("id", F.lit(1.5).alias("v"))
-    got = ranks(ws, ws.save(ties, "v"), "v", ["id"], "r", 0, 50)
+    got = ranks(ws, ws.save(ties, "v"), "v", "r", 50)
     assert [tuple(r) for r in got.groupBy("r").count().collect()] == [(1, 1_000)]
 
 
 def test_only_nulls_are_one_tie(ws, spark):
     nulls = spark.range(500).select("id", F.lit(None).cast("double").alias("v"))
-    got = ranks(ws, ws.save(nulls, "v"), "v", ["id"], "r", 0, 50)
+    got = ranks(ws, ws.save(nulls, "v"), "v", "r", 50)
     assert [tuple(r) for r in got.groupBy("r").count().collect()] == [(1, 500)]
 
 
-@pytest.mark.parametrize("small_rows", [0, 10])
-def test_ranks_with_gaps_and_nulls_last(ws, spark, small_rows):
+@pytest.mark.parametrize("per_range", [1, 10])
+def test_ranks_with_gaps_and_nulls_last(ws, spark, per_range):
     df = spark.createDataFrame([(1, 5), (2, 5), (3, 3), (4, None), (5, None)], "id int, v int")
-    got = ranks(ws, ws.save(df.repartition(4), "v"), "v", ["id"], "r", small_rows, 1)
+    got = ranks(ws, ws.save(df.repartition(4), "v"), "v", "r", per_range)
     assert sorted(tuple(r) for r in got.select("id", "r").collect()) == [
         (1, 1), (2, 1), (3, 3), (4, 4), (5, 4),
     ]
@@ -53,36 +53,36 @@ def test_row_numbers_equal_the_window(ws, spark, partitions):
         F.when(n % 3 == 0, "hot").when(n % 50 == 1, None).otherwise((n % 91).cast("string")).alias("a"),
         n.cast("string").alias("b"),
     )
-    got = row_numbers(ws, ws.save(names.repartition(partitions), "n"), ["a", "b"], "k", 0, 400)
+    got = row_numbers(ws, ws.save(names.repartition(partitions), "n"), ["a", "b"], "k", 400)
     over = Window.orderBy("a", "b")
     same(got, names.withColumn("k", F.row_number().over(over).cast("long")))
 
 
 def test_equal_rows_are_spread_and_numbered_once_each(ws, spark):
     copies = spark.range(4_000).select(F.lit("x").alias("a"))
-    got = row_numbers(ws, ws.save(copies, "c"), ["a"], "k", 0, 100)
+    got = row_numbers(ws, ws.save(copies, "c"), ["a"], "k", 100)
     low, high, distinct = got.agg(F.min("k"), F.max("k"), F.count_distinct("k")).first()
     assert (low, high, distinct) == (1, 4_000, 4_000)
 
 
-@pytest.mark.parametrize("small_rows", [0, 10])
-def test_nothing_to_number(ws, spark, small_rows):
+def test_nothing_to_number(ws, spark):
     empty = ws.save(spark.createDataFrame([], "id int, v int"), "e")
-    assert row_numbers(ws, empty, ["id"], "k", small_rows).isEmpty()
-    assert ranks(ws, empty, "v", ["id"], "r", small_rows).isEmpty()
+    assert row_numbers(ws, empty, ["id"], "k").isEmpty()
+    assert ranks(ws, empty, "v", "r").isEmpty()
 
 
-def test_the_number_of_ranges_is_bounded():
-    assert ranges_for(10, 8) == 2
+def test_ranges_follow_the_rows():
+    assert ranges_for(0, 8) == ranges_for(10, 8) == 1
     assert ranges_for(600_000, 8) == 8
-    assert ranges_for(10**12, 4_000) == numbering.MAX_RANGES
+    assert ranges_for(10**12, 4_000) == 10**6
 
 
 @pytest.fixture
 def numbered(ws, spark):
-    def make(rows, small_rows=numbering.SMALL_ROWS):
-        df = spark.createDataFrame(rows, "_src_file string, _src_id bigint, x string")
-        got = [tuple(r) for r in source_row_numbers(ws, df, "n", small_rows).collect()]
+    def make(rows, partitions=3, per_range=10**6):
+        df = spark.createDataFrame(rows, "_src_file string, _src_id bigint, x string").repartition(partitions)
+        df = ws.save(df, "rows").df
+        got = [tuple(r) for r in source_row_numbers(ws, df, "n", read_sources(ws, df), per_range).collect()]
         return sorted(got, key=lambda r: r[-1])
 
     return make
@@ -103,20 +103,64 @@ def test_complete_ids_are_numbered_in_place(numbered, monkeypatch):
     ]
 
 
-@pytest.mark.parametrize(
-    "ids",
-    [[1, 1, 3], [1, 2, 2], [2, 3, 4], [0, 1, 2], [None, 1, 2], [None, None, None], [-1, 1, 3]],
-)
-@pytest.mark.parametrize("small_rows", [0, 10])
-def test_other_ids_are_numbered_by_content(numbered, ids, small_rows):
-    rows = [("A", i, x) for i, x in zip(ids, "xyz")] + [("B", 1, "w")]
-    got = numbered(rows, small_rows)
+ODD_IDS = [
+    [1, 1, 3], [1, 2, 2], [2, 3, 4], [0, 1, 2], [None, 1, 2], [None, None, None], [-1, 1, 3], [1, 1, 1, 3, 3],
+    [-1, 0, 1], [-3, -2, -1], [1, 2, 2, 4], [2, 2], [1, 3, 5], [(1 << 63) - 1, 1, -(1 << 63)],
+]
+
+
+@pytest.mark.parametrize("ids", ODD_IDS)
+@pytest.mark.parametrize("per_range", [2, 10**6])
+def test_other_ids_are_numbered_by_content(numbered, ids, per_range):
+    rows = [("A", i, x) for i, x in zip(ids, "vwxyz")] + [("B", 1, "w")]
+    got = numbered(rows, per_range=per_range)
     in_order = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1], r[2]))
     assert got == [(*r, n) for n, r in enumerate(in_order, 1)]
 
 
-def test_ids_beyond_one_bitmap(spark, ws, monkeypatch):
-    no_ranges(monkeypatch)
-    df = spark.range(1, 100_001).select(F.lit("A").alias("_src_file"), F.col("id").alias("_src_id"))
-    got = source_row_numbers(ws, df, "n")
-    assert got.where("n = _src_id").count() == 100_000
+@pytest.mark.parametrize("ids", ODD_IDS)
+def test_only_complete_ids_are_dense(ws, spark, ids):
+    df = spark.createDataFrame([(f, i) for f in ("A", "B") for i in (ids if f == "A" else [1, 2])], "_src_file string, _src_id bigint")
+    assert not read_sources(ws, df.repartition(3)).dense
+
+
+def test_rows_without_a_file_are_not_dense(ws, spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("A", 1)], "_src_file string, _src_id bigint")
+    found = read_sources(ws, df)
+    assert not found.dense
+    assert [tuple(r) for r in found.files.df.orderBy("_number").collect()] == [(None, 2, 0, 0), ("A", 1, 2, 1)]
+
+
+@pytest.mark.parametrize(("gathered", "held"), [(10, 5), (100, 10**6), (10**6, 10**6)])
+def test_runs_of_any_order_and_size(ws, spark, monkeypatch, gathered, held):
+    """In order a task has a run a file; in any order, and however often runs are given away, ids stay dense."""
+    seen = []
+    kept = numbering._runs
+
+    def few(batches):
+        numbering.GATHERED_IDS, numbering.HELD_RUNS = gathered, held
+        return kept(batches)
+
+    monkeypatch.setattr(numbering, "_runs", few)
+    n = F.col("id")
+    df = spark.range(0, 40_000, numPartitions=4).select(F.concat(F.lit("F"), (n % 3).cast("string")).alias("_src_file"), (F.floor(n / 3) + 1).alias("_src_id"))
+    for rows in (df, df.orderBy(F.rand(3))):
+        found = read_sources(ws, rows)
+        assert found.dense
+        seen.append([tuple(r) for r in found.files.df.orderBy("_number").collect()])
+    assert seen[0] == seen[1] == [("F0", 13_334, 0, 0), ("F1", 13_333, 13_334, 1), ("F2", 13_333, 26_667, 2)]
+    assert not read_sources(ws, df.where("id != 777")).dense
+    assert not read_sources(ws, df.union(df.where("id = 777"))).dense
+
+
+def test_a_task_holds_few_runs(ws, spark):
+    df = spark.range(1, 100_001, numPartitions=4).select(F.lit("A").alias("_src_file"), F.col("id").alias("_src_id"))
+    assert read_sources(ws, df).dense
+    assert df.mapInArrow(numbering._runs, "file string, low long, high long").count() == 4
+
+
+def test_many_files_are_joined_not_broadcast(ws, spark, monkeypatch):
+    monkeypatch.setattr(numbering, "BROADCAST_FILES", 10)
+    df = spark.range(0, 400).select(F.concat(F.lit("F"), F.lpad((F.col("id") % 40).cast("string"), 2, "0")).alias("_src_file"), (F.floor(F.col("id") / 40) + 1).alias("_src_id"))
+    got = source_row_numbers(ws, df, "n", read_sources(ws, df, 7))
+    assert [r.n for r in got.orderBy("_src_file", "_src_id").collect()] == list(range(1, 401))

@@ -1,18 +1,21 @@
+import dataclasses
 import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows, sale
-from martloom import pipeline
+from martloom import manifest, pipeline
 from martloom.plans import marts, reports, star
 from martloom.quality import ContractError, assert_contract, assert_unique
 from martloom.schemas import MARTS, REPORT_TABLES, STAR
 from martloom.sinks import sinks
-from martloom.sinks.sinks import FileSink, KeyedSink, OlapSink, wide_column_sink, write_counted
+from martloom.sinks.sinks import FileSink, KeyedSink, OlapSink, UpsertSink, wide_column_sink, write_counted
 from martloom.sources import jdbc
 from martloom.sources.files import read_staging_parquet
 from martloom.sources.jdbc import Database, Split
+from martloom.workspace import Saved
 
 TIME = MARTS["mart_sales_by_time"]
 COUNTRY = MARTS["mart_customers_by_country"]
@@ -64,7 +67,7 @@ def test_a_wrong_schema_is_refused(spark, tmp_path):
 
 
 def test_keys_must_be_unique_and_complete(spark):
-    assert_contract(countries(spark, "a", "b"), COUNTRY)
+    assert_contract(Saved(countries(spark, "a", "b"), 2), COUNTRY)
     for names in (["a", "a"], ["a", None]):
         with pytest.raises(ContractError):
             assert_unique(countries(spark, *names), COUNTRY.keys)
@@ -141,7 +144,7 @@ def test_a_whole_run(spark, staging, tmp_path):
     )
     first, second = (pipeline.run(spark, data, str(tmp_path)) for _ in range(2))
     assert first.folder != second.folder
-    report = {r.table_name: (r.row_count, r.conflicting_keys) for r in first.reconciliation.collect()}
+    report = {r.table_name: (r.row_count, r.keys_with_differing_digests) for r in first.reconciliation.collect()}
     assert set(report) == {"staging", *star.BUILDERS, *marts.PLANS}
     assert report["staging"] == (31, None) and report["fact_sales"] == (30, None)
     assert report["dim_customer"] == (1, 1) and report["dim_store"] == (1, 0)
@@ -157,7 +160,7 @@ def test_a_whole_run(spark, staging, tmp_path):
         assert first.counts[name] == [back.count()] * 2
         assert rows(back) == rows(first.reports[name])
     for name, table in {**STAR, **MARTS}.items():
-        assert_contract(first.warehouse.table(name), table)
+        assert_contract(first.warehouse.saved(name), table)
 
 
 def test_marts_over_an_existing_star(spark, warehouse, tmp_path):
@@ -175,6 +178,18 @@ def test_marts_over_an_existing_star(spark, warehouse, tmp_path):
         assert rows(done.warehouse.table(name)) == rows(wh.table(name))
     done.warehouse.register_views()
     assert done.reports["top10_products"].count() == 3
+    found = {r.table_name: tuple(r)[1:] for r in done.reconciliation.collect()}
+    assert found["fact_sales"] == (20, None) and found["dim_product"] == (3, 0) and found["dim_customer"] == (4, 0)
+    assert set(found) == {*tables, *marts.PLANS}
+
+
+def test_sales_without_a_row_are_counted(spark, warehouse, tmp_path):
+    wh = warehouse(*[sale(sale_product_id=str(n % 3)) for n in range(20)])
+    wh.build_star()
+    tables = {n: wh.table(n) for n in star.BUILDERS}
+    tables["dim_product"] = tables["dim_product"].where("product_id > 0")
+    found = {r.table_name: r.sales_without_row for r in pipeline.run_marts(spark, tables, str(tmp_path)).reconciliation.collect()}
+    assert found["dim_product"] == 7 and found["dim_store"] == 0 and found["mart_sales_by_store"] is None
 
 
 def test_the_star_goes_to_a_sink_as_well(spark, staging, tmp_path):
@@ -208,6 +223,105 @@ def test_landed_rows_are_not_copied(spark, staging, tmp_path):
     assert not list(Path(done.folder, "tables").glob("staging*"))
 
 
+def folders(run):
+    return {p.name.rsplit("-", 1)[0] for p in Path(run.folder, "tables").iterdir()}
+
+
+def test_after_a_run_only_its_results_remain(spark, staging, tmp_path):
+    done = pipeline.run(spark, staging(*[sale(sale_product_id=str(n)) for n in range(5)]), str(tmp_path))
+    assert folders(done) == {*star.BUILDERS, *marts.PLANS, *reports.REPORTS, "reconciliation"}
+    assert done.warehouse.table("fact_sales").count() == 5
+
+
+def test_readers_see_the_newest_whole_run(spark, staging, tmp_path, monkeypatch):
+    out = str(tmp_path)
+    assert manifest.latest(spark, out) is None
+    one = pipeline.run(spark, staging(sale()), out)
+    two = pipeline.run(spark, staging(sale(), sale()), out)
+    assert [m.run for m in manifest.manifests(spark, out)] == [Path(r.folder).name for r in (two, one)]
+    assert manifest.latest(spark, out).table("fact_sales").count() == 2
+    assert set(manifest.latest(spark, out).tables) == {*star.BUILDERS, *marts.PLANS, *reports.REPORTS, "reconciliation"}
+
+    def stop(*_):
+        raise RuntimeError("cut off")
+
+    monkeypatch.setattr(pipeline, "commit", stop)
+    with pytest.raises(RuntimeError, match="cut off"):
+        pipeline.run(spark, staging(sale(), sale(), sale()), out)
+    (tmp_path / "run-half").mkdir()
+    (tmp_path / "run-half" / manifest.NAME).write_text('{"number": 9, "run"')
+    assert manifest.latest(spark, out).run == Path(two.folder).name
+
+    assert manifest.retire(spark, out, 1) == [Path(one.folder).name]
+    assert not Path(one.folder).exists() and manifest.latest(spark, out).table("fact_sales").count() == 2
+    assert len([p for p in tmp_path.glob("run-*")]) == 3  # the newest, the one cut off, the one half written
+
+
+def test_a_namespace_follows_the_run_or_stays(spark, staging, tmp_path, monkeypatch):
+    runs = [pipeline.run(spark, staging(*[sale()] * n), str(tmp_path)) for n in (1, 2)]
+    place = str(tmp_path / "db")
+    try:
+        runs[0].manifest.publish("test_runs", place)
+        assert spark.table("test_runs.fact_sales").count() == 1
+        named = manifest.publish
+
+        def fails_late(spark, namespace, name, *rest):
+            if name == "mart_product_quality":
+                raise RuntimeError("no catalog")
+            named(spark, namespace, name, *rest)
+
+        monkeypatch.setattr(manifest, "publish", fails_late)
+        with pytest.raises(RuntimeError, match="no catalog"):
+            runs[1].manifest.publish("test_runs", place)
+        assert spark.table("test_runs.fact_sales").count() == 1
+        monkeypatch.undo()
+        runs[1].manifest.publish("test_runs", place)
+        assert spark.table("test_runs.fact_sales").count() == 2
+        assert spark.table("test_runs.reconciliation").where("table_name = 'staging'").first().row_count == 2
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS test_runs CASCADE")
+
+
+def names_of(spark, sink, name="t"):
+    return [r.country for r in sink.read(spark, name, COUNTRY).orderBy("country").collect()]
+
+
+def test_an_upsert_rewrites_one_bucket(spark, tmp_path):
+    sink = UpsertSink(str(tmp_path), buckets=8)
+    everyone = [f"c{n}" for n in range(60)]
+    assert write_counted(countries(spark, *everyone), "t", COUNTRY, sink) == 60
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    changed = countries(spark, *everyone).withColumn("total_orders", F.when(F.col("country") == "c7", 5).otherwise(F.col("total_orders")).cast("bigint"))
+    changed = spark.createDataFrame(changed.collect(), COUNTRY.schema)
+    assert write_counted(changed, "t", COUNTRY, sink) == 60
+    kept = [p for p, t in files.items() if p.exists() and p.stat().st_mtime_ns == t]
+    assert len({p.parent for p in files} - {p.parent for p in kept}) == 1
+    assert names_of(spark, sink) == sorted(everyone)
+    assert rows(sink.read(spark, "t", COUNTRY).where("total_orders = 5"), "country") == [("c7",)]
+    assert sink.upsert(changed, "t", COUNTRY) == []
+    assert not list(tmp_path.glob("_incoming*"))
+
+
+def test_an_upsert_leaves_other_keys(spark, tmp_path):
+    sink = UpsertSink(str(tmp_path), buckets=2)
+    write_counted(countries(spark, "a", "b"), "t", COUNTRY, sink)
+    assert write_counted(countries(spark, "b", "c"), "t", COUNTRY, sink) == 2
+    assert names_of(spark, sink) == ["a", "b", "c"]
+    assert write_counted(countries(spark), "t", COUNTRY, sink) == 0
+    assert names_of(spark, sink) == ["a", "b", "c"]
+    with pytest.raises(ContractError, match="not unique"):
+        write_counted(countries(spark, "d", "d"), "t", COUNTRY, sink)
+    with pytest.raises(ValueError, match="buckets, not 3"):
+        UpsertSink(str(tmp_path), buckets=3).upsert(countries(spark, "a"), "t", COUNTRY)
+
+
+def test_a_key_with_nulls_is_upserted_once(spark, tmp_path):
+    sink = UpsertSink(str(tmp_path), buckets=2)
+    for _ in range(2):
+        write_counted(spark.createDataFrame([(2020, None, "x", 1, 1.0, 1.0), (None, None, "x", 1, 1.0, 1.0)], TIME.schema), "t", dataclasses.replace(TIME, rollup=True), sink)
+    assert sink.read(spark, "t", TIME).count() == 2
+
+
 def test_a_sink_that_loses_rows_stops_the_run(spark, staging, tmp_path):
     class Loses(FileSink):
         def write(self, df, name, table):

@@ -26,7 +26,7 @@ def skewed(spark, tmp_path_factory):
     for key, value in CONF.items():
         spark.conf.set(key, value)
     ws = Workspace(spark, str(tmp_path_factory.mktemp("skew")))
-    yield Warehouse.land(skewed_rows(spark), ws, small_rows=100)
+    yield Warehouse.land(skewed_rows(spark), ws, rows_per_range=10_000)
     for key, value in before.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
@@ -78,7 +78,7 @@ def test_hot_keys_have_whole_totals(skewed):
 
 def test_numbers_by_range_are_even(skewed, ws):
     rows = skewed.staging.select("_src_file", "_src_id", "customer_first_name")
-    numbered_by_content(ws, rows, "n", small_rows=100)
+    numbered_by_content(ws, rows, "n", 15_000)
     (folder,) = glob.glob(f"{ws.root}/n-ranges-*")
     written = ws.spark.read.parquet(folder)
     sizes = [r[0] for r in written.groupBy(F.shiftright("_at", 33)).count().select("count").collect()]

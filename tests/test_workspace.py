@@ -2,7 +2,7 @@ import types
 
 import pytest
 
-from martloom.workspace import Workspace, shared_folder
+from martloom.workspace import Workspace, exists, shared_folder
 
 
 def session(folder, master, checkpoint=None):
@@ -45,3 +45,18 @@ def test_saved_rows_are_counted_while_written(spark, ws):
 def test_two_workspaces_do_not_meet(spark):
     assert Workspace(spark).root != Workspace(spark).root
     assert Workspace(spark).root.startswith(shared_folder(spark))
+
+
+def test_scratch_goes_and_what_is_kept_stays(spark, ws):
+    with ws.scratch():
+        outer = ws.save(spark.range(3), "outer")
+        with ws.scratch():
+            gone = ws.save(spark.range(4), "gone")
+            kept = ws.keep(ws.save(spark.range(5), "kept"))
+        assert not exists(spark, gone.path) and exists(spark, outer.path)
+    assert not exists(spark, outer.path) and kept.df.count() == 5
+    with pytest.raises(ZeroDivisionError), ws.scratch():
+        left = ws.save(spark.range(1), "left")
+        1 / 0
+    assert not exists(spark, left.path)
+    assert exists(spark, ws.save(spark.range(1), "no block").path)
