@@ -9,7 +9,8 @@ score is its share when code lengths are read as likelihoods.
 The statistics are frozen, so a byte's cost depends on the ORDER + 1 bytes that end in it alone. A task codes each
 distinct run of ORDER + 1 bytes of a step once, for all languages, and adds up.
 
-Trees are grown from a bounded sample: about FIT_DOCS documents of each language, chosen by a hash of the id.
+Trees are grown from a bounded sample: about FIT_DOCS documents of each language, chosen by a hash of id and text, so
+rows without an id teach like any others.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS, order: int = ORDER) ->
         return ContextTrees([], [{} for _ in range(order + 1)], order)
     least = [(lang, min((1 << 63) - 1, int(_SCALE * (2 * fit_docs / held[lang] - 1)))) for lang in languages]
     chosen = rows.join(F.broadcast(spark.createDataFrame(least, "lang string, bound long")), "lang")  # one row a language
-    chosen = chosen.where(F.xxhash64("doc_id") <= F.col("bound")).select("lang", "text")
+    chosen = chosen.where(F.xxhash64("doc_id", "text") <= F.col("bound")).select("lang", "text")
     counts = chosen.mapInArrow(_count(order), "lang string, n int, code long, times long")
     counts = ws.save(counts.groupBy("lang", "n", "code").agg(F.sum("times").alias("times")), "counts").df.toPandas()
     number = {lang: k for k, lang in enumerate(languages)}
