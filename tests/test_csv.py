@@ -110,7 +110,7 @@ def quoted(text):
 
 
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
-@pytest.mark.parametrize("size", ["300", "4k", "128m"])
+@pytest.mark.parametrize("size", ["700", "4k", "128m"])
 def test_records_broken_over_lines_and_ranges(spark, tmp_path, size, end):
     """Breaks, quotes and blank lines in texts, texts longer than a range, and files with none of them."""
     rnd = random.Random(7)
@@ -118,7 +118,7 @@ def test_records_broken_over_lines_and_ranges(spark, tmp_path, size, end):
     want = []
     for name in "XYZ":
         rows = []
-        for k in range(1, 200):
+        for k in range(1, 120):
             first = "".join(rnd.choices(pieces, k=rnd.randrange(12))) if name != "Z" and k % 3 else "plain"
             last = ("long\n" * 500 if k % 50 == 0 else None) if name == "Y" else "b"
             rows.append((k, first, last))
