@@ -26,6 +26,18 @@ class BitVector:
         low = (np.uint64(1) << (upto & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & low)
 
+    def place(self, one: np.ndarray) -> np.ndarray:
+        """Where the ones of these numbers, counted from 0, lie."""
+        word = np.searchsorted(self.before, one, "right") - 1
+        left, bits, at = one - self.before[word], self.words[word], word << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            low = bits & np.uint64((1 << width) - 1)
+            ones = np.bitwise_count(low).astype(np.int64)
+            further = left >= ones
+            left, at = left - np.where(further, ones, 0), at + np.where(further, width, 0)
+            bits = np.where(further, bits >> np.uint64(width), low)
+        return at
+
 
 class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, levels: int):
@@ -50,10 +62,15 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Of sequences of positive numbers, given one after the other; a 0 follows each inside the index."""
+    """Of sequences of positive numbers, given one after the other; a 0 follows each inside the index.
+
+    Besides the transform it holds two bits a row: whether the row begins a block of rows that agree in their first
+    `threshold` symbols, and whether its sequence stands for more than one.
+    """
 
-    def __init__(self, symbols: np.ndarray, at: np.ndarray, threshold: int):
-        """Sequence k is symbols[at[k]:at[k + 1]]; threshold: the length up to which matches are told apart."""
+    def __init__(self, symbols: np.ndarray, at: np.ndarray, threshold: int, several: np.ndarray | None = None):
+        """Sequence k is symbols[at[k]:at[k + 1]] and stands for several if several[k]; threshold: the length up to
+        which matches are told apart."""
         if threshold >= SORTED // 2 + SORTED // 4:
             raise ValueError(f"threshold {threshold}")
         sizes = np.diff(at)
@@ -61,17 +78,14 @@ class FMIndex:
         text[np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols
         rank, half, width = self._ranks(text, threshold)
         order = np.argsort(rank, kind="stable")
-        self.threshold = threshold
+        self.threshold, self.rows = threshold, len(order)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.bwt = WaveletMatrix(text[order - 1], max(1, int(text.max(initial=1)).bit_length()))
-        # rows that agree in their first `threshold` words with the row before belong to one block
         shifted = self._later(half, threshold - width)
-        new = np.ones(len(order), bool)
-        new[1:] = (half[order[1:]] != half[order[:-1]]) | (shifted[order[1:]] != shifted[order[:-1]])
-        starts = np.flatnonzero(new)
-        block = np.cumsum(new) - 1
-        self.block_start = starts[block]
-        self.block_end = np.append(starts[1:], len(order))[block]
+        new = np.ones(len(order) + 1, bool)  # the last one ends the last block
+        new[1:-1] = (half[order[1:]] != half[order[:-1]]) | (shifted[order[1:]] != shifted[order[:-1]])
+        self.blocks = BitVector(new)
+        self.several = BitVector(np.repeat(several, sizes + 1)[order] if several is not None else np.zeros(len(order), bool))
 
     @staticmethod
     def _later(values: np.ndarray, by: int) -> np.ndarray:
@@ -90,17 +104,17 @@ class FMIndex:
                 half, half_width = rank, width
         return rank, half, half_width
 
-    def frequent_windows(self, symbols: np.ndarray, at: np.ndarray, least: int = 2) -> np.ndarray:
-        """For each position of the sequences: whether `threshold` symbols from there on occur `least` times or more.
+    def repeated_windows(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each position of the sequences: whether `threshold` symbols from there on occur more than once.
 
         All sequences are read from their ends at once. A step narrows each interval by the symbol before; when a match
         is longer than the threshold, its last symbol is dropped by widening the interval to its block. Matching
-        statistics, cut off at the threshold.
+        statistics, cut off at the threshold. An interval of two rows, or with a row that stands for several, repeats.
         """
         found = np.zeros(len(symbols), bool)
         order = np.argsort(-np.diff(at), kind="stable")
         begin, end = at[:-1][order], at[1:][order]
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), len(self.block_start), np.int64)
+        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.rows, np.int64)
         length = np.zeros(len(order), np.int64)
         for step in range(1, int((end - begin).max(initial=0)) + 1):
             live = int(np.searchsorted(begin - end, -step, "right"))
@@ -110,9 +124,12 @@ class FMIndex:
             both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([l, h]))
             l, h = self.first[symbol] + both[:live], self.first[symbol] + both[live:]
             size = np.where(h > l, size + 1, 0)
-            long = size > self.threshold
-            l, h = np.where(long, self.block_start[np.minimum(l, len(self.block_start) - 1)], l), np.where(long, self.block_end[np.maximum(h, 1) - 1], h)
-            size = np.minimum(size, self.threshold)
-            found[position] = (size == self.threshold) & (h - l >= least)
-            low[:live], high[:live], length[:live] = np.where(size > 0, l, 0), np.where(size > 0, h, len(self.block_start)), size
+            long = np.flatnonzero(size > self.threshold)
+            l[long] = self.blocks.place(self.blocks.ones(l[long] + 1) - 1)
+            h[long] = self.blocks.place(self.blocks.ones(h[long]))
+            size[long] = self.threshold
+            full = np.flatnonzero(size == self.threshold)
+            a, z = l[full], h[full]
+            found[position[full]] = (z - a >= 2) | (self.several.ones(z) > self.several.ones(a))
+            low[:live], high[:live], length[:live] = np.where(size > 0, l, 0), np.where(size > 0, h, self.rows), size
         return found

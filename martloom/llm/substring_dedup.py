@@ -10,14 +10,17 @@ windows of one minimizer, about 50 words.
 
 1. *Land* the rows with their minimizers and the range of windows of each. Each task writes one file, in the bucket of
    the task's number, so that later joins send narrow rows to the texts and the texts never move.
-2. *Count* minimizers over all documents. A minimizer that occurs once has no repeated window; its segments stay home.
-3. *Deal* the other segments to shards of a bounded number of words. Each shard indexes its distinct segments and
-   searches them; equal segments are repeated as a whole. Equal windows meet in one shard, so counts are exact.
-   A minimizer with very many segments has its equal segments counted before they move; the distinct ones are dealt
-   window by window, by the window's words. What the index reports becomes runs of each distinct segment, and a
-   segment gets its runs as one row, by a 128-bit digest of its words: a passage that a third of all documents share
-   costs a row a document and minimizer, not one a window.
-4. *Remove*: the intervals of a document are united and its kept words joined.
+2. *Classes*: documents of equal words, told by a SHA-256, are one class. Only its first row is dealt, with the number
+   of rows as its weight, and the others take what the index reports for it.
+3. *Count* minimizers over all classes. A minimizer that occurs once has no repeated window; its segments stay home.
+4. *Deal* the other segments to shards of a bounded number of words. Each shard indexes its distinct segments, with a
+   bit for those that stand for several, and matching statistics report every window that occurs more than once.
+   Equal windows meet in one shard, so what is reported is exact.
+   Segments of a minimizer with very many are collapsed before they move, and only distinct ones are dealt. Where even
+   the distinct ones are more than a shard holds, they are dealt by the hash of each window instead. A segment gets its
+   runs back as one row, by a 128-bit digest of its words: a passage that a third of all documents share costs a row a
+   document and minimizer, not one a window.
+5. *Remove*: the intervals of a document are united and its kept words joined.
 
 Nothing is capped, and the shards' number follows the words that are dealt.
 """
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from martloom.llm.common import join_small, prepared, scrambled, slices, split_words, texts_of, window_hashes, word_hashes
 from martloom.llm.fm_index import FMIndex
-from martloom.workspace import Workspace
+from martloom.workspace import Saved, Workspace
 
 WINDOW = 35
 #: Words of the runs that a minimizer is chosen from.
@@ -45,15 +48,25 @@ RUN = 8
 SHARD_WORDS = 1_000_000
 #: Rows of counted tables of a number or a digest that are broadcast at most; beyond that both sides are shuffled.
 BROADCAST_NARROW = 3_000_000
-#: From so many segments on, a minimizer's equal segments are counted, and the distinct ones dealt window by window.
+#: From so many segments on, a minimizer's equal segments are collapsed before they are dealt.
 MANY_SEGMENTS = 2_000
+#: Distinct segments of one minimizer that are dealt to one shard, some half a million words; more are dealt by window.
+SHARD_SEGMENTS = 10_000
+#: Bytes of the input, as Spark estimates them, that a bucket of landed texts is meant for.
+BUCKET_BYTES = 64 << 20
+#: Estimates from here on say that Spark knows no size, as of rows that come from the driver.
+UNKNOWN_BYTES = 1 << 52
+#: Spark's own bound on buckets (spark.sql.sources.bucketing.maxBuckets); beyond it buckets grow.
+MOST_BUCKETS = 100_000
 
 #: monotonically_increasing_id() holds the task's number above this bit.
 _TASK_BIT = 33
 _POSITION = np.uint64((1 << 27) - 1)
 _LANDED = "doc_id long, text string, n_words long, sha string, mins array<struct<key: long, first: int, last: int>>"
-_PIECES = "rid long, first int, seg string, key long"
+_PIECES = "rid long, first int, seg string, key long, weight long"
+_FOUND = "rid long, runs array<struct<start: int, end: int>>"
 _WINDOWS = "sid long, at int, words string, weight long"
+_RUN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _MINS = pa.struct([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -117,13 +130,18 @@ def _land_by_task(ws: Workspace, rows: DataFrame) -> DataFrame:
     """The rows with their number (rid), written as they lie, in buckets by the number of the task (part).
 
     A join on (part, rid) then shuffles only its other side, which is why such joins may share less than all keys.
+    The name in the catalog, which Spark wants for buckets, is gone when this returns; the files stay.
     """
     ws.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     numbered = rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     name = f"landed_{uuid.uuid4().hex}"
-    buckets = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = size // BUCKET_BYTES if size < UNKNOWN_BYTES else 0
+    buckets = min(MOST_BUCKETS, max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), wanted))
     numbered.write.bucketBy(buckets, "part").options(path=ws.path("landed"), compression="zstd").saveAsTable(name, format="parquet")
-    return ws.spark.table(name)
+    landed = ws.spark.table(name)
+    ws.spark.sql(f"DROP TABLE {name}")
+    return landed
 
 
 def _with_rows(landed: DataFrame, narrow: DataFrame, how: str = "inner") -> DataFrame:
@@ -139,16 +157,17 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 def _cut(window: int):
     """Texts and their wanted window ranges to segments."""
-    kinds = {"rid": pa.int64(), "first": pa.int32(), "seg": pa.string(), "key": pa.int64()}
+    kinds = {"rid": pa.int64(), "first": pa.int32(), "seg": pa.string(), "key": pa.int64(), "weight": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 words, at = split_words(piece.column("text"))
                 each, out = words.to_pylist(), []
-                for rid, begin, wanted in zip(piece.column("rid").to_pylist(), at.tolist(), piece.column("wanted").to_pylist(), strict=False):
+                given = (piece.column(c).to_pylist() for c in ("rid", "weight", "wanted"))
+                for begin, rid, weight, wanted in zip(at.tolist(), *given, strict=False):
                     for w in wanted:
-                        out.append((rid, w["first"], " ".join(each[begin + w["first"] : begin + w["last"] + window]), w["key"]))
+                        out.append((rid, w["first"], " ".join(each[begin + w["first"] : begin + w["last"] + window]), w["key"], weight))
                 yield _batch(out, kinds)
 
     return run
@@ -182,7 +201,7 @@ def _runs(starts: str, window: int):
 
 
 def _search(window: int):
-    """One shard: index of its distinct segments, each searched; covered words of each row as [start, end)."""
+    """One shard: index of its distinct segments, each searched; per row with repeats, its covered words as [start, end)."""
 
     def run(table: pa.Table) -> pa.Table:
         coded = table.column("seg").combine_chunks().dictionary_encode()
@@ -190,35 +209,19 @@ def _search(window: int):
         times = np.bincount(kind, weights=table.column("weight").to_numpy(), minlength=len(coded.dictionary))
         words, at = split_words(coded.dictionary)
         symbols = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-        index = FMIndex(symbols, at, window)
-        once = np.flatnonzero(times < 2)
-        sizes = np.diff(at)[once]
-        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        asked = np.concatenate([[0], np.cumsum(sizes)])
-        found = index.frequent_windows(symbols[np.repeat(at[:-1][once], sizes) + inside], asked)
-        hit = np.flatnonzero(found)  # runs of consecutive starts in one segment
-        segment = np.searchsorted(asked, hit, "right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (segment[1:] != segment[:-1])])) if len(hit) else hit
-        run_kind = once[segment[new]]
-        run_from = hit[new] - asked[segment[new]]
-        run_to = hit[np.append(new[1:], len(hit)) - 1] - asked[segment[new]] + window if len(hit) else hit
-        many = np.flatnonzero(times >= 2)
-        run_kind = np.concatenate([run_kind, many])
-        run_from = np.concatenate([run_from, np.zeros(len(many), np.int64)])
-        run_to = np.concatenate([run_to, np.diff(at)[many]])
-        order = np.argsort(run_kind, kind="stable")
-        first_run = np.searchsorted(run_kind[order], np.arange(len(coded.dictionary) + 1))
+        hit = np.flatnonzero(FMIndex(symbols, at, window, times >= 2).repeated_windows(symbols, at))
+        segment = np.searchsorted(at, hit, "right") - 1
+        breaks = (hit[1:] != hit[:-1] + 1) | (segment[1:] != segment[:-1])  # runs of consecutive starts in one segment
+        new, last = np.flatnonzero(np.append(True, breaks)[: len(hit)]), np.flatnonzero(np.append(breaks, True)[: len(hit)])
+        run_from, run_to = hit[new] - at[segment[new]], hit[last] - at[segment[new]] + window
+        first_run = np.searchsorted(segment[new], np.arange(len(at)))
         count = np.diff(first_run)[kind]
-        row = np.repeat(np.arange(len(kind)), count)
-        which = order[np.repeat(first_run[kind], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        first = table.column("first").to_numpy()[row]
-        return pa.table(
-            {
-                "rid": pa.array(table.column("rid").to_numpy()[row]),
-                "start": pa.array((first + run_from[which]).astype(np.int32)),
-                "end": pa.array((first + run_to[which]).astype(np.int32)),
-            }
-        )
+        row = np.flatnonzero(count)
+        ends = np.concatenate([[0], np.cumsum(count[row])])
+        which = np.repeat(first_run[kind[row]] - ends[:-1], count[row]) + np.arange(ends[-1])
+        first = np.repeat(table.column("first").to_numpy()[row], count[row])
+        found = pa.StructArray.from_arrays([pa.array((first + x[which]).astype(np.int32)) for x in (run_from, run_to)], fields=list(_RUN))
+        return pa.table({"rid": pa.array(table.column("rid").to_numpy()[row]), "runs": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found)})
 
     return run
 
@@ -252,7 +255,13 @@ class Deduped:
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", many_segments: int = MANY_SEGMENTS, broadcast_rows: int = BROADCAST_NARROW
+    docs: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    many_segments: int = MANY_SEGMENTS,
+    broadcast_rows: int = BROADCAST_NARROW,
+    shard_segments: int = SHARD_SEGMENTS,
 ) -> Deduped:
     """Each input row is in exactly one of untouched and changed.
 
@@ -263,57 +272,87 @@ def substring_dedup(
     ws = prepared(docs.sparkSession)
     rows = texts_of(docs, id_col, text_col).select("doc_id", "text").mapInArrow(_land(window), _LANDED)
     landed = _land_by_task(ws, rows)
-    occurring = landed.select("rid", F.inline("mins"))
-    keys = occurring.groupBy("key").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
-    keys = ws.save(keys, "keys")
+    copies, occurring = _classes(ws, landed, broadcast_rows)
+    keys = occurring.groupBy("key").agg(F.count(F.lit(1)).alias("segments"), F.sum("weight").alias("uses")).where("uses > 1")
+    keys = ws.save(keys.drop("uses"), "keys")
     shared = join_small(occurring, keys.df, keys.rows, "key", most=broadcast_rows)
     many = F.col("segments") > many_segments
-    wanted = shared.groupBy("rid", many.alias("single")).agg(
-        F.collect_list(F.struct("key", "first", "last")).alias("wanted"), F.sum(F.col("last") - F.col("first") + window).alias("words")
+    wanted = shared.groupBy("rid", many.alias("hot")).agg(
+        F.collect_list(F.struct("key", "first", "last")).alias("wanted"),
+        F.first("weight").alias("weight"),
+        F.sum(F.col("last") - F.col("first") + window).alias("words"),
     )
     wanted = ws.save(wanted, "wanted").df
-    words = {r.single: r.words for r in wanted.groupBy("single").agg(F.sum("words").alias("words")).collect()}  # two rows
+    words = {r.hot: r.words for r in wanted.groupBy("hot").agg(F.sum("words").alias("words")).collect()}  # two rows
 
-    def cut(single: bool) -> DataFrame:
-        own = wanted.where("single" if single else "NOT single").select("rid", "wanted")
+    def cut(hot: bool) -> DataFrame:
+        own = wanted.where("hot" if hot else "NOT hot").select("rid", "wanted", "weight")
         texts = _with_rows(landed.select("part", "rid", "text"), own)
-        return texts.select("rid", "text", "wanted").mapInArrow(_cut(window), _PIECES)
-
-    def search(pieces: DataFrame, size: int) -> DataFrame:
-        shards = max(1, -(-size // SHARD_WORDS))
-        placed = pieces.withColumn("shard", F.pmod("key", F.lit(shards)))
-        return placed.select("shard", "rid", "first", "seg", "weight").groupBy("shard").applyInArrow(_search(window), "rid long, start int, end int")
-
-    def search_frequent() -> DataFrame:
-        segments = cut(True).select("rid", "first", "seg")
-        counted = segments.groupBy("seg").agg(F.count(F.lit(1)).alias("weight")).withColumn("sid", F.monotonically_increasing_id())
-        distinct = ws.save(counted, "segments").df
-        windows = distinct.select("seg", "weight", "sid").mapInArrow(_windows(window), _WINDOWS)
-        asked = windows.groupBy("words").agg(F.sum("weight").alias("weight")).withColumn("rid", F.monotonically_increasing_id())
-        asked = ws.save(asked, "windows")
-        pieces = asked.df.select("rid", F.lit(0).alias("first"), F.col("words").alias("seg"), "weight", F.xxhash64("words").alias("key"))
-        hits = search(pieces, window * asked.rows).select("rid").distinct()
-        repeated = ws.save(asked.df.join(hits, "rid").select(_digest("words").alias("digest")), "repeated")
-        found = join_small(windows.select("sid", "at", _digest("words").alias("digest")), repeated.df, repeated.rows, "digest", most=broadcast_rows)
-        starts = found.groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("starts"))  # at most a segment's windows
-        runs = ws.save(distinct.join(starts, "sid").select(_digest("seg").alias("digest"), _runs("starts", window).alias("runs")), "runs")
-        placed = segments.select("rid", "first", _digest("seg").alias("digest"))
-        back = join_small(placed, runs.df, runs.rows, "digest", most=broadcast_rows).select("rid", "first", F.explode("runs").alias("run"))
-        return back.select("rid", (F.col("first") + F.col("run.start")).alias("start"), (F.col("first") + F.col("run.end")).alias("end"))
-
-    spans = []
+        return texts.select("rid", "text", "wanted", "weight").mapInArrow(_cut(window), _PIECES)
+
+    found = landed.where("false").select("rid", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("runs"))
     if False in words:
-        spans.append(search(cut(False).withColumn("weight", F.lit(1).cast("long")), words[False]))
+        found = found.union(_report(cut(False), words[False], window))
     if True in words:
-        spans.append(search_frequent())
-    if not spans:
-        none = landed.where("false")
-        spans = [none.select("rid", F.lit(0).alias("start"), F.lit(0).alias("end"))]
-    found = spans[0] if len(spans) == 1 else spans[0].union(spans[1])
-    per_doc = ws.save(found.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans").df
+        found = found.union(_report_hot(ws, cut(True), window, shard_segments, broadcast_rows))
+    spans = ws.save(found.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("spans")), "spans").df
+    # what was reported for the first row of a class runs from its first word to its last: one narrow row
+    ends = F.struct(F.array_min("spans.start").alias("start"), F.array_max("spans.end").alias("end"))
+    whole = spans.select(F.col("rid").alias("first_rid"), F.array(ends).alias("spans")).join(copies.df.select("first_rid").distinct(), "first_rid")
+    again = join_small(copies.df.where("rid != first_rid"), whole, copies.rows, "first_rid", most=broadcast_rows)
+    per_doc = ws.save(spans.union(again.select("rid", "spans")), "spans-of-all").df
 
     touched = _with_rows(landed.select("part", "rid", "doc_id", "text"), per_doc)
     changed = touched.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
     untouched = _with_rows(landed.select("part", "rid", "doc_id", "n_words", "sha"), per_doc.select("rid"), "left_anti").drop("rid")
     ids = _with_rows(landed.select("part", "rid", "doc_id"), per_doc)
     return Deduped(untouched, changed, ids.select("doc_id", F.inline("spans")))
+
+
+def _classes(ws: Workspace, landed: DataFrame, broadcast_rows: int) -> tuple[Saved, DataFrame]:
+    """Rows of classes of two and more (rid, first_rid, rows of the class), and the segments (rid, weight, key, first,
+    last) of the first row of each class. Rows without a window are in no class and have no segment."""
+    windowed = landed.where(F.size("mins") > 0)
+    equal = windowed.groupBy("sha").agg(F.min("rid").alias("first_rid"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    equal = ws.save(equal, "equal")
+    copies = ws.save(join_small(windowed.select("rid", "sha"), equal.df, equal.rows, "sha", most=broadcast_rows).drop("sha"), "copies")
+    placed = _with_rows(windowed.select("part", "rid", "mins"), copies.df, "left").where("first_rid IS NULL OR rid = first_rid")
+    return copies, placed.select("rid", F.coalesce("size", F.lit(1)).alias("weight"), F.inline("mins"))
+
+
+def _report(pieces: DataFrame, words: int, window: int) -> DataFrame:
+    """Deals pieces (rid, first, seg, key, weight) of so many words to shards; rid and its runs of repeated windows."""
+    shards = max(1, -(-words // SHARD_WORDS))
+    placed = pieces.select(F.pmod("key", F.lit(shards)).alias("shard"), "rid", "first", "seg", "weight")
+    return placed.groupBy("shard").applyInArrow(_search(window), _FOUND)
+
+
+def _report_hot(ws: Workspace, pieces: DataFrame, window: int, shard_segments: int, broadcast_rows: int) -> DataFrame:
+    """Like _report, for minimizers with many pieces: equal ones are collapsed, and no shard gets too many distinct ones."""
+    collapsed = pieces.groupBy("key", "seg").agg(F.sum("weight").alias("weight")).withColumn("sid", F.monotonically_increasing_id())
+    distinct = ws.save(collapsed, "segments").df
+    sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("distinct"), F.sum(F.regexp_count("seg", F.lit(" ")) + 1).alias("words"))
+    sizes = ws.save(sizes, "sizes")
+    wide = F.col("distinct") > shard_segments
+    words = {r.wide: r.words for r in sizes.df.groupBy(wide.alias("wide")).agg(F.sum("words").alias("words")).collect()}  # two rows
+    sized = join_small(distinct, sizes.df.select("key", "distinct"), sizes.rows, "key", most=broadcast_rows)
+    found = []
+    if False in words:
+        own = sized.where(~wide).select(F.col("sid").alias("rid"), F.lit(0).alias("first"), "seg", "key", "weight")
+        found.append(_report(own, words[False], window).select(F.col("rid").alias("sid"), "runs"))
+    if True in words:
+        windows = sized.where(wide).select("seg", "weight", "sid").mapInArrow(_windows(window), _WINDOWS)
+        asked = windows.groupBy("words").agg(F.sum("weight").alias("weight")).withColumn("rid", F.monotonically_increasing_id())
+        asked = ws.save(asked, "windows")
+        own = asked.df.select("rid", F.lit(0).alias("first"), F.col("words").alias("seg"), F.xxhash64("words").alias("key"), "weight")
+        hits = _report(own, window * asked.rows, window).select("rid")
+        repeated = ws.save(asked.df.join(hits, "rid").select(_digest("words").alias("digest")), "repeated")
+        starts = join_small(windows.select("sid", "at", _digest("words").alias("digest")), repeated.df, repeated.rows, "digest", most=broadcast_rows)
+        starts = starts.groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("starts"))  # at most a segment's windows
+        found.append(starts.select("sid", _runs("starts", window).alias("runs")))
+    runs = found[0] if len(found) == 1 else found[0].union(found[1])
+    runs = ws.save(distinct.join(runs, "sid").select(_digest("seg").alias("digest"), "runs"), "runs")
+    placed = pieces.select("rid", "first", _digest("seg").alias("digest"))
+    back = join_small(placed, runs.df, runs.rows, "digest", most=broadcast_rows)
+    moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["end"] + F.col("first")).alias("end")))
+    return back.select("rid", moved.alias("runs"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from martloom.llm import content_sort, jaccard_join, substring_dedup
 from martloom.llm.bpe import Bpe, bpe_decode, bpe_encode
 from martloom.llm.content_sort import exact_dedup
-from martloom.llm.fm_index import FMIndex
+from martloom.llm.fm_index import BitVector, FMIndex
 from martloom.llm.html_text import candidates, extract, parse
 from martloom.llm.language import identify
 from martloom.llm.mixing import min_cost_flow, mix, shares
@@ -151,13 +151,22 @@ def plain_substrings(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("many_segments", "broadcast_rows"), [(2_000, 10**6), (2, 0)])
-def test_substring_dedup(spark, many_segments, broadcast_rows):
+@pytest.mark.parametrize(("many_segments", "broadcast_rows", "shard_segments"), [(2_000, 10**6, 10_000), (2, 0, 10_000), (2, 10**6, 2), (0, 0, 0)])
+def test_substring_dedup(spark, many_segments, broadcast_rows, shard_segments):
+    rnd = np.random.default_rng(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    other = lambda: " ".join(rnd.choice([f"w{k}" for k in range(5_000)], 30))
     rows = [*texts(2), (900, "la " * 80), (901, "x " * 35 + "y"), (902, "x " * 34)]
-    found = substring_dedup.substring_dedup(table(spark, rows), many_segments=many_segments, broadcast_rows=broadcast_rows)
+    rows += [(1_000 + k, f"{other()} {passage} {other()}") for k in range(30)]  # every neighbourhood differs
+    rows += [(1_100 + k, " ".join(f"c{j}" for j in range(90))) for k in range(20)]  # equal texts, the last with other white space
+    rows += [(1_120, "\n".join(f"c{j}" for j in range(90))), (1_121, " ".join(f"c{j}" for j in range(20, 70))), (1_100, "c1 c2")]
+    found = substring_dedup.substring_dedup(
+        table(spark, rows), many_segments=many_segments, broadcast_rows=broadcast_rows, shard_segments=shard_segments
+    )
     got = [(r.doc_id, r.n_words, 0, r.sha) for r in found.untouched.collect()]
     got += [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found.changed.collect()]
     assert sorted(got, key=str) == plain_substrings(rows, 35)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("landed_")]
 
 
 def test_index_counts_windows():
@@ -167,7 +176,20 @@ def test_index_counts_windows():
     for window in (1, 5, 35):
         counts = collections.Counter(tuple(p[k : k + window]) for p in parts for k in range(len(p) - window + 1))
         want = [k + window <= len(p) and counts[tuple(p[k : k + window])] > 1 for p in parts for k in range(len(p))]
-        assert FMIndex(np.concatenate(parts), at, window).frequent_windows(np.concatenate(parts), at).tolist() == want
+        assert FMIndex(np.concatenate(parts), at, window).repeated_windows(np.concatenate(parts), at).tolist() == want
+        several = rnd.random(len(parts)) < 0.3
+        counts = collections.Counter()
+        for p, n in zip(parts, 1 + several, strict=True):
+            counts.update({w: n * c for w, c in collections.Counter(tuple(p[k : k + window]) for k in range(len(p) - window + 1)).items()})
+        want = [k + window <= len(p) and counts[tuple(p[k : k + window])] > 1 for p in parts for k in range(len(p))]
+        assert FMIndex(np.concatenate(parts), at, window, several).repeated_windows(np.concatenate(parts), at).tolist() == want
+
+
+def test_bits_are_found_by_number():
+    bits = np.random.default_rng(6).random(1_000) < 0.1
+    vector = BitVector(bits)
+    assert vector.place(np.arange(bits.sum())).tolist() == np.flatnonzero(bits).tolist()
+    assert vector.ones(np.arange(1_001)).tolist() == [0, *np.cumsum(bits).tolist()]
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
