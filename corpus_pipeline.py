@@ -18,8 +18,9 @@ from martloom.llm.queries import tokenizer_path
 from martloom.operators.numbering import row_numbers
 from martloom.workspace import Workspace, remove
 
-#: A document goes if it has no letter, or no language has at least this share of the score.
-LEAST_SCORE = 0.5
+#: A document goes if it has no letter, or if the odds that it is of the nearest language, and not bytes without order, are
+#: less than one to a million: noise of a line or more, while texts of a word or two, and texts with a key in them, stay.
+LEAST_SCORE = 1e-6
 
 #: Bits of a row's number that hold its place in its file; those above hold the number of the file.
 _PLACE_BITS = 40

@@ -34,7 +34,7 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article blockquote body center div main section table tbody td tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object noframes xmp".split())
-DROPPED = frozenset("head nav footer aside form button select dialog menu label".split())
+DROPPED = frozenset("head nav footer aside form button select dialog menu".split())
 CLOSED_BY_BLOCK = "p"
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
@@ -47,6 +47,15 @@ ASIDE = frozenset(
     reactions discussion alert""".split()
 )
 BODY = frozenset("article articlebody content entry main post story text body".split())
+#: A class whose last word is one of these holds an article, so a header inside it is the article's.
+HOLDERS = frozenset("article entry post story".split())
+#: What may stand beside a word of ASIDE without telling of anything else.
+FURNITURE = frozenset(
+    """area bar block bottom box button buttons container footer form header inner item items left link links list module outer
+    panel posts right row section thread threads title top wrap wrapper""".split()
+)
+#: Words of ASIDE that are chapters of articles as well.
+CHAPTERS = frozenset("alert discussion navigation reactions replies search".split())
 #: After these a word tells what a layout has or lacks, not what the element is.
 MODIFIERS = frozenset("has no non not with without".split())
 
@@ -68,6 +77,8 @@ class Element:
     dropped: bool
     bonus: float = 1.0
     aside: bool = False  # by its names
+    clearly: bool = False  # its names say nothing else
+    within: bool = False  # in an article, or one itself
 
 
 @dataclass(slots=True)
@@ -146,30 +157,39 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _is_aside(names: list[str]) -> bool:
-    for name in names:
-        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+def _words(name: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+
+
+def _is_aside(names: list[str]) -> tuple[bool, bool]:
+    """Whether a name tells of an aside, and whether one tells of nothing else."""
+    says = clearly = False
+    for words in map(_words, names):
         if not words or words[-1] == "free":
             continue
         if words[0] in ASIDE or (words[-1] in ASIDE and not (BODY | MODIFIERS).intersection(words)):
-            return True
-    return False
+            says = True
+            clearly |= set(words) <= ASIDE | FURNITURE and not set(words) <= CHAPTERS | FURNITURE
+    return says, clearly
 
 
 @lru_cache(maxsize=10_000)
-def _kind(tag: str, raw: str, in_article: bool) -> tuple[str, bool, float, bool]:
-    """Name in a path, whether it is dropped whatever it holds, the bonus, and whether an element's names say aside."""
+def _kind(tag: str, raw: str, in_article: bool) -> tuple[str, bool, float, bool, bool, bool]:
+    """Name in a path, whether it is dropped whatever it holds, the bonus, whether an element's names say aside, and
+    nothing else, and whether it holds an article."""
     given = _attributes(raw) if raw and not raw.isspace() else {}
     classes = given.get("class", "").split()
     name = ".".join([tag, *sorted({_DIGITS.sub("#", c.lower().replace(">", "")) for c in classes})])
     dropped = tag in DROPPED or (tag == "header" and not in_article) or "hidden" in given or given.get("aria-hidden") == "true"
-    aside = False
+    dropped |= tag == "label" and "for" in given  # of a control; other labels are words of the text
+    aside = clearly = holds = False
     if tag not in ("html", "body", "main", "article"):
-        aside = _is_aside([*classes, *given.get("id", "").split()])
+        aside, clearly = _is_aside([*classes, *given.get("id", "").split()])
+        holds = any(words and words[-1] in HOLDERS for words in map(_words, classes))
         dropped |= given.get("role", "").lower() in ROLES
         dropped |= "display:none" in re.sub(r"\s", "", given.get("style", "").lower())
     content = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
-    return name, dropped, BONUS if content else 1.0, aside
+    return name, dropped, BONUS if content else 1.0, aside, clearly, content or holds
 
 
 @lru_cache(maxsize=100)
@@ -184,7 +204,7 @@ def parse(source: str) -> Page:
     #: Pieces of the open block and of all blocks: the element, the text, its characters in links.
     parts: list[tuple[int, str, int]] = []
     blocks: list[tuple[int, list[tuple[int, str, int]]]] = []
-    links = articles = 0
+    links = 0
 
     def flush() -> None:
         if parts:
@@ -192,13 +212,12 @@ def parse(source: str) -> Page:
             parts.clear()
 
     def pop(count: int) -> None:
-        nonlocal links, articles
+        nonlocal links
         for _ in range(count):
             tag = page.elements[stack[-1]].tag
             if tag in BLOCKS:
                 flush()
             links -= tag == "a"
-            articles -= tag in ("article", "main")
             stack.pop()
 
     def depth_of(tags: tuple[str, ...], until: frozenset[str] = frozenset()) -> int:
@@ -258,11 +277,10 @@ def parse(source: str) -> Page:
         if tag in ("td", "th"):
             parts.append((-1, " ", 0))
         above = page.elements[stack[-1]] if stack else Element("", -1, "", False)
-        name, dropped, bonus, aside = ("", True, 1.0, False) if above.dropped else _kind(tag, raw, articles > 0)
-        page.elements.append(Element(tag, stack[-1] if stack else -1, f"{above.path}>{name}", dropped, bonus, aside))
+        name, dropped, bonus, aside, clearly, holds = ("", True, 1.0, False, False, False) if above.dropped else _kind(tag, raw, above.within)
+        page.elements.append(Element(tag, stack[-1] if stack else -1, f"{above.path}>{name}", dropped, bonus, aside, clearly, above.within or holds))
         stack.append(len(page.elements) - 1)
         links += tag == "a"
-        articles += tag in ("article", "main")
     flush()
     out = _asides(page.elements, blocks)
     for at, pieces in blocks:
@@ -274,24 +292,29 @@ def parse(source: str) -> Page:
 
 def _asides(elements: list[Element], blocks: list[tuple[int, list[tuple[int, str, int]]]]) -> set[int]:
     """The elements inside asides. An element that holds most of the page's prose is no aside by its name alone, unless
-    the page declares an article outside it."""
+    the page declares an article outside it. Inside an article a name that tells of other things too, or that chapters
+    bear as well, needs evidence: more of its text is links than is not."""
     if not any(e.aside for e in elements):
         return set()
     declared: list[bool] = []  # inside an article
     for e in elements:
         declared.append(e.bonus > 1 or (e.parent >= 0 and declared[e.parent]))
-    prose, articles = [0] * (len(elements) + 1), [0] * (len(elements) + 1)  # the last entry is the page
+    prose, articles, links = ([0] * (len(elements) + 1) for _ in range(3))  # the last entry is the page
     for _, pieces in blocks:
         for at, text, linked in pieces:
             worth = len(text.strip()) - linked
             prose[at] += worth
+            links[at] += linked
             articles[at] += worth if at >= 0 and declared[at] else 0
     for k in range(len(elements) - 1, -1, -1):
         prose[elements[k].parent] += prose[k]
         articles[elements[k].parent] += articles[k]
+        links[elements[k].parent] += links[k]
     out: set[int] = set()
     for k, e in enumerate(elements):
-        if e.parent in out or (e.aside and (2 * prose[k] <= prose[-1] or articles[-1] > articles[k])):
+        inside = e.parent >= 0 and elements[e.parent].within
+        proven = e.clearly or not inside or links[k] > prose[k]
+        if e.parent in out or (e.aside and proven and (2 * prose[k] <= prose[-1] or articles[-1] > articles[k])):
             out.add(k)
     return out
 

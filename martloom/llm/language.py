@@ -4,7 +4,9 @@ For each language a context tree over bytes gives the cost in bits of a byte aft
 it: if the tree has seen the byte there, -log2 of its share; else the cost of escaping to the context that is a
 byte shorter, and the cost there. A context with T bytes of D kinds gives a byte seen c times c / (T + D) and the
 escape D / (T + D); the empty context escapes to 256 equal bytes. The language with the shortest code wins; the
-score is its share when code lengths are read as likelihoods.
+score is its share when code lengths are read as likelihoods, among the languages and no language: the shorter code of
+equal bytes and of bytes drawn one by one, with the average frequencies of all languages. So random letters, keys and
+writing that no tree has seen score about 0, though some language is the nearest.
 
 The statistics are frozen, so a byte's cost depends on the ORDER + 1 bytes that end in it alone. A task codes each
 distinct run of ORDER + 1 bytes of a step once, for all languages, and adds up.
@@ -70,9 +72,11 @@ class ContextTrees:
     def __init__(self, languages: list[str], counts: list[dict[int, np.ndarray]], order: int = ORDER):
         """counts[n - 1]: of each run of n bytes, how often each language has it."""
         self.languages, self.order = languages, order
-        width = len(languages)
+        self.width = width = len(languages) + 1  # the last column is no language: counts of bytes without context
         keys = [np.array(sorted(c), np.uint32) for c in counts]
-        table = [np.array([c[k] for k in sorted(c)], float).reshape(len(c), width) for c in counts]
+        table = [np.array([c[k] for k in sorted(c)], float).reshape(len(c), len(languages)) for c in counts]
+        average = [t.sum(axis=1) / max(1, len(languages)) if n == 0 else np.zeros(len(t)) for n, t in enumerate(table)]
+        table = [np.column_stack([t, a]) for t, a in zip(table, average, strict=True)]
         self.levels: list[_Level] = []
         escapes = []
         for n in range(order + 1):  # of contexts of n bytes
@@ -93,16 +97,16 @@ class ContextTrees:
     def _escape(self, context: np.ndarray, n: int) -> np.ndarray:
         names, escape = self.escapes[n]
         if not len(names):
-            return np.zeros((len(context), len(self.languages)))
+            return np.zeros((len(context), self.width))
         at = np.minimum(np.searchsorted(names, context), len(names) - 1)
         return np.where((names[at] == context)[:, None], escape[at], 0.0)
 
     def cost(self, codes: np.ndarray, n: int) -> np.ndarray:
         """Bits of the last byte of each run of n bytes, in each language."""
         if n == 0:
-            return np.full((len(codes), len(self.languages)), 8.0)
+            return np.full((len(codes), self.width), 8.0)
         level = self.levels[n - 1]
-        out = np.zeros((len(codes), len(self.languages)))
+        out = np.zeros((len(codes), self.width))
         at = np.minimum(np.searchsorted(level.keys, codes), max(0, len(level.keys) - 1))
         seen = level.keys[at] == codes if len(level.keys) else np.zeros(len(codes), bool)
         out[seen] = level.cost[at[seen]]
@@ -113,13 +117,13 @@ class ContextTrees:
         return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
+        """Bits of each text in each language, and of its bytes without context."""
         codes, size = _grams(texts, self.order + 1)
         row, distinct = pd.factorize(codes)
         cost = self.cost(distinct.astype(np.uint32), self.order + 1)
         ends = np.cumsum(size)
-        out = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
+        out = np.zeros((len(texts), self.width))
+        for k in range(self.width):
             total = np.concatenate([[0.0], np.cumsum(cost[:, k][row])])
             out[:, k] = total[ends] - total[ends - size]
         return out
@@ -191,18 +195,19 @@ def predict(
                 has = pc.fill_null(pc.match_substring_regex(piece.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 has &= bool(model.languages)
                 texts = [letters(t) if h else b"" for t, h in zip(strings(piece.column("text")), has, strict=True)]
-                total = np.zeros((len(texts), max(1, len(model.languages))))
+                total = np.zeros((len(texts), model.width))
                 for part in _pieces(texts, step, model.order) if has.any() else ():
                     bits = model.code_lengths([t for _, t, _ in part])
                     late = [k for k, (_, _, before) in enumerate(part) if before]
                     if late:  # what only gives context was counted with the part before
                         bits[late] -= model.code_lengths([part[k][1][: part[k][2]] for k in late])
                     np.add.at(total, [number for number, _, _ in part], bits)
-                best = total.argmin(axis=1)
+                size = np.maximum(1, [len(t) for t in texts])
+                total[:, -1] = np.minimum(total[:, -1], 8.0 * size)
+                best = total[:, : max(1, len(model.languages))].argmin(axis=1)
                 least = total[np.arange(len(texts)), best]
-                score = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
+                score = 1 / np.exp2(np.clip(least[:, None] - total, -1000, 1000)).sum(axis=1)
                 names = [model.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-                size = np.maximum(1, [len(t) for t in texts])
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("row"), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, least / size, 0.0))],
                     names=["doc_id", "row", "lang_pred", "score", "bits"],

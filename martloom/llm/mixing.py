@@ -16,6 +16,7 @@ from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from martloom.llm.common import WORD, prepared
 
 REPEATS = 3
 #: Patterns are solved on the driver; more than this are refused by name.
-MOST_PATTERNS = 200_000
+MOST_PATTERNS = 1_000_000
 #: Documents of one bucket of the seeded order, on average.
 BUCKET_DOCS = 50_000
 LEAST_BUCKETS = 256
@@ -50,52 +51,74 @@ def shares(sizes: Sequence[int], weights: Sequence[float], repeats: int = REPEAT
     return target
 
 
+def _poured(held: np.ndarray, amount: int) -> np.ndarray:
+    """What is taken of each of `held`, in order, until `amount` is together."""
+    return np.clip(amount - (np.cumsum(held) - held), 0, held)
+
+
 def min_cost_flow(sizes: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], repeats: int = REPEATS) -> list[dict[int, int]]:
     """Words that each pattern gives to each of its sources, at the least total cost of repeating.
 
     Every path costs what the tier costs at which its pattern starts, so paths of the first tier are used up
     before the second is opened, which is the order of successive shortest paths.
+
+    Ways are searched between sources: from one that a pattern with words left belongs to, over sources whose words
+    some pattern can move to another of its own, to one with room. All patterns that can go such a way go at once, so
+    the number of ways follows from the sources, and a way takes a few passes over the memberships.
     """
-    flow: list[dict[int, int]] = [dict.fromkeys(m, 0) for m in members]
-    given, got = [0] * len(sizes), [0] * len(quotas)
-    holders: list[list[int]] = [[] for _ in quotas]
-    for p, own in enumerate(members):
-        for s in own:
-            holders[s].append(p)
-    for tier in range(1, repeats + 1):
-        for start in range(len(sizes)):
-            while given[start] < tier * sizes[start]:
-                # shortest way from the pattern to a source with room, over words that can be moved
-                came: dict[int, tuple[int, int | None]] = {}
-                queue, seen, end = deque([(start, None)]), {start}, None
-                while queue and end is None:
-                    p, via = queue.popleft()
-                    for s in members[p]:
-                        if s in came or s == via:
-                            continue
-                        came[s] = (p, via)
-                        if got[s] < quotas[s]:
-                            end = s
-                            break
-                        for q in holders[s]:
-                            if q not in seen and flow[q][s] > 0:
-                                seen.add(q)
-                                queue.append((q, s))
-                if end is None:
-                    break
-                way, s = [], end
-                while s is not None:
-                    p, via = came[s]
-                    way.append((p, s, via))
-                    s = via
-                amount = min(tier * sizes[start] - given[start], quotas[end] - got[end], *(flow[p][via] for p, _, via in way if via is not None))
-                for p, s, via in way:
-                    flow[p][s] += amount
-                    if via is not None:
-                        flow[p][via] -= amount
-                given[start] += amount
-                got[end] += amount
-    return flow
+    width = np.array([len(m) for m in members], np.int64)
+    first = np.cumsum(width) - width
+    at = np.repeat(np.arange(len(members)), width)  # a membership: a pattern and one of its sources
+    to = np.array([s for m in members for s in m], np.int64)
+    order = np.argsort(to, kind="stable")
+    of_source = np.split(order, np.searchsorted(to[order], np.arange(1, len(quotas)))) if len(quotas) else []
+    size, room = np.array(sizes, np.int64), np.array(quotas, np.int64)
+    left, flow = np.zeros(len(sizes), np.int64), np.zeros(len(to), np.int64)
+
+    def sources_of(patterns: np.ndarray) -> np.ndarray:
+        count = width[patterns]
+        return np.unique(to[np.arange(count.sum()) + np.repeat(first[patterns] - (np.cumsum(count) - count), count)])
+
+    def shortest() -> list[int]:
+        """Sources of a way that ends at one with room; empty if there is none."""
+        came = dict.fromkeys(np.unique(to[left[at] > 0]).tolist(), -1)
+        seen, queue = np.zeros(len(sizes), bool), deque(came)
+        while queue:
+            s = queue.popleft()
+            if room[s] > 0:
+                way = [s]
+                while came[way[-1]] >= 0:
+                    way.append(came[way[-1]])
+                return way[::-1]
+            movable = at[of_source[s][flow[of_source[s]] > 0]]
+            movable = movable[~seen[movable]]
+            seen[movable] = True
+            for t in sources_of(movable).tolist():
+                if t not in came:
+                    came[t] = s
+                    queue.append(t)
+        return []
+
+    def shared(s: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Memberships in s, and in t, of the patterns that belong to both."""
+        _, in_s, in_t = np.intersect1d(at[of_source[s]], at[of_source[t]], assume_unique=True, return_indices=True)
+        return of_source[s][in_s], of_source[t][in_t]
+
+    for _ in range(repeats):
+        left += size
+        while way := shortest():
+            own = of_source[way[0]]
+            hops = [shared(s, t) for s, t in zip(way, way[1:])]
+            amount = min(left[at[own]].sum(), room[way[-1]], *(flow[here].sum() for here, _ in hops))
+            for here, there in hops:  # a way meets a source once, so what one hop moves is not what another was promised
+                moved = _poured(flow[here], amount)
+                flow[here] -= moved
+                flow[there] += moved
+            given = _poured(left[at[own]], amount)
+            flow[own] += given
+            left[at[own]] -= given
+            room[way[-1]] -= amount
+    return [dict(zip(to[a : a + n].tolist(), flow[a : a + n].tolist(), strict=True)) for a, n in zip(first.tolist(), width.tolist(), strict=True)]
 
 
 @dataclass(frozen=True)
@@ -132,8 +155,9 @@ def mix(
         (docs[row_col].cast("long") if row_col else F.lit(None).cast("long")).alias("row"),
         F.array_sort(F.array_distinct(sources)).alias("sources"),
         F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"), F.lit(seed)).alias("at"),  # ids may be null
     )
-    rows = rows.withColumn("pattern", F.to_json("sources")).withColumn("at", F.xxhash64("doc_id", F.lit(seed)))
+    rows = rows.withColumn("pattern", F.to_json("sources"))
     saved = ws.save(rows, "sized")
     found = saved.df.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:

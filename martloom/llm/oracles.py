@@ -66,6 +66,7 @@ def _rule_sql(pick: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+_SECOND = "ac|co|com|edu|gov|net|org"
 URLS = f"""
 WITH parts AS (
   SELECT page_id, position('://' IN url) AS mark, substr(url, position('://' IN url) + 3) AS rest, url FROM pages
@@ -78,25 +79,33 @@ WITH parts AS (
 ), outcomes AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1
 ), hosts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_extract(host, '[^.]*$') AS suffix,
-    regexp_extract(host, '[^.]*(\\.[^.]*)?$') AS domain
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+    regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS machine
   FROM urls LEFT JOIN outcomes USING (page_id) GROUP BY host
+), names AS (
+  SELECT *, regexp_matches(machine, '^([0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}|\\[.*\\])$') AS address,
+    regexp_matches(machine, '(^|\\.)({_SECOND})\\.[a-z]{{2}}$') AS two
+  FROM hosts
+), hosts2 AS (
+  SELECT host, n, bad, CASE WHEN address THEN machine WHEN two THEN regexp_extract(machine, '([^.]*\\.)?[^.]*\\.[^.]*$') ELSE regexp_extract(machine, '([^.]*\\.)?[^.]*$') END AS domain,
+    CASE WHEN address THEN 'ip' WHEN two THEN regexp_extract(machine, '\\.?[^.]*\\.[^.]*$') ELSE regexp_extract(machine, '\\.?[^.]*$') END AS suffix
+  FROM names
 ), overall AS (
-  SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS p FROM hosts
+  SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS p FROM hosts2
 ), s0 AS (
-  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT p FROM overall) AS p FROM hosts GROUP BY 1
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT p FROM overall) AS p FROM hosts2 GROUP BY 1
 ), s1 AS (
   SELECT sum(n * pow(bad / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0) AS rho FROM s0 WHERE n > 0
 ), s2 AS (
   SELECT suffix, (bad + (1 / r - 1) * p) / (n + 1 / r - 1) AS m FROM s0, (SELECT coalesce(least(0.5, greatest(0.001, rho)), 0.5) AS r FROM s1)
 ), d0 AS (
-  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS p FROM hosts JOIN s2 USING (suffix) GROUP BY 1, 2
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS p FROM hosts2 JOIN s2 USING (suffix) GROUP BY 1, 2
 ), d1 AS (
   SELECT sum(n * pow(bad / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0) AS rho FROM d0 WHERE n > 0
 ), d2 AS (
   SELECT domain, suffix, (bad + (1 / r - 1) * p) / (n + 1 / r - 1) AS m FROM d0, (SELECT coalesce(least(0.5, greatest(0.001, rho)), 0.5) AS r FROM d1)
 ), h0 AS (
-  SELECT host, n, bad, m AS p FROM hosts JOIN d2 USING (domain, suffix)
+  SELECT host, n, bad, m AS p FROM hosts2 JOIN d2 USING (domain, suffix)
 ), h1 AS (
   SELECT sum(n * pow(bad / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0) AS rho FROM h0 WHERE n > 0
 ), h2 AS (

@@ -49,14 +49,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def machine_of(host: Column) -> Column:
+    """The host without a user before it, a port behind it and the dot of the root."""
+    return F.regexp_replace(host, r"^.*@|\.?(?::\d*)?$", "")
+
+
+def _is_address(machine: Column) -> Column:
+    return machine.rlike(r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])$")
+
+
 def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where the one before a country's is a common second level."""
-    return F.regexp_extract(host, rf"((?:(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|(?:^|\.)[^.]*))$", 1)
+    """The last label, or the last two where the one before a country's is a common second level; of an address `ip`,
+    which no name ends in."""
+    machine = machine_of(host)
+    label = F.regexp_extract(machine, rf"((?:(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|(?:^|\.)[^.]*))$", 1)
+    return F.when(_is_address(machine), "ip").otherwise(label)
 
 
 def domain_of(host: Column) -> Column:
-    """The suffix and the label before it."""
-    return F.regexp_extract(host, rf"([^.]*(?:\.(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|\.[^.]*)|[^.]*)$", 1)
+    """The suffix and the label before it; an address is a domain of its own."""
+    machine = machine_of(host)
+    domain = F.regexp_extract(machine, rf"([^.]*(?:\.(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|\.[^.]*)|[^.]*)$", 1)
+    return F.when(_is_address(machine), machine).otherwise(domain)
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -80,7 +94,8 @@ def _shrunk(children: DataFrame, parent: str, mean: Column, ws, name: str) -> Da
         F.sum((F.col("n") - 1) * chance).alias("scale"),
     )
     over, scale = sums.first()
-    spread = min(GREATEST_SPREAD, max(LEAST_SPREAD, (over or 0.0) / scale)) if scale else GREATEST_SPREAD
+    # rounded, as sums of doubles differ in their last digits from one run to the next
+    spread = min(GREATEST_SPREAD, max(LEAST_SPREAD, round((over or 0.0) / scale, 9))) if scale else GREATEST_SPREAD
     weight = F.lit(1 / spread - 1)
     return (
         counted.withColumn("a", F.col("bad") + weight * F.col("prior"))

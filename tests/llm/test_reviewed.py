@@ -1,0 +1,187 @@
+"""What reviews found: texts that names of elements dropped, flows over many patterns, addresses, texts of no language."""
+
+from __future__ import annotations
+
+import time
+from collections import deque
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_llm import LONG, SCHEMA
+
+from martloom.llm.html_text import candidates, extract, parse
+from martloom.llm.language import identify
+from martloom.llm.mixing import min_cost_flow, mix
+from martloom.llm.toxicity import toxicity
+from martloom.llm.url_reputation import domain_of, reputations, suffix_of, url_filter
+
+PROSE = "Many words of an article that go on for a while, so that it holds most of the prose of its page."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='discussion'><p>kept</p></section>",
+        "<p class='related-work'>kept</p>",
+        "<p class='social-sciences'>kept</p>",
+        "<p class='cookie-recipe'>kept</p>",
+        "<p><label>kept</label></p>",
+        "<header><p>kept</p></header>",
+    ],
+)
+@pytest.mark.parametrize("holder", ["article", "main", "div class=post", "div class='blog-post x'"])
+def test_html_keeps_chapters(part, holder):
+    page = f"<body><header>site</header><{holder}><h1>T</h1><p>{PROSE}</p>{part}</{holder.split()[0]}></body>"
+    assert candidates(parse(page))[0]["text"] == f"T\n\n{PROSE}\n\nkept"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section class='comments'><p>gone</p></section>",
+        "<div id=comments><p>gone</p></div>",
+        "<div class='comment-thread'><p>gone</p></div>",
+        "<div class=cookie-notice>gone</div>",
+        "<div class='share-buttons'>gone</div>",
+        "<div class=newsletter-box>gone</div>",
+        "<div class='related-news'><a href=x>gone one</a> <a href=y>gone two</a></div>",
+        "<section id=navigation><a href=x>gone</a></section>",
+        "<label for=x>gone</label>",
+    ],
+)
+def test_html_drops_asides_in_articles(part):
+    page = f"<body><header>site</header><article><h1>T</h1><p>{PROSE}</p>{part}</article></body>"
+    assert candidates(parse(page))[0]["text"] == f"T\n\n{PROSE}"
+
+
+def test_html_of_long_and_repeated_pages(spark):
+    rows = [(1, "http://h.com/1", f"<article><p>{LONG}</p></article>")] * 2
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [LONG, LONG]
+
+
+def plain_flow(sizes, members, quotas, repeats):
+    """Successive shortest paths from one pattern after the other, over patterns: words given in each tier."""
+    flow = [dict.fromkeys(m, 0) for m in members]
+    given, got, tiers = [0] * len(sizes), [0] * len(quotas), []
+    for tier in range(1, repeats + 1):
+        for start in range(len(sizes)):
+            while given[start] < tier * sizes[start]:
+                came, queue, end = {}, deque([(start, None)]), None
+                while queue and end is None:
+                    p, via = queue.popleft()
+                    for s in members[p]:
+                        if s in came:
+                            continue
+                        came[s] = (p, via)
+                        if got[s] < quotas[s]:
+                            end = s
+                            break
+                        queue += [(q, s) for q in range(len(sizes)) if flow[q].get(s, 0) > 0]
+                if end is None:
+                    break
+                s, way = end, []
+                while s is not None:
+                    way.append((*came[s], s))
+                    s = came[s][1]
+                for p, via, s in way:  # one word at a time
+                    flow[p][s] += 1
+                    if via is not None:
+                        flow[p][via] -= 1
+                given[start] += 1
+                got[end] += 1
+        tiers.append(sum(given) - sum(tiers))
+    return tiers
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_flow_costs_no_more_than_the_plain_one(seed):
+    rnd = np.random.default_rng(seed)
+    count, sources = int(rnd.integers(1, 9)), int(rnd.integers(1, 6))
+    members = [sorted(rnd.choice(sources, rnd.integers(0, sources + 1), replace=False).tolist()) for _ in range(count)]
+    sizes, quotas = rnd.integers(0, 12, count).tolist(), rnd.integers(0, 25, sources).tolist()
+    flow = min_cost_flow(sizes, members, quotas, 3)
+    given = [sum(f.values()) for f in flow]
+    assert all(set(f) == set(m) and min(f.values(), default=0) >= 0 for f, m in zip(flow, members, strict=True))
+    assert all(g <= 3 * n for g, n in zip(given, sizes, strict=True))
+    assert all(sum(f.get(s, 0) for f in flow) <= quotas[s] for s in range(sources))
+    tiers = [sum(min(max(g - t * n, 0), n) for g, n in zip(given, sizes, strict=True)) for t in range(3)]
+    assert tiers == plain_flow(sizes, members, quotas, 3)
+
+
+def test_flow_over_many_patterns():
+    rnd = np.random.default_rng(1)
+    members = [sorted(rnd.choice(30, 3, replace=False).tolist()) for _ in range(200_000)]
+    sizes = rnd.integers(1, 1_000, len(members)).tolist()
+    quotas = [sum(sizes) * (1 + s % 3) // 60 for s in range(30)]
+    began = time.monotonic()
+    flow = min_cost_flow(sizes, members, quotas)
+    assert time.monotonic() - began < 60
+    assert [sum(f.get(s, 0) for f in flow) for s in range(30)] == quotas  # there is enough of everything
+
+
+def test_mixing_of_nulls_repeats_and_long_texts(spark):
+    rows = [(None, None, "en", "a", 1, 1, "x"), (None, LONG, "en", "a", 1, 1, "x"), (None, LONG, "en", "a", 1, 1, "x")]
+    rows += [(1, "one two", "en", "b", 1, 1, "x")] * 3 + [(2, "", "en", None, 1, 1, "x")]
+    got = mix(spark.createDataFrame(rows, SCHEMA), F.array("source")).documents.collect()
+    assert sorted(r.size for r in got) == [0, 0, 2, 2, 2, 30_000, 30_000]
+    assert all(r.copies <= 3 and (r.size or not r.copies) for r in got)
+
+
+def test_mixing_spreads_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"w{k} x", "en", "a", 1, 1, "x") for k in range(3_000)] + [(None, f"v{k}", "en", "b", 1, 1, "x") for k in range(3_000)], SCHEMA)
+    found = mix(docs, F.array("source"))
+    taken = {r.source: r.taken for r in found.documents.groupBy(F.element_at("sources", 1).alias("source")).agg(F.sum("taken").alias("taken")).collect()}
+    assert all(abs(taken[r.source] - r.target) <= 2 for r in found.quotas.collect())
+
+
+def test_names_of_hosts(spark):
+    hosts = {
+        "a.b.com": ("b.com", ".com"),
+        "x.shop.co.jp:8080": ("shop.co.jp", ".co.jp"),
+        "u:p@e.com": ("e.com", ".com"),
+        "e.com.": ("e.com", ".com"),
+        "10.0.0.1": ("10.0.0.1", "ip"),
+        "10.0.0.1:81": ("10.0.0.1", "ip"),
+        "[::1]:80": ("[::1]", "ip"),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    assert {r.host: (r.domain, r.suffix) for r in rows.collect()} == hosts
+    # addresses say nothing of each other, ports of a machine do
+    counts = spark.createDataFrame([("10.0.0.1", 90, 90), ("10.0.0.1:81", 0, 0), ("10.9.0.1", 0, 0), ("10.8.0.1", 90, 0)], "host string, n long, bad long")
+    rates = {r.host: r.rate for r in reputations(counts).collect()}
+    assert rates["10.0.0.1:81"] > 0.9 > 0.6 > rates["10.9.0.1"] > 0.3
+
+
+def test_urls_long_and_repeated(spark):
+    rows = [(1, f"http://a.com/{LONG}"), (1, f"http://a.com/{LONG}"), (2, None)]
+    got = url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int"), ()).collect()
+    assert sorted((r.page_id, r.host, len(r.path), r.verdict) for r in got) == [(1, "a.com", 1 + len(LONG), "allow")] * 2 + [(2, "", 0, "allow")]
+
+
+def test_texts_of_no_language_score_low(spark):
+    rnd = np.random.default_rng(3)
+    pick = lambda words, n: " ".join(rnd.choice(words.split(), n))
+    en, de = "the cat and dog were walking over that old bridge with their friends", "der hund und die katze gehen mit ihren freunden über eine alte brücke"
+    rows = [(4 * k, pick(en, 40), "en", "s", 1, 1, "x") for k in range(60)] + [(4 * k + 1, pick(de, 40), "de", "s", 1, 1, "x") for k in range(60)]
+    noise = "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz "), 300))
+    odd = {1_000: noise, 1_001: "汉字没有人见过的文字" * 20, 1_002: pick(en, 6), 1_003: pick(de, 6), 1_004: None, 1_005: "12 34"}
+    docs = spark.createDataFrame(rows + [(k, t, None, "s", 1, 1, "x") for k, t in odd.items()] + rows[:1], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs).collect()}
+    assert got[1_000][1] < 1e-6 and got[1_001][1] < 1e-6
+    assert got[1_002][0] == "en" and got[1_003][0] == "de" and min(got[1_002][1], got[1_003][1]) > 0.99
+    assert got[1_004] == got[1_005] == ("und", 0.0)
+    assert all(got[i][0] == lang and got[i][1] > 0.99 for i, _, lang, *_ in rows)
+
+
+def test_toxicity_of_long_and_repeated_rows(spark):
+    rows = [(k, ("you vile rotten fool" if k % 2 else "a calm walk by the sea") + f" {k}", "en", "s", 1, 1, "x") for k in range(200)]
+    rows += [(1_000, LONG, "en", "s", 1, 1, "x")] * 2 + [(1_001, None, "en", "s", 1, 1, "x")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    got = toxicity(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 1_000}) == 1
+    toxic, clean = ([r.score for r in got if r.doc_id < 200 and r.doc_id % 2 == k] for k in (1, 0))
+    assert min(toxic) > max(clean)
