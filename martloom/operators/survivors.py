@@ -12,8 +12,10 @@ from martloom.operators.numbering import Sources
 from martloom.schemas import ROW_ORDER
 from martloom.workspace import Saved, Workspace
 
-# More keys than this are found by a hash join of shuffled rows, which sorts none of them.
-_HASHED_KEYS = 1_000_000
+# More keys than this are found by a hash join of shuffled rows, which sorts none of them. Only rows that a bitmap of
+# the chosen places lets through are shuffled; it has this many bits a key or more, and 32 MB at most.
+_HASHED_KEYS = 100_000
+_BITS_A_KEY, _MOST_BITS = 16, 1 << 28
 
 
 @dataclass(frozen=True)
@@ -33,13 +35,28 @@ def _digests(rows: DataFrame, keys: Sequence[str]) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *content) for seed in (1, 2)]
 
 
+def _perhaps_chosen(located: DataFrame, chosen: DataFrame, keys: int) -> DataFrame:
+    """The rows whose place is chosen, and a few others whose hash meets one; rows do not move.
+
+    More keys than the largest bitmap is meant for only let more of the others through.
+    """
+    bits = min(_MOST_BITS, 1 << (_BITS_A_KEY * keys).bit_length())
+    at = F.pmod(F.xxhash64("_place"), F.lit(bits)) + 1
+    bitmaps = chosen.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    position = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    is_set = F.getbit(byte, position % 8) == 1
+    return located.join(F.broadcast(bitmaps), (F.bitmap_bucket_number(at) == F.col("_bucket")) & is_set, "left_semi")
+
+
 def first_by(ws: Workspace, rows: DataFrame, keys: Sequence[str], sources: Sources) -> Survivors:
     """Per key the row that comes first by (source file, id), whole; those two columns are dropped.
 
     A row's place is one number, so the first per key is a hash aggregate over numbers, reduced before its
     shuffle: a key holding a third of the rows sends one row per task, and no wide row is sorted. Minima and
     maxima of digests ride along and say whether the rows of a key differ. The chosen rows are then found by key
-    and place. Only rows that tie on the place, where ids repeat in a file, are settled by their own content.
+    and place, of many keys only rows that a bitmap of the chosen places lets through: the wide rows stay where they
+    lie. Only rows that tie on the place, where ids repeat in a file, are settled by their own content.
     """
     located = sources.located(rows, "_place")
     one, two = _digests(rows, keys)
@@ -50,6 +67,7 @@ def first_by(ws: Workspace, rows: DataFrame, keys: Sequence[str], sources: Sourc
     found = ws.save(first.select(*keys, "_place", differs.alias("differs")), "first-places")
     chosen = found.df.drop("differs")
     if found.rows > _HASHED_KEYS:
+        located = _perhaps_chosen(located, chosen, found.rows)
         chosen = chosen.hint("shuffle_hash")
     rest = [c for c in rows.columns if c not in (*keys, *ROW_ORDER)]
     met = located.join(chosen, [*keys, "_place"]).select(*keys, *rest)

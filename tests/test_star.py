@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows, sale
 from martloom.operators.numbering import read_sources
+from martloom.operators import survivors
 from martloom.operators.survivors import differing_keys, first_by
 from martloom.plans import marts, star
 from martloom.quality import assert_contract
@@ -166,3 +168,22 @@ def test_tables_do_not_depend_on_partitions_or_on_the_numbering_used(spark, stag
         build(wh)
         results.append({n: rows(wh.table(n)) for n in (*star.BUILDERS, *marts.PLANS)})
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_of_many_keys_only_rows_that_may_be_chosen_move(ws, spark, monkeypatch, dense):
+    """Four rows a key: the join with the chosen ones shuffles a row a key and few others."""
+    monkeypatch.setattr(survivors, "_HASHED_KEYS", 100)
+    monkeypatch.setattr(survivors, "_MOST_BITS", 1 << 15 if dense else 1 << 28)
+    n = F.col("id")
+    file, own = F.when(n % 2 == 0, "A").otherwise("B"), F.floor(n / 2) + (1 if dense else 7)
+    data = spark.range(4_000, numPartitions=3).select(file.alias("_src_file"), own.cast("long").alias("_src_id"), (n % 1_000).alias("k"), n.cast("string").alias("x"))
+    data = ws.save(data, "rows").df
+    sources = read_sources(ws, data)
+    assert sources.dense is dense
+    may, let = survivors._perhaps_chosen, []
+    monkeypatch.setattr(survivors, "_perhaps_chosen", lambda *given: (let.append(may(*given)), let[0])[1])
+    got = first_by(ws, data, ["k"], sources).rows
+    assert sorted(tuple(r) for r in got.collect()) == [(k, str(k)) for k in range(1_000)]
+    assert 1_000 <= let[0].count() <= 1_200
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
