@@ -76,15 +76,17 @@ def row_numbers(
 
 def running_totals(
     ws: Workspace, df: DataFrame, order: Sequence[Column], amounts: dict[str, str], ranges: int
-) -> DataFrame:
+) -> Saved:
     """For each amount and name in `amounts` adds the sum over the rows before; `order` tells all rows apart."""
     earlier = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = {f"_inside_{a}": F.coalesce(F.sum(a).over(earlier), F.lit(0)) for a in amounts}
     placed = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
-    placed = ws.save(placed.withColumns(inside), "totals-ranges").df
+    saved = ws.save(placed.withColumns(inside), "totals-ranges")
+    placed = saved.df
     per_range = _before(placed.groupBy("_range").agg(*[F.sum(a).alias(a) for a in amounts]), list(amounts))
     totals = {out: F.col(f"_before_{a}") + F.col(f"_inside_{a}") for a, out in amounts.items()}
-    return placed.join(F.broadcast(per_range), "_range").withColumns(totals).select(*df.columns, *totals)
+    totalled = placed.join(F.broadcast(per_range), "_range").withColumns(totals).select(*df.columns, *totals)
+    return Saved(totalled, saved.rows)
 
 
 def ranks(
@@ -100,7 +102,7 @@ def ranks(
     falling = F.col("_value").desc_nulls_last()
     ranges = ranges_for(saved.rows, ws.cores, rows_per_range)
     above = running_totals(ws, values, [falling], {"_rows": "_above"}, ranges)
-    of_value = above.select("_value", (F.col("_above") + 1).cast("long").alias(out))
+    of_value = above.for_join().select("_value", (F.col("_above") + 1).cast("long").alias(out))
     return saved.df.join(of_value, saved.df[by].eqNullSafe(of_value["_value"])).select(*saved.df.columns, out)
 
 
@@ -205,7 +207,7 @@ def read_sources(ws: Workspace, rows: DataFrame, rows_per_range: int = ROWS_PER_
     files = files.withColumn("_one", F.lit(1).cast("long"))
     ranges = ranges_for(checked.rows, ws.cores, rows_per_range)
     files = running_totals(ws, files, [F.col("file").asc_nulls_first()], {"_rows": "_before", "_one": "_number"}, ranges)
-    files = files.select(F.col("file").alias(SOURCE_FILE), "_rows", "_before", "_number")
+    files = files.df.select(F.col("file").alias(SOURCE_FILE), "_rows", "_before", "_number")
     return Sources(ws.save(files, "source-files"), all_dense)
 
 

@@ -66,13 +66,13 @@ def _basket(name: str = "avg_basket") -> Column:
 
 def sold_products(wh: Warehouse) -> DataFrame:
     """Products with sales: their totals, attributes and category name."""
-    products = wh.table("dim_product").select(
+    products = wh.lookup("dim_product").select(
         "product_id", "name", "category_id", "rating", "reviews"
     )
     return (
         wh.sales_by("product_id")
         .join(products, "product_id")
-        .join(wh.table("dim_product_category"), "category_id", "left")
+        .join(wh.lookup("dim_product_category"), "category_id", "left")
         .withColumn("category_name", F.coalesce("category_name", F.lit(NO_CATEGORY)))
         .withColumnRenamed("name", "product_name")
     )
@@ -93,7 +93,7 @@ def _by_product(wh: Warehouse) -> DataFrame:
 
 
 def _by_customer(wh: Warehouse) -> DataFrame:
-    customers = wh.table("dim_customer").select("customer_id", "first_name", "last_name", "country")
+    customers = wh.lookup("dim_customer").select("customer_id", "first_name", "last_name", "country")
     first, last = (F.coalesce(c, F.lit("")) for c in ("first_name", "last_name"))
     return (
         wh.sales_by("customer_id")
@@ -111,7 +111,7 @@ def _by_customer(wh: Warehouse) -> DataFrame:
 
 
 def _by_customer_country(wh: Warehouse) -> DataFrame:
-    customers = wh.table("dim_customer").select("customer_id", _place("country").alias("country"))
+    customers = wh.lookup("dim_customer").select("customer_id", _place("country").alias("country"))
     return (
         wh.sales_by("customer_id")
         .join(customers, "customer_id")
@@ -134,7 +134,7 @@ def _by_customer_country(wh: Warehouse) -> DataFrame:
 
 
 def _by_time(wh: Warehouse) -> DataFrame:
-    dates = wh.table("dim_date").select("date_id", "year", "month")
+    dates = wh.lookup("dim_date").select("date_id", "year", "month")
     yearly = F.grouping("month") == 1
     return (
         wh.sales_by("date_id")
@@ -158,7 +158,7 @@ def _by_time(wh: Warehouse) -> DataFrame:
 
 
 def _by_store(wh: Warehouse) -> DataFrame:
-    stores = wh.table("dim_store").select("store_id", "name", "city", "country")
+    stores = wh.lookup("dim_store").select("store_id", "name", "city", "country")
     return (
         wh.sales_by("store_id")
         .join(stores, "store_id")
@@ -178,7 +178,7 @@ def _by_store(wh: Warehouse) -> DataFrame:
 def selling_suppliers(wh: Warehouse) -> DataFrame:
     """Suppliers of sold products: totals over those products, and the supplier's own columns."""
     products = (
-        wh.table("dim_product")
+        wh.lookup("dim_product")
         .where("supplier_id IS NOT NULL")
         .select("product_id", "supplier_id", "price")
     )
@@ -195,7 +195,7 @@ def selling_suppliers(wh: Warehouse) -> DataFrame:
             F.sum(F.when(price.isNotNull(), F.col("sales"))).alias("prices_seen"),
         )
     )
-    suppliers = wh.table("dim_supplier").select("supplier_id", "name", _place("country").alias("country"))
+    suppliers = wh.lookup("dim_supplier").select("supplier_id", "name", _place("country").alias("country"))
     return per_supplier.join(suppliers, "supplier_id")
 
 

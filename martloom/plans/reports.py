@@ -28,13 +28,13 @@ def top10_products(wh: Warehouse) -> DataFrame:
 
 
 def revenue_by_category(wh: Warehouse) -> DataFrame:
-    products = wh.table("dim_product").select("product_id", "category_id")
+    products = wh.lookup("dim_product").select("product_id", "category_id")
     return (
         wh.sales_by("product_id")
         .join(products, "product_id")
         .groupBy("category_id")
         .agg(F.sum("quantity").alias("total_quantity"), F.sum("revenue").alias("revenue"))
-        .join(wh.table("dim_product_category"), "category_id", "left")
+        .join(wh.lookup("dim_product_category"), "category_id", "left")
         .select(
             F.coalesce("category_name", F.lit(NO_CATEGORY)).alias("category_name"),
             "total_quantity",
@@ -111,7 +111,7 @@ def top5_stores(wh: Warehouse) -> DataFrame:
 
 def sales_by_city_country(wh: Warehouse) -> DataFrame:
     """Cities, countries and the whole; `level` tells them apart, not the NULLs."""
-    stores = wh.table("dim_store").select(
+    stores = wh.lookup("dim_store").select(
         "store_id", "city", F.coalesce("country", F.lit(NO_PLACE)).alias("country")
     )
     level = (
@@ -161,7 +161,7 @@ def supplier_avg_price(wh: Warehouse) -> DataFrame:
         .agg(average(F.sum(price), F.count(price)).alias("avg_product_price"))
     )
     return (
-        wh.table("mart_sales_by_supplier")
+        wh.lookup("mart_sales_by_supplier")
         .select("supplier_id", "supplier_name", "avg_item_price")
         .join(products, "supplier_id")
     )
@@ -176,7 +176,7 @@ def suppliers_by_country(wh: Warehouse) -> DataFrame:
 
 def _rated(wh: Warehouse) -> DataFrame:
     """Products with a rating: the mart shows 0 for the others, which nobody gave."""
-    rated = wh.table("dim_product").where("rating IS NOT NULL").select("product_id")
+    rated = wh.lookup("dim_product").where("rating IS NOT NULL").select("product_id")
     return wh.table("mart_product_quality").join(rated, "product_id", "left_semi")
 
 

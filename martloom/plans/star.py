@@ -65,7 +65,7 @@ def customer_rows(staging: DataFrame) -> DataFrame:
 
 def dim_customer(wh: Warehouse) -> Proven:
     customers = wh.survivors("dim_customer").rows
-    pets = wh.table("dim_pet_type")
+    pets = wh.lookup("dim_pet_type")
     return _per_key(
         wh,
         "dim_customer",
@@ -126,8 +126,8 @@ def dim_product(wh: Warehouse) -> Proven:
         .withColumn("release_date", date_or_null("release_date"))
         .withColumn("expiry_date", date_or_null("expiry_date"))
     )
-    categories = wh.table("dim_product_category").withColumnRenamed("category_name", "category")
-    suppliers = wh.table("dim_supplier").select(
+    categories = wh.lookup("dim_product_category").withColumnRenamed("category_name", "category")
+    suppliers = wh.lookup("dim_supplier").select(
         "supplier_id", F.col("name").alias("supplier_name"), F.col("city").alias("supplier_city")
     )
     return _per_key(

@@ -142,6 +142,10 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.saved(name).df
 
+    def lookup(self, name: str) -> DataFrame:
+        """A table as the side of a join in which rows are looked up."""
+        return self.saved(name).for_join()
+
     def sale_days(self) -> DataFrame:
         return self._once("sale-days", lambda: star.sale_days(self)).df
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import sale
+from martloom import workspace
 from martloom.operators.numbering import ranks, row_numbers
 from martloom.operators.survivors import first_by
 from martloom.plans import marts, reports, star
@@ -128,3 +129,17 @@ def test_totals_are_summed_before_the_shuffle_and_read_three_columns(wh):
 def test_top_lists_are_not_sorted_as_a_whole(wh, report):
     text = plan(reports.REPORTS[report](wh))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
+def test_counted_rows_decide_what_is_sent_to_the_driver(wh, ws, spark, monkeypatch):
+    """Small files may hold many rows: they are looked up by a shuffle, not gathered for a broadcast."""
+    numbers = ws.save(spark.range(5_000).select("id", (F.col("id") % 7).alias("v")), "d")
+    for name in ("dim_product", "dim_product_category"):
+        wh.table(name)
+    wh.sales_by("product_id")
+    few = plan(marts.sold_products(wh)), plan(reports.revenue_by_category(wh)), plan(ranks(ws, numbers, "v", "r"))
+    monkeypatch.setattr(workspace, "BROADCAST_ROWS", 4)
+    many = plan(marts.sold_products(wh)), plan(reports.revenue_by_category(wh)), plan(ranks(ws, numbers, "v", "r"))
+    for before, after in zip(few, many, strict=True):
+        assert "ShuffledHashJoin" in after and "SortMergeJoin" not in after
+        assert after.count("BroadcastExchange") == before.count("BroadcastExchange") - 1
