@@ -23,6 +23,8 @@ from martloom.workspace import Saved, Workspace
 
 ROWS_PER_RANGE = 1_000_000
 LEAST_ROWS_PER_RANGE = 10_000
+# Ranges below ROWS_PER_RANGE rows are at most so many a core: each is a task and a file, and the driver samples each.
+SMALL_RANGES_PER_CORE = 32
 # Source files whose sizes every task gets; more are joined by a shuffle.
 BROADCAST_FILES = 1_000_000
 # Ids that a task gathers before it turns them into runs, and runs that it holds.
@@ -33,8 +35,12 @@ _POSITION_BITS = 33
 
 
 def ranges_for(rows: int, cores: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    """Ranges of `rows_per_range` rows, or smaller ones where cores would stand idle."""
-    return max(1, -(-rows // rows_per_range), min(cores, rows // LEAST_ROWS_PER_RANGE))
+    """Ranges of `rows_per_range` rows, or smaller ones where cores would stand idle.
+
+    Ranges that are asked to be small grow with the rows, up to ROWS_PER_RANGE, once there are many for each core.
+    """
+    wanted, enough = -(-rows // rows_per_range), max(-(-rows // ROWS_PER_RANGE), SMALL_RANGES_PER_CORE * cores)
+    return max(1, min(wanted, enough), min(cores, rows // LEAST_ROWS_PER_RANGE))
 
 
 def _before(per_range: DataFrame, amounts: Sequence[str]) -> DataFrame:

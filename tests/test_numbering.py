@@ -77,6 +77,13 @@ def test_ranges_follow_the_rows():
     assert ranges_for(10**12, 4_000) == 10**6
 
 
+def test_small_ranges_do_not_become_tasks_without_end():
+    """A range is a task, a file and a sample on the driver: those grow with the cores, not with rows / 1,000."""
+    assert ranges_for(100_000, 8, 1_000) == 100
+    assert ranges_for(216_000_000, 12, 1_000) == 12 * 32
+    assert ranges_for(10**9, 12, 1_000) == ranges_for(10**9, 12) == 1_000
+
+
 @pytest.fixture
 def numbered(ws, spark):
     def make(rows, partitions=3, per_range=10**6):
