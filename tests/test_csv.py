@@ -1,10 +1,11 @@
 import random
 from contextlib import contextmanager
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import rows, sale
 from martloom.quality import ContractError
 from martloom.schemas import STAGING_COLUMNS
 from martloom.sources import records
@@ -180,3 +181,16 @@ def test_one_file_gives_many_partitions(spark, tmp_path):
         assert loaded.rdd.getNumPartitions() > 4 and loaded.count() == 2000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_staging_load_writes_less_than_plain_text_and_reads_it_back(warehouse):
+    """Compressed files keep every text: NULL, blank, quotes and line breaks, in many files."""
+    import __spark_entry__ as entry
+
+    texts = [None, "", 'he said "hi", ok', "two\nlines", "x" * 200]
+    wh = warehouse(*[sale(_src_file=f"F{n % 3}", customer_last_name=texts[n % 5]) for n in range(600)], partitions=3)
+    back = entry.staging_load(wh)
+    assert back.exceptAll(wh.staging).isEmpty() and wh.staging.exceptAll(back).isEmpty()
+    (folder,) = Path(wh.workspace.root).glob("csv-*")
+    sizes = [f.stat().st_size for f in folder.rglob("part-*")]
+    assert len(sizes) == 9 and sum(sizes) < 600 * 50  # plain text is over 130 bytes a row
