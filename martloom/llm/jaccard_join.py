@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martloom.llm.common import (
+    in_few,
     join_small,
     prepared,
     scrambled,
@@ -381,26 +382,28 @@ def _compare(words: int, percent: int):
     return run
 
 
-def components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge (u, v): root is the smallest node that it reaches.
+def components(ws: Workspace, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, root) for every node of an edge (u, v): root is the smallest node that it reaches. There are no more
+    than `most` edges, if that is given.
 
-    Large and small stars in turn; the number of rounds grows with the logarithm of the nodes.
+    Large and small stars in turn; the number of rounds grows with the logarithm of the nodes. What a round writes is
+    bounded by what it reads, and so are its tasks and files: a few edges are a file, not one for each partition.
     """
 
-    def saved(e: DataFrame) -> tuple[Saved, int]:
-        kept = ws.save(e.distinct(), "edges")
+    def saved(e: DataFrame, most: int | None) -> tuple[Saved, int]:
+        kept = ws.save(e.distinct() if most is None else in_few(e.distinct(), most), "edges")
         return kept, kept.df.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
 
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    now, mark = saved(down)
+    now, mark = saved(down, most)
     while now.rows:
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = ws.save(large.distinct(), "large").df
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following, next_mark = saved(small.union(least))
+        large = ws.save(in_few(large.distinct(), 2 * now.rows), "large")
+        least = large.df.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.df.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following, next_mark = saved(small.union(least), 2 * large.rows)
         if (following.rows, next_mark) == (now.rows, mark):
             break
         now, mark = following, next_mark
@@ -445,7 +448,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     size = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_TOKENS))
     several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    several = ws.save(several, "several")
+    several = ws.save(in_few(several, grouped.rows), "several")
     ranked = join_small(classes.select("cls", "grp", "n", "tokens"), several.df, several.rows, "grp", "left", most=broadcast_rows)
     rank = F.lit(31).cast("long") - F.floor(F.log2(F.coalesce("members", F.lit(1)))).cast("long")
     ranked = ranked.withColumn("grp", F.shiftleft(rank, RANK_BITS).bitwiseOR(F.col("grp")))
@@ -459,16 +462,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     )
     asks = asks.select("q", F.col("g").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("g"))
     asks = ws.save(asks.union(home), "asks")
-    opened = ws.save(_open(ws, asks, classes, texts, words, percent, broadcast_rows), "opened").df
-    links = opened.where("v IS NOT NULL").select("u", "v")
-    degrees = opened.where("v IS NULL").groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("n_links"))
+    opened = ws.save(_open(ws, asks, classes, texts, words, percent, broadcast_rows), "opened")
+    links = opened.df.where("v IS NOT NULL").select("u", "v")
+    degrees = opened.df.where("v IS NULL").groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("n_links"))
 
-    roots = components(ws, links).withColumnRenamed("node", "cls")
+    roots = components(ws, links, opened.rows).withColumnRenamed("node", "cls")
     of_print = classes.select("fp1", "fp2", "cls").join(roots, "cls", "left").join(degrees, "cls", "left")
     of_print = of_print.select("fp1", "fp2", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     full = rows.where("n_shingles > 0")
     ids = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least_id"))
-    of_print = ws.save(of_print.join(ids, ["fp1", "fp2"]), "prints").df
+    of_print = ws.save(in_few(of_print.join(ids, ["fp1", "fp2"]), grouped.rows), "prints").df
     of_root = of_print.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_print = of_print.join(of_root, "root").drop("least_id")
     out = ["doc_id", "row", "n_shingles", "component_id", "root", "n_links", "cls"]

@@ -300,12 +300,12 @@ def simhash_near(
     cells = ws.save(_cells(ws, distinct.df.select("fp"), windows), "cells")
     parts = max(1, -(-cells.rows // PART_ROWS))
     part = F.pmod(F.xxhash64("win", "anchor", "home_block", "salt"), F.lit(parts))
-    links = ws.save(cells.df.groupBy(part).applyInArrow(_compare(windows, apart), "u long, v long"), "links").df
+    links = ws.save(cells.df.groupBy(part).applyInArrow(_compare(windows, apart), "u long, v long"), "links")
 
-    roots = components(ws, links).withColumnRenamed("node", "fp")
+    roots = components(ws, links.df, links.rows).withColumnRenamed("node", "fp")
     of_fp = distinct.df.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_fp = ws.save(of_fp, "roots").df
     of_root = of_fp.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_fp = ws.save(of_fp.join(of_root, "root").select("fp", "component_id", "root"), "components")
     documents = join_small(printed, of_fp.df, of_fp.rows, "fp", most=broadcast_rows)
-    return Near(documents.select("doc_id", "row", "fp", "component_id", "root"), links)
+    return Near(documents.select("doc_id", "row", "fp", "component_id", "root"), links.df)

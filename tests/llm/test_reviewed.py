@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from test_llm import LONG, SCHEMA
 
 from martloom.llm.html_text import candidates, extract, parse
+from martloom.llm.jaccard_join import components
 from martloom.llm.language import identify
 from martloom.llm.mixing import min_cost_flow, mix
 from martloom.llm.toxicity import toxicity
 from martloom.llm.url_reputation import domain_of, reputations, suffix_of, url_filter
+from martloom.workspace import Workspace
 
 PROSE = "Many words of an article that go on for a while, so that it holds most of the prose of its page."
 
@@ -185,3 +187,18 @@ def test_toxicity_of_long_and_repeated_rows(spark):
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 1_000}) == 1
     toxic, clean = ([r.score for r in got if r.doc_id < 200 and r.doc_id % 2 == k] for k in (1, 0))
     assert min(toxic) > max(clean)
+
+
+def test_components_write_as_few_files_as_edges_need(spark, tmp_path):
+    """Each round wrote a file for each shuffle partition that had an edge, and every file costs its executor a process."""
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(3 * k + j + 1, 3 * k) for k in range(100) for j in range(2)], "u long, v long")
+        roots = components(Workspace(spark, str(tmp_path)), edges, 200)
+        assert sorted(map(tuple, roots.collect())) == [(3 * k + j + 1, 3 * k) for k in range(100) for j in range(2)]
+        assert {len([*t.glob("*.parquet")]) for t in tmp_path.iterdir()} == {1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
