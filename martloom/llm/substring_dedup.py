@@ -19,7 +19,8 @@ windows of one minimizer, about 50 words.
    Segments of a minimizer with very many are collapsed before they move, and only distinct ones are dealt. Where even
    the distinct ones are more than a shard holds, they are dealt by the hash of each window instead. A segment gets its
    runs back as one row, by a 128-bit digest of its words: a passage that a third of all documents share costs a row a
-   document and minimizer, not one a window.
+   document and minimizer, not one a window. Equal segments inside a document are one row with all their places, so a
+   document that says two words over and over costs a few rows, not one for each time.
 5. *Remove*: the intervals of a document are united and its kept words joined.
 
 Nothing is capped, and the shards' number follows the words that are dealt.
@@ -64,6 +65,7 @@ _TASK_BIT = 33
 _POSITION = np.uint64((1 << 27) - 1)
 _LANDED = "doc_id long, text string, n_words long, sha string, mins array<struct<key: long, first: int, last: int>>"
 _PIECES = "rid long, first int, seg string, key long, weight long"
+_HOT_PIECES = "rid long, firsts array<int>, seg string, key long, weight long"
 _FOUND = "rid long, runs array<struct<start: int, end: int>>"
 _WINDOWS = "sid long, at int, words string, weight long"
 _RUN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -173,6 +175,27 @@ def _cut(window: int):
     return run
 
 
+def _cut_once(window: int):
+    """Like _cut, with one row for all equal segments of a text: where each begins, and their weights as one."""
+    kinds = {"rid": pa.int64(), "firsts": pa.list_(pa.int32()), "seg": pa.string(), "key": pa.int64(), "weight": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                words, at = split_words(piece.column("text"))
+                each, out = words.to_pylist(), []
+                given = (piece.column(c).to_pylist() for c in ("rid", "weight", "wanted"))
+                for begin, rid, weight, wanted in zip(at.tolist(), *given, strict=False):
+                    places: dict[tuple[int, str], list[int]] = {}
+                    for w in wanted:
+                        seg = " ".join(each[begin + w["first"] : begin + w["last"] + window])
+                        places.setdefault((w["key"], seg), []).append(w["first"])
+                    out += [(rid, firsts, seg, key, weight * len(firsts)) for (key, seg), firsts in places.items()]
+                yield _batch(out, kinds)
+
+    return run
+
+
 def _windows(window: int):
     """Segments to their windows, each with its start and the weight of its segment."""
     kinds = {"sid": pa.int64(), "at": pa.int32(), "words": pa.string(), "weight": pa.int64()}
@@ -288,7 +311,8 @@ def substring_dedup(
     def cut(hot: bool) -> DataFrame:
         own = wanted.where("hot" if hot else "NOT hot").select("rid", "wanted", "weight")
         texts = _with_rows(landed.select("part", "rid", "text"), own)
-        return texts.select("rid", "text", "wanted", "weight").mapInArrow(_cut(window), _PIECES)
+        texts = texts.select("rid", "text", "wanted", "weight")
+        return texts.mapInArrow(_cut_once(window), _HOT_PIECES) if hot else texts.mapInArrow(_cut(window), _PIECES)
 
     found = landed.where("false").select("rid", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("runs"))
     if False in words:
@@ -328,7 +352,8 @@ def _report(pieces: DataFrame, words: int, window: int) -> DataFrame:
 
 
 def _report_hot(ws: Workspace, pieces: DataFrame, window: int, shard_segments: int, broadcast_rows: int) -> DataFrame:
-    """Like _report, for minimizers with many pieces: equal ones are collapsed, and no shard gets too many distinct ones."""
+    """Like _report, for minimizers with many pieces (rid, firsts, seg, key, weight), distinct ones of each text: equal
+    ones of all texts are collapsed, and no shard gets too many distinct ones."""
     collapsed = pieces.groupBy("key", "seg").agg(F.sum("weight").alias("weight")).withColumn("sid", F.monotonically_increasing_id())
     distinct = ws.save(collapsed, "segments").df
     sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("distinct"), F.sum(F.regexp_count("seg", F.lit(" ")) + 1).alias("words"))
@@ -352,7 +377,7 @@ def _report_hot(ws: Workspace, pieces: DataFrame, window: int, shard_segments: i
         found.append(starts.select("sid", _runs("starts", window).alias("runs")))
     runs = found[0] if len(found) == 1 else found[0].union(found[1])
     runs = ws.save(distinct.join(runs, "sid").select(_digest("seg").alias("digest"), "runs"), "runs")
-    placed = pieces.select("rid", "first", _digest("seg").alias("digest"))
+    placed = pieces.select("rid", "firsts", _digest("seg").alias("digest"))
     back = join_small(placed, runs.df, runs.rows, "digest", most=broadcast_rows)
-    moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("first")).alias("start"), (r["end"] + F.col("first")).alias("end")))
-    return back.select("rid", moved.alias("runs"))
+    moved = lambda first: F.transform("runs", lambda r: F.struct((r["start"] + first).alias("start"), (r["end"] + first).alias("end")))
+    return back.select("rid", F.flatten(F.transform("firsts", moved)).alias("runs"))

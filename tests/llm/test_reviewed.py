@@ -8,8 +8,9 @@ from collections import deque
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_llm import LONG, SCHEMA
+from test_llm import LONG, SCHEMA, plain_substrings, table
 
+from martloom.llm import substring_dedup
 from martloom.llm.html_text import candidates, extract, parse
 from martloom.llm.jaccard_join import components
 from martloom.llm.language import identify
@@ -202,3 +203,22 @@ def test_components_write_as_few_files_as_edges_need(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+@pytest.mark.parametrize("shard_segments", [10_000, 0])
+def test_segments_that_a_text_repeats_are_one_row(spark, tmp_path, monkeypatch, shard_segments):
+    """Two words said over and over are many equal segments; each was dealt, and joined with its runs, as a row of its own."""
+    rows = [(k, f"a{k} b{k} " + "to be " * 60 + f"c{k}") for k in range(30)] + [(100, "to be " * 10), (101, " ".join(f"w{k}" for k in range(80)))]
+    dealt = []
+
+    def report(ws, pieces, *rest):
+        dealt.append(pieces.count())
+        return hot(ws, pieces, *rest)
+
+    hot = substring_dedup._report_hot
+    monkeypatch.setattr(substring_dedup, "_report_hot", report)
+    found = substring_dedup.substring_dedup(table(spark, rows), many_segments=2, shard_segments=shard_segments)
+    assert dealt[0] <= 4 * 30  # before: some 43 rows a text
+    got = [(r.doc_id, r.n_words, 0, r.sha) for r in found.untouched.collect()]
+    got += [(r.doc_id, r.n_words, r.n_removed, substring_dedup.sha256(r.kept.split())) for r in found.changed.collect()]
+    assert sorted(got, key=str) == plain_substrings(rows, 35)
