@@ -30,6 +30,8 @@ BROADCAST_FILES = 1_000_000
 # Ids that a task gathers before it turns them into runs, and runs that it holds.
 GATHERED_IDS, HELD_RUNS = 1_000_000, 200_000
 
+LAST_ID = (1 << 63) - 1
+
 # monotonically_increasing_id() holds the partition above this bit, the position below.
 _POSITION_BITS = 33
 
@@ -192,14 +194,15 @@ def read_sources(ws: Workspace, rows: DataFrame, rows_per_range: int = ROWS_PER_
 
     Each task turns its ids into runs, a few if they come in order. A run adds one where it begins and takes
     one where it ends; ids are exactly 1..n if over all runs nothing remains but one at 1 and minus one at
-    n + 1, since then every id in between is covered once.
+    n + 1, since then every id in between is covered once. A missing id, and the largest that there is, has no such
+    place: it is one without a number, and as no file has that many rows, its file is not dense.
     """
     ws.ship_package()
     runs = rows.select(SOURCE_FILE, SOURCE_ID).mapInArrow(_runs, "file string, low long, high long")
     one = F.lit(1).cast("long")
     ends = F.array(
-        F.struct(F.col("low").cast("decimal(20,0)").alias("at"), one.alias("step")),
-        F.struct((F.col("high").cast("decimal(20,0)") + 1).cast("decimal(20,0)").alias("at"), (-one).alias("step")),
+        F.struct(F.col("low").alias("at"), one.alias("step")),
+        F.struct(F.when(F.col("high") < LAST_ID, F.col("high") + 1).alias("at"), (-one).alias("step")),
     )
     steps = runs.select("file", F.explode(ends).alias("end")).select("file", "end.at", "end.step")
     left = steps.groupBy("file", "at").agg(F.sum("step").alias("step")).where("step != 0 OR at IS NULL")
@@ -207,7 +210,7 @@ def read_sources(ws: Workspace, rows: DataFrame, rows_per_range: int = ROWS_PER_
     checked = ws.save(left.groupBy("file").agg(dense.alias("dense"), F.max("at").alias("end")), "id-ends")
     all_dense = checked.df.agg(F.bool_and(F.coalesce("dense", F.lit(False)))).first()[0] is not False
     if all_dense:
-        files = checked.df.select("file", (F.col("end") - 1).cast("long").alias("_rows"))
+        files = checked.df.select("file", (F.col("end") - 1).alias("_rows"))
     else:
         files = rows.groupBy(F.col(SOURCE_FILE).alias("file")).agg(F.count(F.lit(1)).alias("_rows"))
     files = files.withColumn("_one", F.lit(1).cast("long"))

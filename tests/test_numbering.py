@@ -167,3 +167,15 @@ def test_many_files_are_joined_not_broadcast(ws, spark, monkeypatch):
     df = spark.range(0, 400).select(F.concat(F.lit("F"), F.lpad((F.col("id") % 40).cast("string"), 2, "0")).alias("_src_file"), (F.floor(F.col("id") / 40) + 1).alias("_src_id"))
     got = source_row_numbers(ws, df, "n", read_sources(ws, df, 7))
     assert [r.n for r in got.orderBy("_src_file", "_src_id").collect()] == list(range(1, 401))
+
+
+@pytest.mark.parametrize(("ids", "dense"), [([2, 3, 1], True), ([1, 2, 2**63 - 1], False), ([2**63 - 1], False), ([-(2**63), 1], False), ([1, None], False)])
+def test_ends_of_runs_are_longs(ws, spark, ids, dense):
+    """The ends of runs were wide decimals, slow to add up and to move; only an id has no number after it."""
+    df = spark.createDataFrame([("A", i) for i in ids] + [("B", 1)], "_src_file string, _src_id long")
+    made, kept = [], ws.save
+    ws.save = lambda df, name: made.append((name, dict(df.dtypes))) or kept(df, name)
+    found = read_sources(ws, df)
+    assert found.dense is dense
+    assert [tuple(r) for r in found.files.df.orderBy("_number").collect()] == [("A", len(ids), 0, 0), ("B", 1, len(ids), 1)]
+    assert dict(made)["id-ends"]["end"] == "bigint"
