@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,20 @@ def sha256(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode()).hexdigest()
 
 
+def _joined(words: pa.Array, at: np.ndarray) -> pa.Array:
+    """The words from each of `at` to the next, joined by one space; all in Arrow, since a Python object a word is slow."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), words), " ")
+
+
+def _ranges(words: pa.Array, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The words of each range [first, end), joined by one space; ranges may overlap and hold a word at least."""
+    if not len(first):
+        return []
+    begins = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)])
+    whole = _joined(words, np.array([0, len(words)]))[0].as_buffer().to_pybytes()
+    return [whole[a:b] for a, b in zip(begins[first].tolist(), (begins[end] - 1).tolist(), strict=True)]
+
+
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     out, have = values, 1
     while have < width:
@@ -113,13 +128,13 @@ def _land(window: int):
                     [pa.array(key), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], fields=list(_MINS)
                 )
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(at) - 1))]).astype(np.int32)
-                each = words.to_pylist()
+                texts = _joined(words, at).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
                         piece.column("text"),
                         pa.array(np.diff(at)),
-                        pa.array([sha256(each[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()),
+                        pa.array([hashlib.sha256(kept).hexdigest() for kept in texts], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends), rows),
                     ],
                     names=["doc_id", "text", "n_words", "sha", "mins"],
@@ -152,63 +167,71 @@ def _with_rows(landed: DataFrame, narrow: DataFrame, how: str = "inner") -> Data
     return landed.join(placed.hint("shuffle_hash"), ["part", "rid"], how).drop("part")
 
 
-def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+def _wanted(piece: pa.RecordBatch, words: pa.Array, at: np.ndarray, window: int) -> tuple[np.ndarray, pa.Array, np.ndarray, list[bytes]]:
+    """Of each wanted range of windows: the row of the piece that wants it, its key, its first window and its words."""
+    wanted = piece.column("wanted")
+    row = np.repeat(np.arange(piece.num_rows), wanted.value_lengths().to_numpy())
+    key, first, last = wanted.flatten().flatten()
+    first, last = first.to_numpy(), last.to_numpy()
+    return row, key, first, _ranges(words, at[row] + first, at[row] + last + window)
 
 
 def _cut(window: int):
     """Texts and their wanted window ranges to segments."""
-    kinds = {"rid": pa.int64(), "first": pa.int32(), "seg": pa.string(), "key": pa.int64(), "weight": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 words, at = split_words(piece.column("text"))
-                each, out = words.to_pylist(), []
-                given = (piece.column(c).to_pylist() for c in ("rid", "weight", "wanted"))
-                for begin, rid, weight, wanted in zip(at.tolist(), *given, strict=False):
-                    for w in wanted:
-                        out.append((rid, w["first"], " ".join(each[begin + w["first"] : begin + w["last"] + window]), w["key"], weight))
-                yield _batch(out, kinds)
+                row, key, first, segs = _wanted(piece, words, at, window)
+                rid, weight = (piece.column(c).take(pa.array(row)) for c in ("rid", "weight"))
+                yield pa.RecordBatch.from_arrays(
+                    [rid, pa.array(first), pa.array(segs, pa.string()), key, weight], names=["rid", "first", "seg", "key", "weight"]
+                )
 
     return run
 
 
 def _cut_once(window: int):
     """Like _cut, with one row for all equal segments of a text: where each begins, and their weights as one."""
-    kinds = {"rid": pa.int64(), "firsts": pa.list_(pa.int32()), "seg": pa.string(), "key": pa.int64(), "weight": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 words, at = split_words(piece.column("text"))
-                each, out = words.to_pylist(), []
-                given = (piece.column(c).to_pylist() for c in ("rid", "weight", "wanted"))
-                for begin, rid, weight, wanted in zip(at.tolist(), *given, strict=False):
-                    places: dict[tuple[int, str], list[int]] = {}
-                    for w in wanted:
-                        seg = " ".join(each[begin + w["first"] : begin + w["last"] + window])
-                        places.setdefault((w["key"], seg), []).append(w["first"])
-                    out += [(rid, firsts, seg, key, weight * len(firsts)) for (key, seg), firsts in places.items()]
-                yield _batch(out, kinds)
+                row, key, first, segs = _wanted(piece, words, at, window)
+                places: dict[tuple[int, int, bytes], list[int]] = {}
+                for k, place in enumerate(zip(row.tolist(), key.to_numpy().tolist(), segs, strict=True)):
+                    places.setdefault(place, []).append(k)
+                kept = pa.array([ks[0] for ks in places.values()], pa.int64())
+                sizes = np.array([len(ks) for ks in places.values()], np.int64)
+                every = np.array([k for ks in places.values() for k in ks], np.int64)
+                rid, weight = (piece.column(c).take(pa.array(row)).take(kept) for c in ("rid", "weight"))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(first[every]))
+                yield pa.RecordBatch.from_arrays(
+                    [rid, firsts, pa.array([seg for _, _, seg in places], pa.string()), key.take(kept), pc.multiply(weight, pa.array(sizes))],
+                    names=["rid", "firsts", "seg", "key", "weight"],
+                )
 
     return run
 
 
 def _windows(window: int):
     """Segments to their windows, each with its start and the weight of its segment."""
-    kinds = {"sid": pa.int64(), "at": pa.int32(), "words": pa.string(), "weight": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "seg"):
                 words, at = split_words(piece.column("seg"))
-                each, out = words.to_pylist(), []
-                weights = piece.column("weight").to_pylist()
-                for sid, weight, begin, end in zip(piece.column("sid").to_pylist(), weights, at.tolist(), at.tolist()[1:], strict=False):
-                    out += [(sid, k, " ".join(each[begin + k : begin + k + window]), weight) for k in range(end - begin - window + 1)]
-                yield _batch(out, kinds)
+                many = np.diff(at) - window + 1
+                row = np.repeat(np.arange(piece.num_rows), many)
+                start = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                sid, weight = (piece.column(c).take(pa.array(row)) for c in ("sid", "weight"))
+                texts = _ranges(words, at[row] + start, at[row] + start + window)
+                yield pa.RecordBatch.from_arrays(
+                    [sid, pa.array(start.astype(np.int32)), pa.array(texts, pa.string()), weight], names=["sid", "at", "words", "weight"]
+                )
 
     return run
 
@@ -253,16 +276,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch):
             words, at = split_words(piece.column("text"))
-            each, removed, kept = words.to_pylist(), [], []
-            for a, b, spans in zip(at.tolist(), at.tolist()[1:], piece.column("spans").to_pylist(), strict=False):
-                gone = np.zeros(b - a + 1, np.int64)
-                np.add.at(gone, [s["start"] for s in spans], 1)
-                np.subtract.at(gone, [s["end"] for s in spans], 1)
-                stays = np.cumsum(gone[:-1]) == 0
-                removed.append(int(b - a - stays.sum()))
-                kept.append(" ".join([each[a + k] for k in np.flatnonzero(stays)]))
+            spans = piece.column("spans")
+            begin = np.repeat(at[:-1], spans.value_lengths().to_numpy())
+            start, end = (begin + side.to_numpy() for side in spans.flatten().flatten())
+            inside = np.cumsum(np.bincount(start, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1))[:-1]
+            stays = inside == 0
+            left = np.concatenate([[0], np.cumsum(stays)])[at]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                [piece.column("doc_id"), pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(left)), _joined(words.filter(pa.array(stays)), left)],
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 

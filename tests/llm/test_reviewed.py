@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import LONG, SCHEMA, plain_substrings, table
@@ -222,3 +224,38 @@ def test_segments_that_a_text_repeats_are_one_row(spark, tmp_path, monkeypatch,
     got = [(r.doc_id, r.n_words, 0, r.sha) for r in found.untouched.collect()]
     got += [(r.doc_id, r.n_words, r.n_removed, substring_dedup.sha256(r.kept.split())) for r in found.changed.collect()]
     assert sorted(got, key=str) == plain_substrings(rows, 35)
+
+
+def test_substring_dedup_makes_no_object_a_word():
+    """A Python string for each word was most of the seconds of the texts' three passes; batches are as Spark sends them."""
+    texts = [" ".join(f"word{(7 * k + j) % 50_000}" for j in range(5_000)) for k in range(8)] + [None, "", " \t", "a", "é  b\x0bc\n"]
+    each = [(t or "").split() for t in texts]
+    ids = pa.array(range(len(texts)), pa.int64())
+
+    def held(step, *columns):
+        """What a step gives for one batch, and the Python objects that it holds then."""
+        batch = pa.record_batch(dict(columns))
+        before = sys.getallocatedblocks()
+        steps = step(iter([batch]))
+        first = next(steps)
+        objects = sys.getallocatedblocks() - before
+        return first.to_pylist(), objects
+
+    many = sum(map(len, each)) // 2  # a segment, of some 14 words more, may have a few
+    landed, objects = held(substring_dedup._land(35), ("doc_id", ids), ("text", pa.array(texts)))
+    assert objects < many
+    assert [(r["n_words"], r["sha"]) for r in landed] == [(len(w), substring_dedup.sha256(w)) for w in each]
+    wanted = pa.array([r["mins"] for r in landed], pa.list_(substring_dedup._MINS))
+    given = ("rid", ids), ("text", pa.array(texts)), ("wanted", wanted), ("weight", pa.array([3] * len(texts)))
+    want = [(k, w["first"], " ".join(each[k][w["first"] : w["last"] + 35]), w["key"]) for k, r in enumerate(landed) for w in r["mins"]]
+    cut, objects = held(substring_dedup._cut(35), *given)
+    assert objects < many
+    assert [(r["rid"], r["first"], r["seg"], r["key"], r["weight"]) for r in cut] == [(*w, 3) for w in want]
+    cut, objects = held(substring_dedup._cut_once(35), *given)
+    assert objects < many
+    assert [(r["rid"], r["firsts"], r["seg"], r["key"], r["weight"]) for r in cut] == [(i, [f], seg, key, 3) for i, f, seg, key in want]
+    spans = [[{"start": 0, "end": 40}, {"start": 30, "end": 50}, {"start": 4_000, "end": 5_000}]] * 7 + [[{"start": 0, "end": 5_000}]] + [[]] * 5
+    left, objects = held(substring_dedup._remove, ("doc_id", ids), ("text", pa.array(texts)), ("spans", pa.array(spans, pa.list_(substring_dedup._RUN))))
+    assert objects < many
+    kept = [w[50:4_000] for w in each[:7]] + [[]] + each[8:]
+    assert [(r["n_words"], r["n_removed"], r["kept"]) for r in left] == [(len(w), len(w) - len(k), " ".join(k)) for w, k in zip(each, kept, strict=True)]
